@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The workload is a batch over two static tables; it has no streams,
+watermarks, windows over event time or state. Nothing here is implemented
+because there is nothing of that kind to rebuild. The batch job is
+``bedcensus.plans.job``.
+"""
