@@ -1,0 +1,183 @@
+"""Every physical form against the literal DuckDB oracle on hand-made rows:
+the edge rows (negative / zero / half lengths, stays outside and across both
+window edges, unequal upper bounds) and duplicated or NULL ids."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pytest
+
+from bedcensus.config import VARIANTS, DayWindow, Params, variant_config
+from bedcensus.operators import occupancy as O
+from bedcensus.plans import forms
+from bedcensus.plans.variant import Inputs, Variant
+from bedcensus.sources.tables import ADMISSIONS_SCHEMA, EVALUATION_SCHEMA
+from compare import assert_same, duck_fixture, fixture_oracle
+
+EDGE_ROWS = [
+    (datetime(1995, 1, 1, 13, 0), "1995", 1, 10, -2.5, 0.0),
+    (datetime(1994, 12, 28, 23, 59), "1994", 1, 11, 6.5, 9.4),
+    (datetime(2001, 12, 30, 1, 0), "2001", 2, 12, 30.0, 1.4),
+    (datetime(2010, 1, 1), "2010", 2, 13, 3.0, 3.0),
+    (datetime(1990, 1, 1), "1990", 2, 14, 3.0, 3.0),
+    (datetime(1996, 2, 28, 10, 0), "1996", 3, 15, -1.0, -4.0),
+    (datetime(1996, 2, 27, 10, 0), "1996", 3, 16, 1.5, 2.5),
+    # tail errors so the symmetrising step has work: +-3..+-6
+    (datetime(1996, 3, 1), "1996", 4, 17, 1.0, 5.0),
+    (datetime(1996, 3, 2), "1996", 4, 18, 2.0, 6.5),
+    (datetime(1996, 3, 3), "1996", 5, 19, 9.0, 3.0),
+    (datetime(1996, 3, 4), "1996", 5, 20, 0.5, 6.0),
+    (datetime(1996, 3, 5), "1996", 5, 21, 0.0, 4.0),
+]
+EDGE_PARAMS = Params(
+    new_window=DayWindow(date(1995, 1, 1), date(2001, 12, 31)),
+    old_lo=date(1995, 1, 1),
+    old_hi_actual=date(2001, 12, 31),
+    old_hi_predicted={v: date(2001, 12, 29) for v in VARIANTS},
+    year=1996,
+)
+
+DUP_ROWS = [
+    (datetime(1995, 1, 1), "1995", 1, 10, 2.0, 5.0),
+    (datetime(1995, 1, 4), "1995", 1, 10, 6.0, 1.0),
+    (datetime(1995, 1, 20), "1995", 1, 10, -3.0, 0.0),
+    (datetime(1995, 1, 2), "1995", 2, 11, 1.0, 9.0),
+    # same admission date twice, and NULL ids
+    (datetime(1995, 1, 4), "1995", 1, 10, 2.0, 2.0),
+    (datetime(1995, 1, 1), "1995", 3, None, 2.0, 3.0),
+    (datetime(1995, 1, 2), "1995", 3, None, 1.0, 1.0),
+    (datetime(1995, 2, 27), "1995", 4, 12, 1.0, 3.0),
+]
+DUP_PARAMS = Params(
+    new_window=DayWindow(date(1994, 12, 1), date(1995, 3, 1)),
+    old_lo=date(1994, 12, 1),
+    old_hi_actual=date(1995, 3, 1),
+    old_hi_predicted={v: date(1995, 2, 27) for v in VARIANTS},
+    year=1995,
+)
+
+
+def _adm_rows(rows):
+    # same timeline for the rebase; one admissions row per (subject, id)
+    seen, out = set(), []
+    for r in rows:
+        key = (r[2], r[3])
+        if key not in seen:
+            seen.add(key)
+            out.append((r[2], r[3], r[0].date()))
+    return out
+
+
+def _setup(spark, rows):
+    ev = spark.createDataFrame(rows, EVALUATION_SCHEMA)
+    adm = spark.createDataFrame(_adm_rows(rows), ADMISSIONS_SCHEMA)
+    con = duck_fixture(rows, _adm_rows(rows))
+    return Inputs(ev, adm), con
+
+
+RESULTS = {
+    "los_error": "{v}_los_error",
+    "occupancy_new": "{v}_daily_occupancy_new",
+    "occupancy_old": "{v}_daily_occupancy_old",
+    "occupancy_error_new": "{v}_occupancy_error_new",
+    "occupancy_error_old": "{v}_occupancy_error_old",
+    "occupancy_error_year": "{v}_occupancy_error_year",
+    "lookahead_error": "{v}_lookahead_error",
+}
+
+
+@pytest.mark.parametrize("form", ["join", "sweep", "flags", "auto"])
+def test_edge_rows_all_forms(spark, form):
+    inputs, con = _setup(spark, EDGE_ROWS)
+    sql = fixture_oracle(EDGE_PARAMS)
+    for v in VARIANTS:
+        var = Variant(inputs, variant_config(v, EDGE_PARAMS), form)
+        for method, key in RESULTS.items():
+            assert_same(getattr(var, method)(), con, sql[key.format(v=v)], f"{form}/{v}/{method}")
+
+
+def test_edge_rows_row_level(spark):
+    inputs, con = _setup(spark, EDGE_ROWS)
+    sql = fixture_oracle(EDGE_PARAMS)
+    var = Variant(inputs, variant_config("normal", EDGE_PARAMS), "join")
+    w = EDGE_PARAMS.new_window
+    checks = {
+        "predicted_stay_days": var.predicted_new(),
+        "actual_stay_days": var.actual_new(),
+        "rebase_admissions": var.rebased(),
+        "predicted_stay_days_old": var.predicted_old(),
+        "actual_stay_days_old": var.actual_old(),
+        "align_presence": O.align_presence(var.predicted_new(), var.actual_new()),
+        "presence_timeline": var.timeline_new(),
+        "presence_flags": O.presence_flags(var.timeline_new()),
+        "daily_actual_distinct": O.daily_actual_distinct(var.timeline_new()),
+        "bed_occupancy_year": var.bed_occupancy_year(),
+        "occupancy_level_frequency": var.occupancy_level_frequency(),
+        "presence_flag_pass": forms.presence_flag_pass(inputs.ev, w, w, dedupe=False),
+        "tail_error_counts": None,
+    }
+    for key, df in checks.items():
+        if df is None:
+            continue
+        assert_same(df, con, sql[key], key)
+
+
+def test_edge_rows_day_semantics(spark):
+    """Closed interval, negative length gives no day, clipping at both ends."""
+    inputs, _ = _setup(spark, EDGE_ROWS)
+    var = Variant(inputs, variant_config("normal", EDGE_PARAMS), "join")
+    days = {(r.hadm_id, r.day) for r in var.predicted_new().collect()}
+    ids = {h for h, _ in days}
+    assert 10 not in ids  # round(-2.5) = -3: no predicted day
+    assert 15 not in ids and 13 not in ids and 14 not in ids
+    act = {(r.hadm_id, r.day) for r in var.actual_new().collect()}
+    assert (10, date(1995, 1, 1)) in act  # length 0 is one day
+    # stay 11 starts before the window: clipped to 1995-01-01
+    assert min(d for h, d in act if h == 11) == date(1995, 1, 1)
+    # 1.5 -> 2 and 2.5 -> 3 days across 29 February (half away from zero)
+    assert max(d for h, d in days if h == 16) == date(1996, 2, 29)
+    assert max(d for h, d in act if h == 16) == date(1996, 3, 1)
+
+
+@pytest.mark.parametrize("form", ["join", "flags", "auto"])
+def test_duplicate_ids_exact_forms(spark, form):
+    inputs, con = _setup(spark, DUP_ROWS)
+    sql = fixture_oracle(DUP_PARAMS)
+    for v in VARIANTS:
+        var = Variant(inputs, variant_config(v, DUP_PARAMS), form)
+        for method, key in RESULTS.items():
+            assert_same(getattr(var, method)(), con, sql[key.format(v=v)], f"{form}/{v}/{method}")
+
+
+def test_duplicate_ids_auto_falls_back(spark):
+    inputs, _ = _setup(spark, DUP_ROWS)
+    var = Variant(inputs, variant_config("normal", DUP_PARAMS), "auto")
+    assert not inputs.ids_unique()
+    assert var.form_new() == "flags" and var.form_old() == "flags"
+    uniq, _ = _setup(spark, EDGE_ROWS)
+    assert Variant(uniq, variant_config("normal", EDGE_PARAMS), "auto").form_new() == "sweep"
+
+
+def test_duplicate_ids_sweep_by_side_exact(spark):
+    """C15 counts rows per side, so its sweep is exact even with duplicates."""
+    inputs, con = _setup(spark, DUP_ROWS)
+    sql = fixture_oracle(DUP_PARAMS)
+    cfg = variant_config("normal", DUP_PARAMS)
+    var = Variant(inputs, cfg, "join")
+    got = forms.daily_occupancy_by_side_sweep(var.rebased(), cfg.old_predicted_window, cfg.old_actual_window)
+    assert_same(got, con, sql["normal_daily_occupancy_old"], "by_side sweep")
+
+
+def test_duplicate_ids_row_level(spark):
+    inputs, con = _setup(spark, DUP_ROWS)
+    sql = fixture_oracle(DUP_PARAMS)
+    var = Variant(inputs, variant_config("normal", DUP_PARAMS), "join")
+    w = DUP_PARAMS.new_window
+    assert_same(O.align_presence(var.predicted_new(), var.actual_new()), con, sql["align_presence"], "align")
+    assert_same(forms.presence_flag_pass(inputs.ev, w, w, dedupe=True), con, sql["align_presence"], "F2 dedupe")
+    assert_same(var.timeline_new(), con, sql["presence_timeline"], "timeline")
+    from bedcensus.operators import lookahead as L
+
+    la = L.lookahead_presence(O.presence_flags(var.timeline_new()), DUP_PARAMS.lookahead_days)
+    assert_same(la, con, sql["lookahead_presence"], "lookahead rows")
