@@ -23,7 +23,7 @@ Every form here returns the same rows as the literal join form in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedcensus.config import DayWindow
@@ -36,7 +36,7 @@ _COUNTERS = ("p_cnt", "p_any", "a_cnt", "a_any", "u_any", "look")
 
 
 def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
-    """``(hadm_id, admittime, ps, pe, as, ae)``: clipped predicted and actual
+    """``(hadm_id, admittime, p_s, p_e, a_s, a_e)``: clipped predicted and actual
     day spans of each stay; a span is empty when its start exceeds its end."""
     start = F.to_date("admittime")
     pe = discharge_day("admittime", "predicted_los")
@@ -44,10 +44,10 @@ def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) ->
     return ev.select(
         "hadm_id",
         start.alias("admittime"),
-        F.greatest(start, F.lit(pred_window.lo)).alias("ps"),
-        F.least(pe, F.lit(pred_window.hi)).alias("pe"),
-        F.greatest(start, F.lit(act_window.lo)).alias("as"),
-        F.least(ae, F.lit(act_window.hi)).alias("ae"),
+        F.greatest(start, F.lit(pred_window.lo)).alias("p_s"),
+        F.least(pe, F.lit(pred_window.hi)).alias("p_e"),
+        F.greatest(start, F.lit(act_window.lo)).alias("a_s"),
+        F.least(ae, F.lit(act_window.hi)).alias("a_e"),
     )
 
 
@@ -62,16 +62,19 @@ def _cover(a: DayWindow, b: DayWindow) -> DayWindow:
     return DayWindow(min(a.lo, b.lo), max(a.hi, b.hi))
 
 
-def _events(s: Column, e: Column, weights: dict[str, Column]) -> list[Column]:
-    """+w at ``s`` and -w at ``e + 1`` for a non-empty span, else NULLs."""
-    def ev(day: Column, sign: int) -> Column:
-        fields = [day.alias("day")]
-        for name in _COUNTERS:
-            w = weights.get(name, F.lit(0))
-            fields.append((w * F.lit(sign)).cast("bigint").alias(name))
-        return F.when(s <= e, F.struct(*fields))
+def _span_events(s: str, e: str, weights: dict[str, str]) -> list[str]:
+    """SQL for +w at ``s`` and -w at ``e + 1`` of a non-empty span, else NULL.
 
-    return [ev(s, 1), ev(F.date_add(e, 1), -1)]
+    Written as SQL text so the whole event array is one expression: building
+    it from Column objects costs thousands of driver round trips.
+    """
+    def event(day: str, sign: str) -> str:
+        fields = ", ".join(
+            f"'{c}', CAST({sign}({weights.get(c, '0')}) AS BIGINT)" for c in _COUNTERS
+        )
+        return f"CASE WHEN {s} <= {e} THEN named_struct('day', {day}, {fields}) END"
+
+    return [event(s, ""), event(f"date_add({e}, 1)", "-")]
 
 
 def daily_sweep(
@@ -88,30 +91,26 @@ def daily_sweep(
     actually present whose id is present on either side ``lookahead_days``
     later (0 when ``lookahead_days`` is None).
     """
-    spans = stay_spans(ev, pred_window, act_window)
-    nn = F.when(F.col("hadm_id").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    one, minus = F.lit(1), F.lit(-1)
-    ps, pe, as_, ae = F.col("ps"), F.col("pe"), F.col("as"), F.col("ae")
-    ins = F.greatest(ps, as_)
-    ine = F.least(pe, ae)
+    spans = stay_spans(ev, pred_window, act_window).withColumn(
+        "nn", F.when(F.col("hadm_id").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    )
     events = []
-    events += _events(ps, pe, {"p_cnt": nn, "p_any": one, "u_any": one})
-    events += _events(as_, ae, {"a_cnt": nn, "a_any": one, "u_any": one})
-    events += _events(ins, ine, {"u_any": minus})  # union = P + A - (P and A)
+    events += _span_events("p_s", "p_e", {"p_cnt": "nn", "p_any": "1", "u_any": "1"})
+    events += _span_events("a_s", "a_e", {"a_cnt": "nn", "a_any": "1", "u_any": "1"})
+    # union = P + A - (P and A)
+    events += _span_events("greatest(p_s, a_s)", "least(p_e, a_e)", {"u_any": "-1"})
     if lookahead_days is not None:
         lag = int(lookahead_days)
-        # t in A with t+lag in A:  [as, ae - lag]
-        # t in A with t+lag in P:  [max(as, ps - lag), min(ae, pe - lag)]
-        # both:                    [max(as, ps - lag), min(ae - lag, pe - lag)]
-        i1s, i1e = as_, F.date_sub(ae, lag)
-        i2s, i2e = F.greatest(as_, F.date_sub(ps, lag)), F.least(ae, F.date_sub(pe, lag))
-        i3s, i3e = i2s, F.least(F.date_sub(ae, lag), F.date_sub(pe, lag))
-        events += _events(i1s, i1e, {"look": nn})
-        events += _events(i2s, i2e, {"look": nn})
-        events += _events(i3s, i3e, {"look": -nn})
+        # t in A with t+lag in A:  [a_s, a_e - lag]
+        # t in A with t+lag in P:  [max(a_s, p_s - lag), min(a_e, p_e - lag)]
+        # both:                    [max(a_s, p_s - lag), min(a_e - lag, p_e - lag)]
+        i2s = f"greatest(a_s, date_sub(p_s, {lag}))"
+        events += _span_events("a_s", f"date_sub(a_e, {lag})", {"look": "nn"})
+        events += _span_events(i2s, f"least(a_e, date_sub(p_e, {lag}))", {"look": "nn"})
+        events += _span_events(i2s, f"least(date_sub(a_e, {lag}), date_sub(p_e, {lag}))", {"look": "-nn"})
     cover = _cover(pred_window, act_window)
     deltas = (
-        spans.select(F.explode(F.array(*events)).alias("e"))
+        spans.select(F.expr(f"explode(array({', '.join(events)}))").alias("e"))
         .where(F.col("e").isNotNull())
         .select("e.*")
         .groupBy("day")
@@ -129,13 +128,8 @@ def daily_sweep(
     )
 
 
-def daily_occupancy_sweep(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
-    """F3 for C14: ``(timeline, predicted_count, actual_count)``.
-
-    Exact when non-null ``hadm_id`` are unique; days nobody occupies on either
-    side are dropped (no zero fill), NULL-id stays keep their days.
-    """
-    d = daily_sweep(ev, pred_window, act_window)
+def occupancy_from_sweep(d: DataFrame) -> DataFrame:
+    """C14 columns from :func:`daily_sweep` output (unique ids)."""
     return d.where(F.col("u_any") > 0).select(
         F.col("day").alias("timeline"),
         F.col("p_cnt").alias("predicted_count"),
@@ -143,10 +137,8 @@ def daily_occupancy_sweep(ev: DataFrame, pred_window: DayWindow, act_window: Day
     )
 
 
-def daily_occupancy_by_side_sweep(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
-    """C15 by sweep, exact for any input (it counts rows, not ids):
-    ``(timeline, predicted_day, predicted_count, actual_day, actual_count)``."""
-    d = daily_sweep(ev, pred_window, act_window)
+def by_side_from_sweep(d: DataFrame) -> DataFrame:
+    """C15 columns from :func:`daily_sweep` output (any ids)."""
     has_p, has_a = F.col("p_any") > 0, F.col("a_any") > 0
     return d.where(has_p | has_a).select(
         F.col("day").alias("timeline"),
@@ -157,6 +149,29 @@ def daily_occupancy_by_side_sweep(ev: DataFrame, pred_window: DayWindow, act_win
     )
 
 
+def lookahead_from_sweep(d: DataFrame) -> DataFrame:
+    """``(time, pn, n)`` from :func:`daily_sweep` output with look-ahead
+    counters (unique ids)."""
+    return d.where(F.col("a_cnt") > 0).select(
+        F.col("day").alias("time"), F.col("look").alias("pn"), F.col("a_cnt").alias("n")
+    )
+
+
+def daily_occupancy_sweep(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+    """F3 for C14: ``(timeline, predicted_count, actual_count)``.
+
+    Exact when non-null ``hadm_id`` are unique; days nobody occupies on either
+    side are dropped (no zero fill), NULL-id stays keep their days.
+    """
+    return occupancy_from_sweep(daily_sweep(ev, pred_window, act_window))
+
+
+def daily_occupancy_by_side_sweep(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+    """C15 by sweep, exact for any input (it counts rows, not ids):
+    ``(timeline, predicted_day, predicted_count, actual_day, actual_count)``."""
+    return by_side_from_sweep(daily_sweep(ev, pred_window, act_window))
+
+
 def lookahead_sweep(ev: DataFrame, window: DayWindow, lookahead_days: int) -> DataFrame:
     """``(time, pn, n)`` per day with anyone actually present.
 
@@ -164,10 +179,7 @@ def lookahead_sweep(ev: DataFrame, window: DayWindow, lookahead_days: int) -> Da
     later: presence is contiguous from the stay's start, so "present at t+3"
     is an interval condition. Exact when non-null ``hadm_id`` are unique.
     """
-    d = daily_sweep(ev, window, window, lookahead_days)
-    return d.where(F.col("a_cnt") > 0).select(
-        F.col("day").alias("time"), F.col("look").alias("pn"), F.col("a_cnt").alias("n")
-    )
+    return lookahead_from_sweep(daily_sweep(ev, window, window, lookahead_days))
 
 
 def presence_flag_pass(
@@ -197,14 +209,14 @@ def presence_flag_rows(ev: DataFrame, pred_window: DayWindow, act_window: DayWin
     """``(day, hadm_id, admittime, p, a)``: one row per stay and day present on
     either side, flags telling which."""
     spans = stay_spans(ev, pred_window, act_window)
-    ps, pe, as_, ae = F.col("ps"), F.col("pe"), F.col("as"), F.col("ae")
+    ps, pe, as_, ae = F.col("p_s"), F.col("p_e"), F.col("a_s"), F.col("a_e")
     p_ok, a_ok = ps <= pe, as_ <= ae
     lo = F.when(p_ok & a_ok, F.least(ps, as_)).when(p_ok, ps).otherwise(as_)
     hi = F.when(p_ok & a_ok, F.greatest(pe, ae)).when(p_ok, pe).otherwise(ae)
     days = F.when(p_ok | a_ok, F.sequence(lo, hi))
     d = F.col("day")
     return (
-        spans.select("hadm_id", "admittime", "ps", "pe", "as", "ae", F.explode(days).alias("day"))
+        spans.select("hadm_id", "admittime", "p_s", "p_e", "a_s", "a_e", F.explode(days).alias("day"))
         .select(
             "day",
             "hadm_id",

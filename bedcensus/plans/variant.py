@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,23 @@ class Variant:
         self.cfg = cfg
         self.form = form
         self.ev = ev if ev is not None else A.adjust_predictions(inputs.ev, cfg.adjust, cfg.error_threshold)
+        self._memo: dict[str, DataFrame] = {}
+
+    def _once(self, key: str, build, persist: bool = False) -> DataFrame:
+        """Build each intermediate once per variant. ``persist`` is used only
+        for calendar-sized tables (at most one row per day of the window),
+        which several results read."""
+        if key not in self._memo:
+            df = build()
+            if persist:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._memo[key] = df
+        return self._memo[key]
+
+    def unpersist(self) -> None:
+        for df in self._memo.values():
+            if df.storageLevel != StorageLevel.NONE:
+                df.unpersist()
 
     # -- form choice -------------------------------------------------------
     def _form(self, unique: bool | None) -> str:
@@ -91,48 +109,65 @@ class Variant:
 
     # -- stay-days (literal) ------------------------------------------------
     def predicted_new(self) -> DataFrame:
-        return S.predicted_stay_days(self.ev, self.cfg.new_window)
+        return self._once("pn", lambda: S.predicted_stay_days(self.ev, self.cfg.new_window))
 
     def actual_new(self) -> DataFrame:
-        return S.actual_stay_days(self.ev, self.cfg.new_window)
+        return self._once("an", lambda: S.actual_stay_days(self.ev, self.cfg.new_window))
 
     def rebased(self) -> DataFrame:
-        return S.rebase_admissions(self.ev, self.inputs.adm)
+        return self._once("rb", lambda: S.rebase_admissions(self.ev, self.inputs.adm))
 
     def predicted_old(self) -> DataFrame:
-        return S.predicted_stay_days(self.rebased(), self.cfg.old_predicted_window)
+        return self._once("po", lambda: S.predicted_stay_days(self.rebased(), self.cfg.old_predicted_window))
 
     def actual_old(self) -> DataFrame:
-        return S.actual_stay_days(self.rebased(), self.cfg.old_actual_window)
+        return self._once("ao", lambda: S.actual_stay_days(self.rebased(), self.cfg.old_actual_window))
 
     def timeline_new(self) -> DataFrame:
-        return O.presence_timeline(self.predicted_new(), self.actual_new())
+        return self._once("tl", lambda: O.presence_timeline(self.predicted_new(), self.actual_new()))
+
+    # -- per-day sweeps (calendar-sized) --------------------------------------
+    def sweep_new(self) -> DataFrame:
+        w = self.cfg.new_window
+        return self._once(
+            "sw_new", lambda: forms.daily_sweep(self.ev, w, w, self.cfg.lookahead_days), persist=True
+        )
+
+    def sweep_old(self) -> DataFrame:
+        pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
+        return self._once("sw_old", lambda: forms.daily_sweep(self.rebased(), pw, aw), persist=True)
 
     # -- results --------------------------------------------------------------
     def los_error(self) -> DataFrame:
         return R.los_error_histogram(self.ev)
 
     def occupancy_new(self) -> DataFrame:
+        return self._once("occ_new", self._occupancy_new, persist=True)
+
+    def _occupancy_new(self) -> DataFrame:
         w = self.cfg.new_window
         f = self.form_new()
         if f == "join":
             return O.daily_occupancy(O.align_presence(self.predicted_new(), self.actual_new()))
         if f == "sweep":
-            return forms.daily_occupancy_sweep(self.ev, w, w)
+            return forms.occupancy_from_sweep(self.sweep_new())
         return forms.daily_occupancy_flags(self.ev, w, w)
 
     def occupancy_old(self) -> DataFrame:
+        return self._once("occ_old", self._occupancy_old, persist=True)
+
+    def _occupancy_old(self) -> DataFrame:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
         f = self.form_old()
         if self.cfg.old_shape == "by_side":
             if f == "join":
                 return O.daily_occupancy_by_side(self.predicted_old(), self.actual_old())
             # the per-side row counts are exact by sweep for any input
-            return forms.daily_occupancy_by_side_sweep(self.rebased(), pw, aw)
+            return forms.by_side_from_sweep(self.sweep_old())
         if f == "join":
             return O.daily_occupancy(O.align_presence(self.predicted_old(), self.actual_old()))
         if f == "sweep":
-            return forms.daily_occupancy_sweep(self.rebased(), pw, aw)
+            return forms.occupancy_from_sweep(self.sweep_old())
         return forms.daily_occupancy_flags(self.rebased(), pw, aw)
 
     def occupancy_error_new(self) -> DataFrame:
@@ -146,6 +181,9 @@ class Variant:
 
     def lookahead_per_day(self) -> DataFrame:
         """``(time, pn, n)``: look-ahead matches and actual count per day."""
+        return self._once("look", self._lookahead_per_day, persist=True)
+
+    def _lookahead_per_day(self) -> DataFrame:
         w, lag = self.cfg.new_window, self.cfg.lookahead_days
         f = self.form_new()
         if f == "join":
@@ -154,7 +192,7 @@ class Variant:
             actual = O.daily_actual_distinct(tl)
             return per_day.join(actual, per_day.time == actual.timeline, "inner").select("time", "pn", "n")
         if f == "sweep":
-            return forms.lookahead_sweep(self.ev, w, lag)
+            return forms.lookahead_from_sweep(self.sweep_new())
         return forms.lookahead_counts_by_id(self.ev, w, lag)
 
     def lookahead_error(self) -> DataFrame:
