@@ -1,8 +1,9 @@
 """Prediction adjustments: halve the error (C03) and symmetrise it.
 
-All four return the six ``evaluation`` columns (or a small lookup table) and
-are narrow maps over ``evaluation`` except for one tiny aggregate: the tail
-error histogram has one row per distinct rounded error value.
+C03 and C06 return the columns of their input with ``predicted_los``
+replaced (extra columns ride along), C04 and C05 small lookup tables. All are
+narrow maps over ``evaluation`` except for one tiny aggregate: the tail error
+histogram has one row per distinct rounded error value.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from bedcensus.functions.columns import los_error, uniform01
 from bedcensus.session import broadcast_if_bounded
-from bedcensus.sources.tables import EVALUATION_COLUMNS
 
 # A shift table beyond this many rows is joined by shuffle instead of broadcast.
 SHIFT_BROADCAST_MAX_ROWS = 1_000_000
@@ -21,7 +21,7 @@ SHIFT_BROADCAST_MAX_ROWS = 1_000_000
 def halve_error(ev: DataFrame) -> DataFrame:
     """Move each prediction half-way to the actual length of stay."""
     p, a = F.col("predicted_los"), F.col("actual_los")
-    return ev.withColumn("predicted_los", p + (a - p) / F.lit(2.0)).select(*EVALUATION_COLUMNS)
+    return ev.withColumn("predicted_los", p + (a - p) / F.lit(2.0))
 
 
 def tail_error_counts(ev: DataFrame, threshold: int = 2) -> DataFrame:
@@ -80,7 +80,7 @@ def symmetrise(
     moved = F.when(
         u < F.col("_shift_prob"), F.col("predicted_los") + F.lit(2) * F.col("_shift_error")
     ).otherwise(F.col("predicted_los"))
-    return joined.withColumn("predicted_los", moved).select(*EVALUATION_COLUMNS)
+    return joined.withColumn("predicted_los", moved).select(*ev.columns)
 
 
 def symmetric_evaluation(ev: DataFrame, threshold: int = 2, uniform: Column | None = None) -> DataFrame:

@@ -63,6 +63,38 @@ def rebase_admissions(ev: DataFrame, adm: DataFrame) -> DataFrame:
     )
 
 
+REBASE_COLUMNS = ("_old_admittime", "_old_match")
+
+
+def attach_old_admission(ev: DataFrame, adm: DataFrame) -> DataFrame:
+    """``ev`` plus the admissions start date as ``_old_admittime`` and a match
+    flag ``_old_match``, by one left join on ``(subject_id, hadm_id)``.
+
+    Valid only when ``adm`` has at most one row per key (checked by the
+    caller). The adjustments keep extra columns, so four variants can take
+    their old timeline from this one join (:func:`rebased_from_attached`)
+    instead of joining again each.
+    """
+    right = adm.select(
+        "subject_id",
+        "hadm_id",
+        F.to_date("admittime").alias("_old_admittime"),
+        F.lit(True).alias("_old_match"),
+    )
+    return ev.join(right, ["subject_id", "hadm_id"], "left")
+
+
+def rebased_from_attached(ev: DataFrame) -> DataFrame:
+    """C10 from a table made by :func:`attach_old_admission`."""
+    return ev.where(F.col("_old_match")).select(
+        "subject_id",
+        "hadm_id",
+        F.col("_old_admittime").alias("admittime"),
+        "predicted_los",
+        "actual_los",
+    )
+
+
 def predicted_stay_days_old(ev: DataFrame, adm: DataFrame, window: DayWindow) -> DataFrame:
     """C11: C10 then C08 on the old timeline."""
     return predicted_stay_days(rebase_admissions(ev, adm), window)

@@ -23,6 +23,8 @@ Every form here returns the same rows as the literal join form in
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,10 @@ def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) ->
     start = F.to_date("admittime")
     pe = discharge_day("admittime", "predicted_los")
     ae = discharge_day("admittime", "actual_los")
-    return ev.select(
+    # stays admitted after both windows have empty spans; this bound is on
+    # the raw column, so the scan can skip them
+    last = max(pred_window.hi, act_window.hi)
+    return ev.where(F.col("admittime") < F.lit(last + timedelta(days=1))).select(
         "hadm_id",
         start.alias("admittime"),
         F.greatest(start, F.lit(pred_window.lo)).alias("p_s"),

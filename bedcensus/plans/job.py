@@ -17,7 +17,8 @@ from pyspark.sql import SparkSession
 
 from bedcensus.config import FIXTURE, REFERENCE, VARIANTS, Params, variant_config
 from bedcensus.operators import adjust as A
-from bedcensus.plans.variant import Inputs, Variant
+from bedcensus.operators.stays import attach_old_admission
+from bedcensus.plans.variant import Inputs, Variant, keys_unique
 from bedcensus.session import get_session, materialize
 from bedcensus.sources import admissions_from_evaluation, load_inputs, write_result
 
@@ -40,13 +41,26 @@ def _sort_key(name: str) -> list[str]:
 
 
 def prepare_inputs(spark: SparkSession, sf_dir: str, persist: bool = True) -> Inputs:
-    """Load (or derive) the inputs; write the base evaluation once."""
+    """Load (or derive) the inputs; write the base evaluation once.
+
+    When admissions has one row per (subject_id, hadm_id), its start date is
+    attached to the written evaluation by one left join, so the four variants
+    need no rebase join of their own.
+    """
     ev, adm = load_inputs(spark, sf_dir)
-    if persist:
-        ev = materialize(ev, "evaluation")
-        if not os.path.exists(os.path.join(sf_dir, "admissions.parquet")):
-            adm = admissions_from_evaluation(ev)
-    return Inputs(ev, adm)
+    if not persist:
+        return Inputs(ev, adm)
+    written = False
+    if not os.path.exists(os.path.join(sf_dir, "admissions.parquet")):
+        # admissions is derived from evaluation: write evaluation first so
+        # the derivation is not computed twice
+        ev, written = materialize(ev, "evaluation"), True
+        adm = admissions_from_evaluation(ev)
+    if not keys_unique(adm, ["subject_id", "hadm_id"]):
+        return Inputs(ev if written else materialize(ev, "evaluation"), adm)
+    inputs = Inputs(materialize(attach_old_admission(ev, adm), "evaluation_rebased"), adm)
+    inputs._unique["adm"] = True
+    return inputs
 
 
 def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist: bool = True) -> dict[str, Variant]:

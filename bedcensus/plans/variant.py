@@ -115,6 +115,8 @@ class Variant:
         return self._once("an", lambda: S.actual_stay_days(self.ev, self.cfg.new_window))
 
     def rebased(self) -> DataFrame:
+        if "_old_match" in self.ev.columns:
+            return self._once("rb", lambda: S.rebased_from_attached(self.ev))
         return self._once("rb", lambda: S.rebase_admissions(self.ev, self.inputs.adm))
 
     def predicted_old(self) -> DataFrame:
@@ -141,6 +143,10 @@ class Variant:
     def los_error(self) -> DataFrame:
         return R.los_error_histogram(self.ev)
 
+    def evaluation(self) -> DataFrame:
+        """The variant's six evaluation columns."""
+        return self.ev.drop(*S.REBASE_COLUMNS)
+
     def occupancy_new(self) -> DataFrame:
         return self._once("occ_new", self._occupancy_new, persist=True)
 
