@@ -9,9 +9,8 @@ C21 daily_actual_distinct distinct actual ids per day
 
 The original full outer joins stay-days on (day, id) and then applies
 DISTINCT. Here each side is deduplicated *before* the join, which gives the
-same distinct result but never emits all pairs of a duplicated id; the
-dedup aggregate and the join hash on the same keys, so each side is
-shuffled once.
+same distinct result but never emits all pairs of a duplicated id. The dedup
+aggregates combine map-side, so a hot key is collapsed before its shuffle.
 """
 
 from __future__ import annotations
@@ -75,18 +74,13 @@ def daily_occupancy_by_side(pred_days: DataFrame, act_days: DataFrame) -> DataFr
 
 
 def _timeline_side(days: DataFrame, adm_alias: str, id_alias: str) -> DataFrame:
-    # Hash on (day, id) first: the dedup on (day, admittime, id) is clustered
-    # by a superset of those keys and the join needs exactly them, so neither
-    # adds another exchange.
-    return (
-        days.select(
-            "day",
-            F.col("admittime").alias(adm_alias),
-            F.col("hadm_id").alias(id_alias),
-        )
-        .repartition("day", id_alias)
-        .dropDuplicates(["day", adm_alias, id_alias])
-    )
+    # Dedup with map-side partial aggregation first: a hot (day, id) collapses
+    # to one row per admission date and task before anything is shuffled.
+    return days.select(
+        "day",
+        F.col("admittime").alias(adm_alias),
+        F.col("hadm_id").alias(id_alias),
+    ).dropDuplicates(["day", adm_alias, id_alias])
 
 
 def presence_timeline(pred_days: DataFrame, act_days: DataFrame) -> DataFrame:

@@ -252,15 +252,15 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
     ``A > 0`` of them are "actually present" rows (``P*A`` or ``A``). Each
     present row at (t, h) pairs with every row at (t + lag, h), so
     ``pn(t) = sum_h now(t, h) * rows(t + lag, h)``: an equi-join of two
-    tables unique on (day, id). Shuffles are keyed on (day, id), so one hot id
-    still spreads over its days.
+    tables unique on (day, id). Every shuffle follows a map-side partial
+    aggregate and is keyed on (day, id), so one hot id spreads over its days.
     """
     lag = int(lookahead_days)
     rows = presence_flag_rows(ev, window, window).where(F.col("hadm_id").isNotNull())
-    per_date = (
-        rows.repartition("day", "hadm_id")
-        .groupBy("day", "hadm_id", "admittime")
-        .agg(F.max("p").alias("p"), F.max("a").alias("a"))
+    # partial aggregation first: a hot (day, id) becomes one row per
+    # admission date and task before the shuffle
+    per_date = rows.groupBy("day", "hadm_id", "admittime").agg(
+        F.max("p").alias("p"), F.max("a").alias("a")
     )
     per_id = per_date.groupBy("day", "hadm_id").agg(
         F.count_if(F.col("p")).alias("np"), F.count_if(F.col("a")).alias("na")
