@@ -9,7 +9,6 @@ so that each is checked against the same oracle.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +17,9 @@ from bedcensus.config import FIXTURE, VARIANTS, variant_config
 from bedcensus.operators import adjust as A
 from bedcensus.operators import lookahead as L
 from bedcensus.operators import occupancy as O
-from bedcensus.operators import reports as R
-from bedcensus.operators import stays as S
 from bedcensus.plans import forms
 from bedcensus.plans.variant import Inputs, Variant
-from bedcensus.session import ensure_checkpoint_dir, scratch_path
+from bedcensus.session import scratch_path
 from bedcensus.sources import load_inputs, read_result, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,13 +28,13 @@ PARAMS = FIXTURE
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    ensure_checkpoint_dir(spark)
     ev, adm = load_inputs(spark, sf_dir)
     return Inputs(ev, adm)
 
 
 def _variant(spark: SparkSession, sf_dir: str, name: str, form: str = "auto") -> Variant:
-    return Variant(_inputs(spark, sf_dir), variant_config(name, PARAMS), form)
+    # one result per query: nothing to share, so nothing is persisted
+    return Variant(_inputs(spark, sf_dir), variant_config(name, PARAMS), form, persist=False)
 
 
 def _per_variant(name: str) -> dict[str, Query]:
@@ -77,6 +74,11 @@ def _csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return read_result(s, path, df.schema)
 
 
+def _align(s: SparkSession, d: str) -> DataFrame:
+    v = _normal(s, d, "join")
+    return O.align_presence(v.predicted_new(), v.actual_new())
+
+
 def _timeline(s: SparkSession, d: str) -> DataFrame:
     return _normal(s, d, "join").timeline_new()
 
@@ -105,9 +107,7 @@ def queries() -> dict[str, Query]:
             "rebase_admissions": lambda s, d: _normal(s, d).rebased(),
             "predicted_stay_days_old": lambda s, d: _normal(s, d).predicted_old(),
             "actual_stay_days_old": lambda s, d: _normal(s, d).actual_old(),
-            "align_presence": lambda s, d: O.align_presence(
-                _normal(s, d).predicted_new(), _normal(s, d).actual_new()
-            ),
+            "align_presence": _align,
             "presence_timeline": _timeline,
             "presence_flags": lambda s, d: O.presence_flags(_timeline(s, d)),
             "lookahead_presence": lambda s, d: L.lookahead_presence(
@@ -139,4 +139,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(spark, sf_dir).occupancy_error_year()
 
 
-__all__ = ["queries", "flagship", "R", "S", "os"]
+__all__ = ["queries", "flagship"]

@@ -70,22 +70,31 @@ class Inputs:
 class Variant:
     """Lazy DataFrames of one variant's result tables."""
 
-    def __init__(self, inputs: Inputs, cfg: VariantConfig, form: str = "auto", ev: DataFrame | None = None):
+    def __init__(
+        self,
+        inputs: Inputs,
+        cfg: VariantConfig,
+        form: str = "auto",
+        ev: DataFrame | None = None,
+        persist: bool = True,
+    ):
         if form not in FORMS:
             raise ValueError(f"form must be one of {FORMS}")
         self.inputs = inputs
         self.cfg = cfg
         self.form = form
         self.ev = ev if ev is not None else A.adjust_predictions(inputs.ev, cfg.adjust, cfg.error_threshold)
+        self.persist = persist
         self._memo: dict[str, DataFrame] = {}
 
     def _once(self, key: str, build, persist: bool = False) -> DataFrame:
         """Build each intermediate once per variant. ``persist`` is used only
         for calendar-sized tables (at most one row per day of the window),
-        which several results read."""
+        which several results read; a variant built for a single result
+        (``persist=False``) skips it."""
         if key not in self._memo:
             df = build()
-            if persist:
+            if persist and self.persist:
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._memo[key] = df
         return self._memo[key]

@@ -17,6 +17,6 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from bedcensus.session import get_session
 
-    s = get_session(master="local[*]", shuffle_partitions=8)
+    s = get_session(master="local[*]", shuffle_partitions=8, conf={"spark.driver.memory": "4g"})
     yield s
     s.stop()

@@ -8,8 +8,6 @@ of rows. Prints one line per query and a summary; exit code 1 on mismatch.
 
 from __future__ import annotations
 
-import datetime as dt
-import math
 import os
 import sys
 import time
@@ -18,6 +16,9 @@ import duckdb
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from compare import canon as rows_of  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -34,29 +35,6 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def norm(v):
-    if v is None:
-        return (0, "")
-    if isinstance(v, float):
-        if math.isnan(v):
-            return (1, "nan")
-        return (1, f"{v:.9g}")
-    if isinstance(v, bool):
-        return (2, str(v))
-    if isinstance(v, int):
-        return (1, f"{float(v):.9g}")
-    if isinstance(v, dt.datetime):
-        return (3, v.isoformat())
-    if isinstance(v, dt.date):
-        return (3, dt.datetime(v.year, v.month, v.day).isoformat())
-    return (4, str(v))
-
-
-def rows_of(cols, rows):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(norm(r[i]) for i in order) for r in rows)
-
-
 def main(argv: list[str]) -> int:
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     only = set(argv[1:])
