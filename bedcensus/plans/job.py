@@ -40,7 +40,9 @@ def _sort_key(name: str) -> list[str]:
     raise KeyError(name)
 
 
-def prepare_inputs(spark: SparkSession, sf_dir: str, persist: bool = True) -> Inputs:
+def prepare_inputs(
+    spark: SparkSession, sf_dir: str, persist: bool = True, assume_unique_keys: bool = False
+) -> Inputs:
     """Load (or derive) the inputs; write the base evaluation once.
 
     When admissions has one row per (subject_id, hadm_id), its start date is
@@ -49,18 +51,19 @@ def prepare_inputs(spark: SparkSession, sf_dir: str, persist: bool = True) -> In
     """
     ev, adm = load_inputs(spark, sf_dir)
     if not persist:
-        return Inputs(ev, adm)
+        inputs = Inputs(ev, adm)
+        return inputs.declare_unique() if assume_unique_keys else inputs
     written = False
     if not os.path.exists(os.path.join(sf_dir, "admissions.parquet")):
         # admissions is derived from evaluation: write evaluation first so
         # the derivation is not computed twice
         ev, written = materialize(ev, "evaluation"), True
         adm = admissions_from_evaluation(ev)
-    if not keys_unique(adm, ["subject_id", "hadm_id"]):
+    if not (assume_unique_keys or keys_unique(adm, ["subject_id", "hadm_id"])):
         return Inputs(ev if written else materialize(ev, "evaluation"), adm)
     inputs = Inputs(materialize(attach_old_admission(ev, adm), "evaluation_rebased"), adm)
     inputs._unique["adm"] = True
-    return inputs
+    return inputs.declare_unique() if assume_unique_keys else inputs
 
 
 def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist: bool = True) -> dict[str, Variant]:
@@ -79,9 +82,16 @@ def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist:
     }
 
 
-def run(spark: SparkSession, sf_dir: str, out_dir: str, params: Params = FIXTURE, form: str = "auto") -> dict[str, str]:
+def run(
+    spark: SparkSession,
+    sf_dir: str,
+    out_dir: str,
+    params: Params = FIXTURE,
+    form: str = "auto",
+    assume_unique_keys: bool = False,
+) -> dict[str, str]:
     """Write all 22 result tables; returns name -> path."""
-    inputs = prepare_inputs(spark, sf_dir)
+    inputs = prepare_inputs(spark, sf_dir, assume_unique_keys=assume_unique_keys)
     variants = build_variants(inputs, params, form)
     written = {}
     for variant in variants.values():
@@ -104,10 +114,16 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--params", choices=["fixture", "reference"], default="fixture")
     ap.add_argument("--form", choices=["auto", "join", "sweep", "flags"], default="auto")
     ap.add_argument("--master", default=None)
+    ap.add_argument(
+        "--assume-unique-keys",
+        action="store_true",
+        help="hadm_id and admissions (subject_id, hadm_id) are known keys: skip their checks",
+    )
     args = ap.parse_args(argv)
     spark = get_session(master=args.master)
     params = FIXTURE if args.params == "fixture" else REFERENCE
-    for name, path in sorted(run(spark, args.sf_dir, args.out_dir, params, args.form).items()):
+    written = run(spark, args.sf_dir, args.out_dir, params, args.form, args.assume_unique_keys)
+    for name, path in sorted(written.items()):
         print(f"{name}\t{path}")
 
 

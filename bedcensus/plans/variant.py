@@ -43,12 +43,21 @@ def keys_unique(df: DataFrame, cols: list[str]) -> bool:
 
 @dataclass
 class Inputs:
-    """Base ``evaluation`` and ``admissions`` plus cached key checks."""
+    """Base ``evaluation`` and ``admissions`` plus cached key checks.
+
+    A caller that knows the keys (a primary key in the source schema) can
+    declare them with :meth:`declare_unique` and save the check's shuffle.
+    """
 
     ev: DataFrame
     adm: DataFrame
     _unique: dict = field(default_factory=dict)
 
+    def declare_unique(self, ids: bool = True, admission_keys: bool = True) -> "Inputs":
+        self._unique["ev"] = ids
+        self._unique["adm"] = admission_keys
+        return self
+
     def ids_unique(self) -> bool:
         """Non-null ``hadm_id`` unique in ``evaluation``.
 
