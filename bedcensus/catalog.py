@@ -129,6 +129,9 @@ def queries() -> dict[str, Query]:
             "lookahead_error_join_form": _lookahead_join,
             "lookahead_arithmetic": lambda s, d: _normal(s, d, "sweep").lookahead_error(),
             "lookahead_error_by_id_counts": lambda s, d: _normal(s, d, "flags").lookahead_error(),
+            "daily_occupancy_hybrid": lambda s, d: _normal(s, d, "hybrid").occupancy_new(),
+            "daily_occupancy_old_hybrid": lambda s, d: _variant(s, d, "narrow", "hybrid").occupancy_old(),
+            "lookahead_error_hybrid": lambda s, d: _normal(s, d, "hybrid").lookahead_error(),
         }
     )
     return q

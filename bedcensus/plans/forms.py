@@ -286,15 +286,70 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
     )
 
 
+def split_duplicate_ids(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows of ids seen once or NULL, rows of ids seen more than once)``.
+
+    One aggregate over the ids (map-side partial counts) and a semi / anti
+    join on ``hadm_id``; AQE broadcasts the duplicate-id list when it turns
+    out small and splits a skewed id's partition otherwise.
+    """
+    dup = (
+        ev.where(F.col("hadm_id").isNotNull())
+        .groupBy("hadm_id")
+        .count()
+        .where(F.col("count") > 1)
+        .select("hadm_id")
+    )
+    return ev.join(dup, "hadm_id", "left_anti"), ev.join(dup, "hadm_id", "left_semi")
+
+
+def _combine_daily(a: DataFrame, b: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Per-day counts of two disjoint id sets added; a day present in either
+    keeps its row. Both inputs are calendar-sized."""
+    j = a.join(b.select(key, *[F.col(c).alias(f"_b_{c}") for c in counts]), key, "full_outer")
+    return j.select(
+        key,
+        *[(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_b_{c}"), F.lit(0))).alias(c) for c in counts],
+    )
+
+
+def daily_occupancy_hybrid(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+    """C14 for any input at near-sweep cost: stays of ids seen once (and NULL
+    ids) by sweep, stays of duplicated ids by the flag pass; per-day counts
+    over disjoint id sets add up."""
+    uni, dup = split_duplicate_ids(ev)
+    return _combine_daily(
+        occupancy_from_sweep(daily_sweep(uni, pred_window, act_window)),
+        daily_occupancy_flags(dup, pred_window, act_window),
+        "timeline",
+        ["predicted_count", "actual_count"],
+    )
+
+
+def lookahead_hybrid(ev: DataFrame, window: DayWindow, lookahead_days: int) -> DataFrame:
+    """``(time, pn, n)`` for any input: sweep for ids seen once, aggregated
+    counts for duplicated ids, added per day."""
+    uni, dup = split_duplicate_ids(ev)
+    return _combine_daily(
+        lookahead_from_sweep(daily_sweep(uni, window, window, lookahead_days)),
+        lookahead_counts_by_id(dup, window, lookahead_days),
+        "time",
+        ["pn", "n"],
+    )
+
+
 __all__ = [
     "calendar",
     "daily_occupancy_by_side_sweep",
     "daily_occupancy_flags",
+    "daily_occupancy_hybrid",
     "daily_occupancy_sweep",
     "daily_sweep",
     "lookahead_counts_by_id",
+    "lookahead_hybrid",
     "lookahead_sweep",
     "presence_flag_pass",
     "presence_flag_rows",
+    "split_duplicate_ids",
     "stay_spans",
 ]

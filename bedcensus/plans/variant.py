@@ -5,7 +5,9 @@
     "sweep"  O(stays) sweep forms; the caller vouches for unique ids
     "flags"  exact for any input: one explode + group-by on (day, id), and
              the aggregated look-ahead counts
-    "auto"   "sweep" if the ids are unique, else "flags"; uniqueness is
+    "hybrid" exact for any input: "sweep" for the stays of ids seen once,
+             "flags" only for the stays of duplicated ids
+    "auto"   "sweep" if the ids are unique, else "hybrid"; uniqueness is
              checked once per input with one aggregate over the ids
 """
 
@@ -25,7 +27,7 @@ from bedcensus.operators import reports as R
 from bedcensus.operators import stays as S
 from bedcensus.plans import forms
 
-FORMS = ("auto", "join", "sweep", "flags")
+FORMS = ("auto", "join", "sweep", "flags", "hybrid")
 
 
 def keys_unique(df: DataFrame, cols: list[str]) -> bool:
@@ -117,7 +119,7 @@ class Variant:
     def _form(self, unique: bool | None) -> str:
         if self.form != "auto":
             return self.form
-        return "sweep" if unique else "flags"
+        return "sweep" if unique else "hybrid"
 
     def form_new(self) -> str:
         return self._form(self.inputs.ids_unique() if self.form == "auto" else None)
@@ -175,6 +177,8 @@ class Variant:
             return O.daily_occupancy(O.align_presence(self.predicted_new(), self.actual_new()))
         if f == "sweep":
             return forms.occupancy_from_sweep(self.sweep_new())
+        if f == "hybrid":
+            return forms.daily_occupancy_hybrid(self.ev, w, w)
         return forms.daily_occupancy_flags(self.ev, w, w)
 
     def occupancy_old(self) -> DataFrame:
@@ -192,6 +196,8 @@ class Variant:
             return O.daily_occupancy(O.align_presence(self.predicted_old(), self.actual_old()))
         if f == "sweep":
             return forms.occupancy_from_sweep(self.sweep_old())
+        if f == "hybrid":
+            return forms.daily_occupancy_hybrid(self.rebased(), pw, aw)
         return forms.daily_occupancy_flags(self.rebased(), pw, aw)
 
     def occupancy_error_new(self) -> DataFrame:
@@ -217,6 +223,8 @@ class Variant:
             return per_day.join(actual, per_day.time == actual.timeline, "inner").select("time", "pn", "n")
         if f == "sweep":
             return forms.lookahead_from_sweep(self.sweep_new())
+        if f == "hybrid":
+            return forms.lookahead_hybrid(self.ev, w, lag)
         return forms.lookahead_counts_by_id(self.ev, w, lag)
 
     def lookahead_error(self) -> DataFrame:

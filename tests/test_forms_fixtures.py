@@ -87,7 +87,7 @@ RESULTS = {
 }
 
 
-@pytest.mark.parametrize("form", ["join", "sweep", "flags", "auto"])
+@pytest.mark.parametrize("form", ["join", "sweep", "flags", "hybrid", "auto"])
 def test_edge_rows_all_forms(spark, form):
     inputs, con = _setup(spark, EDGE_ROWS)
     sql = fixture_oracle(EDGE_PARAMS)
@@ -140,7 +140,7 @@ def test_edge_rows_day_semantics(spark):
     assert max(d for h, d in act if h == 16) == date(1996, 3, 1)
 
 
-@pytest.mark.parametrize("form", ["join", "flags", "auto"])
+@pytest.mark.parametrize("form", ["join", "flags", "hybrid", "auto"])
 def test_duplicate_ids_exact_forms(spark, form):
     inputs, con = _setup(spark, DUP_ROWS)
     sql = fixture_oracle(DUP_PARAMS)
@@ -154,7 +154,7 @@ def test_duplicate_ids_auto_falls_back(spark):
     inputs, _ = _setup(spark, DUP_ROWS)
     var = Variant(inputs, variant_config("normal", DUP_PARAMS), "auto")
     assert not inputs.ids_unique()
-    assert var.form_new() == "flags" and var.form_old() == "flags"
+    assert var.form_new() == "hybrid" and var.form_old() == "hybrid"
     uniq, _ = _setup(spark, EDGE_ROWS)
     assert Variant(uniq, variant_config("normal", EDGE_PARAMS), "auto").form_new() == "sweep"
 

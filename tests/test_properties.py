@@ -88,7 +88,7 @@ def test_unique_ids_all_forms(spark, stays, shift):
 )
 def test_duplicate_ids_exact_forms(spark, stays, ids, shift):
     rows = _rows(stays, ids)
-    _check(spark, rows, ["join", "flags", "auto"], shift)
+    _check(spark, rows, ["join", "flags", "hybrid"], shift)
 
 
 assert set(VARIANTS) >= {"normal", "symmetric_narrow"}
