@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bedcensus.operators.reports import histogram
+
 
 def lookahead_presence(flags: DataFrame, days: int = 3) -> DataFrame:
     """C20: ``(time, predicted)`` — left equi-join of the actually present rows
@@ -49,4 +51,4 @@ def lookahead_error_histogram(
         actual_daily, lookahead_per_day.time == actual_daily.timeline, "inner"
     )
     err = (F.col("n") - (F.col("pn") + F.lit(inflow))).cast("bigint").alias("error")
-    return joined.select(err).groupBy("error").agg(F.count("error").alias("n"))
+    return histogram(joined.select(err))

@@ -228,6 +228,10 @@ class Variant:
         return forms.lookahead_counts_by_id(self.ev, w, lag)
 
     def lookahead_error(self) -> DataFrame:
+        if self.form_new() == "join":
+            tl = self.timeline_new()
+            per_day = L.lookahead_daily(L.lookahead_presence(O.presence_flags(tl), self.cfg.lookahead_days))
+            return L.lookahead_error_histogram(per_day, O.daily_actual_distinct(tl), self.cfg.inflow)
         d = self.lookahead_per_day()
         err = (F.col("n") - (F.col("pn") + F.lit(self.cfg.inflow))).cast("bigint").alias("error")
         return R.histogram(d.select(err))
