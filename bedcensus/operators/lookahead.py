@@ -18,9 +18,9 @@ def lookahead_presence(flags: DataFrame, days: int = 3) -> DataFrame:
     with the rows of the same id ``days`` later, keyed on (id, day + days).
 
     Row-level output: one row per (present row, matching later row), as the
-    original. The histogram (C22) does not go through this table; see
-    :func:`bedcensus.plans.forms.lookahead_counts_by_id` for the
-    aggregated form that never materialises the pairs.
+    original. Only the literal ("join") form builds C22 from this table; the
+    other forms count the matches without materialising the pairs
+    (:func:`bedcensus.plans.forms.lookahead_counts_by_id`, the sweep).
     """
     now = flags.where(F.col("actual")).select(
         F.col("timeline").alias("time"),

@@ -21,6 +21,7 @@ from bedcensus.operators.stays import attach_old_admission
 from bedcensus.plans.variant import Inputs, Variant, keys_unique
 from bedcensus.session import get_session, materialize
 from bedcensus.sources import admissions_from_evaluation, load_inputs, write_result
+from bedcensus.sources.tables import has_prepared_inputs
 
 SORT_KEYS = {
     "los_error_diff": ["error"],
@@ -54,7 +55,7 @@ def prepare_inputs(
         inputs = Inputs(ev, adm)
         return inputs.declare_unique() if assume_unique_keys else inputs
     written = False
-    if not os.path.exists(os.path.join(sf_dir, "admissions.parquet")):
+    if not has_prepared_inputs(spark, sf_dir):
         # admissions is derived from evaluation: write evaluation first so
         # the derivation is not computed twice
         ev, written = materialize(ev, "evaluation"), True

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,21 @@ def admissions_from_evaluation(ev: DataFrame) -> DataFrame:
     )
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` can be read as parquet (any file system Spark knows)."""
+    try:
+        spark.read.parquet(path).schema
+        return True
+    except AnalysisException:
+        return False
+
+
+def has_prepared_inputs(spark: SparkSession, sf_dir: str) -> bool:
+    return table_exists(spark, table_path(sf_dir, "evaluation")) and table_exists(
+        spark, table_path(sf_dir, "admissions")
+    )
+
+
 def load_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(evaluation, admissions) for a directory of test tables.
 
@@ -104,9 +120,10 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     ``admissions.parquet`` they are read as they are; otherwise both are
     derived from ``orders`` and ``lineitem``.
     """
-    ev_path = table_path(sf_dir, "evaluation")
-    adm_path = table_path(sf_dir, "admissions")
-    if os.path.exists(ev_path) and os.path.exists(adm_path):
-        return read_evaluation(spark, ev_path), read_admissions(spark, adm_path)
+    if has_prepared_inputs(spark, sf_dir):
+        return (
+            read_evaluation(spark, table_path(sf_dir, "evaluation")),
+            read_admissions(spark, table_path(sf_dir, "admissions")),
+        )
     ev = evaluation_from_orders(spark, sf_dir)
     return ev, admissions_from_evaluation(ev)

@@ -69,3 +69,20 @@ def test_attached_rebase(spark):
 
     var = Variant(inputs, variant_config("normal", FIXTURE), "join", ev=inputs.ev)
     assert_same(var.rebased(), con, E.oracle_sql()["rebase_admissions"], "attached rebase")
+
+
+def test_job_on_prepared_tables(spark):
+    """A folder holding ``evaluation`` and ``admissions`` parquet (no orders or
+    lineitem) is read as it is, and gives the same results."""
+    from bedcensus.sources import load_inputs
+
+    prepared = tempfile.mkdtemp(prefix="bedcensus-prepared-")
+    ev, adm = load_inputs(spark, SF_SMALL)
+    ev.write.parquet(f"{prepared}/evaluation.parquet")
+    adm.write.parquet(f"{prepared}/admissions.parquet")
+    out = tempfile.mkdtemp(prefix="bedcensus-job-")
+    written = run(spark, prepared, out, FIXTURE, "auto")
+    con = duck(SF_SMALL)
+    sql = E.oracle_sql()
+    for name, (key, schema) in _expected().items():
+        assert_same(read_result(spark, written[name], schema), con, sql[key], name)
