@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +92,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for ``df`` only when it has at most ``max_rows`` rows.
 
-    The check runs ``limit(max_rows + 1).count()``, so it never scans more
-    than it needs after ``df`` is computed. Above the bound ``df`` is returned
-    unhinted and the planner keeps a shuffle join.
+    The check runs ``limit(max_rows + 1).count()`` on a persisted ``df``, so
+    the broadcast reuses what the check computed. Above the bound the copy is
+    released and ``df`` is returned unhinted: the planner keeps a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
