@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import argparse
 import os
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from bedcensus.config import FIXTURE, REFERENCE, VARIANTS, Params, variant_config
 from bedcensus.operators import adjust as A
@@ -83,6 +86,37 @@ def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist:
     }
 
 
+def result_tables(variants: dict[str, Variant]) -> list[tuple[str, str, DataFrame]]:
+    """``(folder, name, DataFrame)`` of all 22 result tables."""
+    out = []
+    for variant in variants.values():
+        for name, df in variant.results().items():
+            out.append((variant.cfg.name, name, df))
+    normal = variants["normal"]
+    out.append(("extra", "bed_occupancy", normal.bed_occupancy_year()))
+    out.append(("extra", "occupancy", normal.occupancy_level_frequency()))
+    return out
+
+
+def run_concurrently(actions: list[tuple[str, Callable[[], None]]], parallelism: int) -> dict[str, float]:
+    """Run independent Spark actions from ``parallelism`` driver threads.
+
+    The result tables are independent and mostly small, so submitting them
+    together keeps the cluster busy instead of paying each job's fixed
+    latency in turn. Returns each action's own elapsed seconds.
+    """
+    def timed(item):
+        name, action = item
+        t = time.perf_counter()
+        action()
+        return name, time.perf_counter() - t
+
+    if parallelism <= 1:
+        return dict(timed(a) for a in actions)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return dict(pool.map(timed, actions))
+
+
 def run(
     spark: SparkSession,
     sf_dir: str,
@@ -90,21 +124,20 @@ def run(
     params: Params = FIXTURE,
     form: str = "auto",
     assume_unique_keys: bool = False,
+    parallelism: int = 4,
 ) -> dict[str, str]:
     """Write all 22 result tables; returns name -> path."""
     inputs = prepare_inputs(spark, sf_dir, assume_unique_keys=assume_unique_keys)
     variants = build_variants(inputs, params, form)
-    written = {}
-    for variant in variants.values():
-        for name, df in variant.results().items():
-            path = os.path.join(out_dir, variant.cfg.name, f"{name}.csv")
-            write_result(df, path, _sort_key(name))
-            written[name] = path
-    normal = variants["normal"]
-    for name, df in (("bed_occupancy", normal.bed_occupancy_year()), ("occupancy", normal.occupancy_level_frequency())):
-        path = os.path.join(out_dir, "extra", f"{name}.csv")
-        write_result(df, path, _sort_key(name))
+    written: dict[str, str] = {}
+    actions = []
+    for folder, name, df in result_tables(variants):
+        path = os.path.join(out_dir, folder, f"{name}.csv")
         written[name] = path
+        actions.append((name, lambda df=df, path=path, name=name: write_result(df, path, _sort_key(name))))
+    run_concurrently(actions, parallelism)
+    for variant in variants.values():
+        variant.unpersist()
     return written
 
 
@@ -115,6 +148,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--params", choices=["fixture", "reference"], default="fixture")
     ap.add_argument("--form", choices=["auto", "join", "sweep", "flags"], default="auto")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--parallelism", type=int, default=4, help="result tables written at once")
     ap.add_argument(
         "--assume-unique-keys",
         action="store_true",
@@ -123,7 +157,9 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = get_session(master=args.master)
     params = FIXTURE if args.params == "fixture" else REFERENCE
-    written = run(spark, args.sf_dir, args.out_dir, params, args.form, args.assume_unique_keys)
+    written = run(
+        spark, args.sf_dir, args.out_dir, params, args.form, args.assume_unique_keys, args.parallelism
+    )
     for name, path in sorted(written.items()):
         print(f"{name}\t{path}")
 
