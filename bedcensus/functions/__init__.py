@@ -1,4 +1,6 @@
 from bedcensus.functions.columns import (
+    clip_end,
+    clip_start,
     day_span,
     discharge_day,
     los_error,
@@ -6,4 +8,4 @@ from bedcensus.functions.columns import (
     uniform01,
 )
 
-__all__ = ["day_span", "discharge_day", "los_error", "rounded", "uniform01"]
+__all__ = ["clip_end", "clip_start", "day_span", "discharge_day", "los_error", "rounded", "uniform01"]

@@ -43,20 +43,27 @@ def discharge_day(admit: Column | str, los: Column | str) -> Column:
 
 
 def clip_start(start: Column, lo: date) -> Column:
-    return F.greatest(start, F.lit(lo))
+    """``max(start, lo)``, NULL when ``start`` is NULL.
+
+    Spark's ``greatest`` / ``least`` skip NULLs, which would turn a stay
+    without an end into one reaching the window edge.
+    """
+    return F.when(start < F.lit(lo), F.lit(lo)).otherwise(start)
 
 
 def clip_end(end: Column, hi: date) -> Column:
-    return F.least(end, F.lit(hi))
+    """``min(end, hi)``, NULL when ``end`` is NULL."""
+    return F.when(end > F.lit(hi), F.lit(hi)).otherwise(end)
 
 
 def day_span(start: Column, end: Column, lo: date, hi: date) -> Column:
     """Array of the days of ``[start, end]`` inside the window ``[lo, hi]``.
 
     NULL when the clipped span is empty (negative length, or the stay lies
-    outside the window), so ``explode`` yields no row for it. The guard sits in
-    the same expression as ``sequence``: Spark's ``sequence`` would descend
-    for ``start > end`` instead of returning nothing.
+    outside the window) or an end is NULL, so ``explode`` yields no row for
+    it. The guard sits in the same expression as ``sequence``: Spark's
+    ``sequence`` would descend for ``start > end`` instead of returning
+    nothing.
     """
     s = clip_start(start, lo)
     e = clip_end(end, hi)

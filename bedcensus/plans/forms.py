@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedcensus.config import DayWindow
-from bedcensus.functions.columns import discharge_day
+from bedcensus.functions.columns import clip_end, clip_start, discharge_day
 
 # A calendar up to this many days is broadcast to the per-day deltas join.
 CALENDAR_BROADCAST_MAX_DAYS = 2_000_000
@@ -39,7 +39,8 @@ _COUNTERS = ("p_cnt", "p_any", "a_cnt", "a_any", "u_any", "look")
 
 def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
     """``(hadm_id, admittime, p_s, p_e, a_s, a_e)``: clipped predicted and actual
-    day spans of each stay; a span is empty when its start exceeds its end."""
+    day spans of each stay; a span is empty when its start exceeds its end or
+    an end is NULL (a NULL length)."""
     start = F.to_date("admittime")
     pe = discharge_day("admittime", "predicted_los")
     ae = discharge_day("admittime", "actual_los")
@@ -49,10 +50,10 @@ def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) ->
     return ev.where(F.col("admittime") < F.lit(last + timedelta(days=1))).select(
         "hadm_id",
         start.alias("admittime"),
-        F.greatest(start, F.lit(pred_window.lo)).alias("p_s"),
-        F.least(pe, F.lit(pred_window.hi)).alias("p_e"),
-        F.greatest(start, F.lit(act_window.lo)).alias("a_s"),
-        F.least(ae, F.lit(act_window.hi)).alias("a_e"),
+        clip_start(start, pred_window.lo).alias("p_s"),
+        clip_end(pe, pred_window.hi).alias("p_e"),
+        clip_start(start, act_window.lo).alias("a_s"),
+        clip_end(ae, act_window.hi).alias("a_e"),
     )
 
 
@@ -67,6 +68,16 @@ def _cover(a: DayWindow, b: DayWindow) -> DayWindow:
     return DayWindow(min(a.lo, b.lo), max(a.hi, b.hi))
 
 
+def _max(a: str, b: str) -> str:
+    """SQL ``max(a, b)`` that is NULL if either is (``greatest`` skips NULLs)."""
+    return f"CASE WHEN {a} >= {b} THEN {a} WHEN {a} < {b} THEN {b} END"
+
+
+def _min(a: str, b: str) -> str:
+    """SQL ``min(a, b)`` that is NULL if either is (``least`` skips NULLs)."""
+    return f"CASE WHEN {a} <= {b} THEN {a} WHEN {a} > {b} THEN {b} END"
+
+
 def _span_events(s: str, e: str, weights: dict[str, str]) -> list[str]:
     """SQL for +w at ``s`` and -w at ``e + 1`` of a non-empty span, else NULL.
 
@@ -103,16 +114,16 @@ def daily_sweep(
     events += _span_events("p_s", "p_e", {"p_cnt": "nn", "p_any": "1", "u_any": "1"})
     events += _span_events("a_s", "a_e", {"a_cnt": "nn", "a_any": "1", "u_any": "1"})
     # union = P + A - (P and A)
-    events += _span_events("greatest(p_s, a_s)", "least(p_e, a_e)", {"u_any": "-1"})
+    events += _span_events(_max("p_s", "a_s"), _min("p_e", "a_e"), {"u_any": "-1"})
     if lookahead_days is not None:
         lag = int(lookahead_days)
         # t in A with t+lag in A:  [a_s, a_e - lag]
         # t in A with t+lag in P:  [max(a_s, p_s - lag), min(a_e, p_e - lag)]
         # both:                    [max(a_s, p_s - lag), min(a_e - lag, p_e - lag)]
-        i2s = f"greatest(a_s, date_sub(p_s, {lag}))"
+        i2s = _max("a_s", f"date_sub(p_s, {lag})")
         events += _span_events("a_s", f"date_sub(a_e, {lag})", {"look": "nn"})
-        events += _span_events(i2s, f"least(a_e, date_sub(p_e, {lag}))", {"look": "nn"})
-        events += _span_events(i2s, f"least(date_sub(a_e, {lag}), date_sub(p_e, {lag}))", {"look": "-nn"})
+        events += _span_events(i2s, _min("a_e", f"date_sub(p_e, {lag})"), {"look": "nn"})
+        events += _span_events(i2s, _min(f"date_sub(a_e, {lag})", f"date_sub(p_e, {lag})"), {"look": "-nn"})
     cover = _cover(pred_window, act_window)
     deltas = (
         spans.select(F.expr(f"explode(array({', '.join(events)}))").alias("e"))

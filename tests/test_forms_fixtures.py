@@ -29,6 +29,10 @@ EDGE_ROWS = [
     (datetime(1996, 3, 3), "1996", 5, 19, 9.0, 3.0),
     (datetime(1996, 3, 4), "1996", 5, 20, 0.5, 6.0),
     (datetime(1996, 3, 5), "1996", 5, 21, 0.0, 4.0),
+    # NULL lengths and a NULL start: no day on the NULL side
+    (datetime(1996, 5, 1), "1996", 6, 22, None, 3.0),
+    (datetime(1996, 5, 2), "1996", 6, 23, 2.0, None),
+    (None, None, 6, 24, 2.0, 3.0),
 ]
 EDGE_PARAMS = Params(
     new_window=DayWindow(date(1995, 1, 1), date(2001, 12, 31)),
@@ -65,7 +69,7 @@ def _adm_rows(rows):
         key = (r[2], r[3])
         if key not in seen:
             seen.add(key)
-            out.append((r[2], r[3], r[0].date()))
+            out.append((r[2], r[3], r[0].date() if r[0] else None))
     return out
 
 

@@ -28,7 +28,7 @@ PARAMS = Params(
 )
 BASE = datetime(1995, 1, 1)
 
-los = st.integers(min_value=-6, max_value=40).map(lambda k: k / 4.0)
+los = st.one_of(st.integers(min_value=-6, max_value=40).map(lambda k: k / 4.0), st.none())
 stay = st.tuples(
     st.integers(min_value=0, max_value=60),  # admission day offset
     st.sampled_from([0, 13]),  # hour
