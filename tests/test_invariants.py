@@ -14,7 +14,7 @@ from bedcensus.operators import adjust as A
 from bedcensus.plans.job import build_variants
 from bedcensus.plans.variant import Inputs
 from bedcensus.sources import load_inputs
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,31 @@ def test_variant_config_offsets():
     his = {v: cfg[v].old_predicted_window.hi for v in VARIANTS}
     assert (his["normal"] - his["symmetric"]).days == 4
     assert his["narrow"] == his["symmetric_narrow"]
+
+
+def test_i3_mirrored_pairs_keep_their_total(spark):
+    """n(e) + n(-e) is the same before and after symmetrising, on the rows
+    whose raw error is a whole number (a shift of 2e then lands exactly on
+    -e; fractional errors can round to a neighbour of -e)."""
+    from bedcensus.operators.reports import histogram
+
+    ev, _ = load_inputs(spark, SF_MID)
+    raw = F.col("actual_los") - F.col("predicted_los")
+    whole = ev.where(raw == F.floor(raw)).select("hadm_id")
+    sym = A.symmetric_evaluation(ev)
+
+    def pair_totals(df):
+        return _hist(histogram(df.join(whole, "hadm_id").select(F.abs(los_error()).alias("error"))))
+
+    assert pair_totals(ev) == pair_totals(sym)
+    # and rows did move: the signed histograms differ
+    signed = lambda df: _hist(histogram(df.select(los_error().alias("error"))))
+    assert signed(ev) != signed(sym)
+
+
+def test_i7_occupancy_days_follow_the_predictions(variants):
+    """The days of the new-timeline occupancy are the days anyone is present
+    on either side, so they depend on the predictions."""
+    for v in VARIANTS:
+        occ = variants[v].occupancy_new()
+        assert occ.where("predicted_count = 0 AND actual_count = 0").count() == 0
