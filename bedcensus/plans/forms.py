@@ -314,7 +314,7 @@ def split_duplicate_ids(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ev.join(dup, "hadm_id", "left_anti"), ev.join(dup, "hadm_id", "left_semi")
 
 
-def _combine_daily(a: DataFrame, b: DataFrame, key: str, counts: list[str]) -> DataFrame:
+def combine_daily(a: DataFrame, b: DataFrame, key: str, counts: list[str]) -> DataFrame:
     """Per-day counts of two disjoint id sets added; a day present in either
     keeps its row. Both inputs are calendar-sized."""
     j = a.join(b.select(key, *[F.col(c).alias(f"_b_{c}") for c in counts]), key, "full_outer")
@@ -329,7 +329,7 @@ def daily_occupancy_hybrid(ev: DataFrame, pred_window: DayWindow, act_window: Da
     ids) by sweep, stays of duplicated ids by the flag pass; per-day counts
     over disjoint id sets add up."""
     uni, dup = split_duplicate_ids(ev)
-    return _combine_daily(
+    return combine_daily(
         occupancy_from_sweep(daily_sweep(uni, pred_window, act_window)),
         daily_occupancy_flags(dup, pred_window, act_window),
         "timeline",
@@ -341,7 +341,7 @@ def lookahead_hybrid(ev: DataFrame, window: DayWindow, lookahead_days: int) -> D
     """``(time, pn, n)`` for any input: sweep for ids seen once, aggregated
     counts for duplicated ids, added per day."""
     uni, dup = split_duplicate_ids(ev)
-    return _combine_daily(
+    return combine_daily(
         lookahead_from_sweep(daily_sweep(uni, window, window, lookahead_days)),
         lookahead_counts_by_id(dup, window, lookahead_days),
         "time",
@@ -351,6 +351,7 @@ def lookahead_hybrid(ev: DataFrame, window: DayWindow, lookahead_days: int) -> D
 
 __all__ = [
     "calendar",
+    "combine_daily",
     "daily_occupancy_by_side_sweep",
     "daily_occupancy_flags",
     "daily_occupancy_hybrid",

@@ -97,6 +97,7 @@ class Variant:
         self.ev = ev if ev is not None else A.adjust_predictions(inputs.ev, cfg.adjust, cfg.error_threshold)
         self.persist = persist
         self._memo: dict[str, DataFrame] = {}
+        self._split: tuple[DataFrame, DataFrame] | None = None
 
     def _once(self, key: str, build, persist: bool = False) -> DataFrame:
         """Build each intermediate once per variant. ``persist`` is used only
@@ -159,6 +160,28 @@ class Variant:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
         return self._once("sw_old", lambda: forms.daily_sweep(self.rebased(), pw, aw), persist=True)
 
+    # -- hybrid: ids seen once by sweep, duplicated ids by flag pass ------------
+    def _split_new(self) -> tuple[DataFrame, DataFrame]:
+        """(stays of ids seen once or NULL, stays of duplicated ids), built once."""
+        if self._split is None:
+            self._split = forms.split_duplicate_ids(self.ev)
+        return self._split
+
+    def sweep_new_unique_part(self) -> DataFrame:
+        w = self.cfg.new_window
+        return self._once(
+            "sw_new_uni",
+            lambda: forms.daily_sweep(self._split_new()[0], w, w, self.cfg.lookahead_days),
+            persist=True,
+        )
+
+    def _join_lookahead_parts(self) -> tuple[DataFrame, DataFrame]:
+        """Literal chain: ``(time, pn)`` from the offset self-join and
+        ``(timeline, n)`` distinct actual ids, both from the presence timeline."""
+        tl = self.timeline_new()
+        per_day = L.lookahead_daily(L.lookahead_presence(O.presence_flags(tl), self.cfg.lookahead_days))
+        return per_day, O.daily_actual_distinct(tl)
+
     # -- results --------------------------------------------------------------
     def los_error(self) -> DataFrame:
         return R.los_error_histogram(self.ev)
@@ -178,7 +201,12 @@ class Variant:
         if f == "sweep":
             return forms.occupancy_from_sweep(self.sweep_new())
         if f == "hybrid":
-            return forms.daily_occupancy_hybrid(self.ev, w, w)
+            return forms.combine_daily(
+                forms.occupancy_from_sweep(self.sweep_new_unique_part()),
+                forms.daily_occupancy_flags(self._split_new()[1], w, w),
+                "timeline",
+                ["predicted_count", "actual_count"],
+            )
         return forms.daily_occupancy_flags(self.ev, w, w)
 
     def occupancy_old(self) -> DataFrame:
@@ -217,21 +245,23 @@ class Variant:
         w, lag = self.cfg.new_window, self.cfg.lookahead_days
         f = self.form_new()
         if f == "join":
-            tl = self.timeline_new()
-            per_day = L.lookahead_daily(L.lookahead_presence(O.presence_flags(tl), lag))
-            actual = O.daily_actual_distinct(tl)
+            per_day, actual = self._join_lookahead_parts()
             return per_day.join(actual, per_day.time == actual.timeline, "inner").select("time", "pn", "n")
         if f == "sweep":
             return forms.lookahead_from_sweep(self.sweep_new())
         if f == "hybrid":
-            return forms.lookahead_hybrid(self.ev, w, lag)
+            return forms.combine_daily(
+                forms.lookahead_from_sweep(self.sweep_new_unique_part()),
+                forms.lookahead_counts_by_id(self._split_new()[1], w, lag),
+                "time",
+                ["pn", "n"],
+            )
         return forms.lookahead_counts_by_id(self.ev, w, lag)
 
     def lookahead_error(self) -> DataFrame:
         if self.form_new() == "join":
-            tl = self.timeline_new()
-            per_day = L.lookahead_daily(L.lookahead_presence(O.presence_flags(tl), self.cfg.lookahead_days))
-            return L.lookahead_error_histogram(per_day, O.daily_actual_distinct(tl), self.cfg.inflow)
+            per_day, actual = self._join_lookahead_parts()
+            return L.lookahead_error_histogram(per_day, actual, self.cfg.inflow)
         d = self.lookahead_per_day()
         err = (F.col("n") - (F.col("pn") + F.lit(self.cfg.inflow))).cast("bigint").alias("error")
         return R.histogram(d.select(err))
