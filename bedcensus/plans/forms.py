@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 
 from bedcensus.config import DayWindow
 from bedcensus.functions.columns import clip_end, clip_start, discharge_day
+from bedcensus.session import broadcast_if_bounded
 
 # A calendar up to this many days is broadcast to the per-day deltas join.
 CALENDAR_BROADCAST_MAX_DAYS = 2_000_000
+# A list of duplicated ids up to this size (8 bytes each) is broadcast to split
+# the stays; beyond it the split joins by shuffle.
+DUP_IDS_BROADCAST_MAX = 4_000_000
 
 _COUNTERS = ("p_cnt", "p_any", "a_cnt", "a_any", "u_any", "look")
 
@@ -297,12 +301,15 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
     )
 
 
-def split_duplicate_ids(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_duplicate_ids(
+    ev: DataFrame, broadcast_max_ids: int = DUP_IDS_BROADCAST_MAX
+) -> tuple[DataFrame, DataFrame]:
     """``(rows of ids seen once or NULL, rows of ids seen more than once)``.
 
-    One aggregate over the ids (map-side partial counts) and a semi / anti
-    join on ``hadm_id``; AQE broadcasts the duplicate-id list when it turns
-    out small and splits a skewed id's partition otherwise.
+    One aggregate over the ids (map-side partial counts) gives the list of
+    duplicated ids; the semi / anti joins broadcast it once its size is
+    checked (so ``ev`` is not shuffled for the split), else join by shuffle,
+    where AQE splits a skewed id's partition.
     """
     dup = (
         ev.where(F.col("hadm_id").isNotNull())
@@ -311,6 +318,7 @@ def split_duplicate_ids(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where(F.col("count") > 1)
         .select("hadm_id")
     )
+    dup = broadcast_if_bounded(dup, broadcast_max_ids)
     return ev.join(dup, "hadm_id", "left_anti"), ev.join(dup, "hadm_id", "left_semi")
 
 
