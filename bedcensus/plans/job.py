@@ -124,7 +124,7 @@ def run(
     params: Params = FIXTURE,
     form: str = "auto",
     assume_unique_keys: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> dict[str, str]:
     """Write all 22 result tables; returns name -> path."""
     inputs = prepare_inputs(spark, sf_dir, assume_unique_keys=assume_unique_keys)
@@ -148,7 +148,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--params", choices=["fixture", "reference"], default="fixture")
     ap.add_argument("--form", choices=["auto", "join", "sweep", "flags"], default="auto")
     ap.add_argument("--master", default=None)
-    ap.add_argument("--parallelism", type=int, default=4, help="result tables written at once")
+    ap.add_argument("--parallelism", type=int, default=8, help="result tables written at once")
     ap.add_argument(
         "--assume-unique-keys",
         action="store_true",

@@ -4,7 +4,7 @@
 
 Prints ONE JSON line. ``value`` is the wall time of the job in the default
 ("auto") form as the job runs it: inputs prepared once, then the 22 result
-tables submitted from 4 driver threads, each executed to completion with a
+tables submitted from 8 driver threads, each executed to completion with a
 no-op write (nothing collected). ``queries`` holds each result's own elapsed
 time inside that run (they overlap). ``--sequential`` adds a pass with fresh
 inputs that runs the results one at a time (``sequential`` in the output);
@@ -30,7 +30,7 @@ from bedcensus.config import FIXTURE  # noqa: E402
 from bedcensus.plans.job import build_variants, prepare_inputs, result_tables, run_concurrently  # noqa: E402
 from bedcensus.session import get_session  # noqa: E402
 
-PARALLELISM = 4
+PARALLELISM = 8
 
 
 def _noop(df):
