@@ -86,24 +86,30 @@ def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist:
     }
 
 
-def result_tables(variants: dict[str, Variant]) -> list[tuple[str, str, DataFrame]]:
-    """``(folder, name, DataFrame)`` of all 22 result tables."""
+def result_builders(variants: dict[str, Variant]) -> list[tuple[str, str, Callable[[], DataFrame]]]:
+    """``(folder, name, builder)`` of all 22 result tables."""
     out = []
     for variant in variants.values():
-        for name, df in variant.results().items():
-            out.append((variant.cfg.name, name, df))
+        for name, build in variant.result_builders().items():
+            out.append((variant.cfg.name, name, build))
     normal = variants["normal"]
-    out.append(("extra", "bed_occupancy", normal.bed_occupancy_year()))
-    out.append(("extra", "occupancy", normal.occupancy_level_frequency()))
+    out.append(("extra", "bed_occupancy", normal.bed_occupancy_year))
+    out.append(("extra", "occupancy", normal.occupancy_level_frequency))
     return out
 
 
+def result_tables(variants: dict[str, Variant]) -> list[tuple[str, str, DataFrame]]:
+    """``(folder, name, DataFrame)`` of all 22 result tables."""
+    return [(folder, name, build()) for folder, name, build in result_builders(variants)]
+
+
 def run_concurrently(actions: list[tuple[str, Callable[[], None]]], parallelism: int) -> dict[str, float]:
     """Run independent Spark actions from ``parallelism`` driver threads.
 
     The result tables are independent and mostly small, so submitting them
     together keeps the cluster busy instead of paying each job's fixed
-    latency in turn. Returns each action's own elapsed seconds.
+    latency (and the driver's planning of each) in turn. Returns each
+    action's own elapsed seconds.
     """
     def timed(item):
         name, action = item
@@ -131,10 +137,12 @@ def run(
     variants = build_variants(inputs, params, form)
     written: dict[str, str] = {}
     actions = []
-    for folder, name, df in result_tables(variants):
+    for folder, name, build in result_builders(variants):
         path = os.path.join(out_dir, folder, f"{name}.csv")
         written[name] = path
-        actions.append((name, lambda df=df, path=path, name=name: write_result(df, path, _sort_key(name))))
+        actions.append(
+            (name, lambda build=build, path=path, name=name: write_result(build(), path, _sort_key(name)))
+        )
     run_concurrently(actions, parallelism)
     for variant in variants.values():
         variant.unpersist()

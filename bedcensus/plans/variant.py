@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -54,6 +56,7 @@ class Inputs:
     ev: DataFrame
     adm: DataFrame
     _unique: dict = field(default_factory=dict)
+    _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def declare_unique(self, ids: bool = True, admission_keys: bool = True) -> "Inputs":
         self._unique["ev"] = ids
@@ -66,16 +69,18 @@ class Inputs:
         The adjustments keep ids and row counts, so this holds for every
         variant's table.
         """
-        if "ev" not in self._unique:
-            self._unique["ev"] = keys_unique(self.ev, ["hadm_id"])
-        return self._unique["ev"]
+        with self._lock:
+            if "ev" not in self._unique:
+                self._unique["ev"] = keys_unique(self.ev, ["hadm_id"])
+            return self._unique["ev"]
 
     def rebased_ids_unique(self) -> bool:
         """Non-null ``hadm_id`` unique after the rebase join: unique in
         ``evaluation`` and at most one admissions row per join key."""
-        if "adm" not in self._unique:
-            self._unique["adm"] = keys_unique(self.adm, ["subject_id", "hadm_id"])
-        return self.ids_unique() and self._unique["adm"]
+        with self._lock:
+            if "adm" not in self._unique:
+                self._unique["adm"] = keys_unique(self.adm, ["subject_id", "hadm_id"])
+            return self.ids_unique() and self._unique["adm"]
 
 
 class Variant:
@@ -98,18 +103,22 @@ class Variant:
         self.persist = persist
         self._memo: dict[str, DataFrame] = {}
         self._split: tuple[DataFrame, DataFrame] | None = None
+        # result tables may be built from several driver threads (the job
+        # writes them concurrently); shared intermediates are built once
+        self._lock = threading.RLock()
 
     def _once(self, key: str, build, persist: bool = False) -> DataFrame:
         """Build each intermediate once per variant. ``persist`` is used only
         for calendar-sized tables (at most one row per day of the window),
         which several results read; a variant built for a single result
         (``persist=False``) skips it."""
-        if key not in self._memo:
-            df = build()
-            if persist and self.persist:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._memo[key] = df
-        return self._memo[key]
+        with self._lock:
+            if key not in self._memo:
+                df = build()
+                if persist and self.persist:
+                    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                self._memo[key] = df
+            return self._memo[key]
 
     def unpersist(self) -> None:
         for df in self._memo.values():
@@ -163,9 +172,10 @@ class Variant:
     # -- hybrid: ids seen once by sweep, duplicated ids by flag pass ------------
     def _split_new(self) -> tuple[DataFrame, DataFrame]:
         """(stays of ids seen once or NULL, stays of duplicated ids), built once."""
-        if self._split is None:
-            self._split = forms.split_duplicate_ids(self.ev)
-        return self._split
+        with self._lock:
+            if self._split is None:
+                self._split = forms.split_duplicate_ids(self.ev)
+            return self._split
 
     def sweep_new_unique_part(self) -> DataFrame:
         w = self.cfg.new_window
@@ -191,7 +201,8 @@ class Variant:
         return self.ev.drop(*S.REBASE_COLUMNS)
 
     def occupancy_new(self) -> DataFrame:
-        return self._once("occ_new", self._occupancy_new, persist=True)
+        # a filter over the persisted sweep needs no copy of its own
+        return self._once("occ_new", self._occupancy_new, persist=self.form_new() != "sweep")
 
     def _occupancy_new(self) -> DataFrame:
         w = self.cfg.new_window
@@ -210,7 +221,8 @@ class Variant:
         return forms.daily_occupancy_flags(self.ev, w, w)
 
     def occupancy_old(self) -> DataFrame:
-        return self._once("occ_old", self._occupancy_old, persist=True)
+        from_sweep = self.form_old() == "sweep" or (self.cfg.old_shape == "by_side" and self.form_old() != "join")
+        return self._once("occ_old", self._occupancy_old, persist=not from_sweep)
 
     def _occupancy_old(self) -> DataFrame:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
@@ -239,7 +251,7 @@ class Variant:
 
     def lookahead_per_day(self) -> DataFrame:
         """``(time, pn, n)``: look-ahead matches and actual count per day."""
-        return self._once("look", self._lookahead_per_day, persist=True)
+        return self._once("look", self._lookahead_per_day, persist=self.form_new() != "sweep")
 
     def _lookahead_per_day(self) -> DataFrame:
         w, lag = self.cfg.new_window, self.cfg.lookahead_days
@@ -272,13 +284,18 @@ class Variant:
     def occupancy_level_frequency(self) -> DataFrame:
         return R.occupancy_level_frequency(self.occupancy_new())
 
-    def results(self) -> dict[str, DataFrame]:
-        """The five result tables under the original file names."""
+    def result_builders(self) -> dict[str, Callable[[], DataFrame]]:
+        """The five result tables under the original file names, as
+        zero-argument builders (so each can be planned in its own thread)."""
         prefix = "" if self.cfg.name == "normal" else f"{self.cfg.name}_"
         return {
-            f"{prefix}los_error_diff": self.los_error(),
-            f"{prefix}occ": self.lookahead_error(),
-            f"{prefix}occupied_error_diff_new": self.occupancy_error_new(),
-            f"{prefix}occupied_error_diff_old": self.occupancy_error_old(),
-            f"{prefix}occupied_error_within_year_new": self.occupancy_error_year(),
+            f"{prefix}los_error_diff": self.los_error,
+            f"{prefix}occ": self.lookahead_error,
+            f"{prefix}occupied_error_diff_new": self.occupancy_error_new,
+            f"{prefix}occupied_error_diff_old": self.occupancy_error_old,
+            f"{prefix}occupied_error_within_year_new": self.occupancy_error_year,
         }
+
+    def results(self) -> dict[str, DataFrame]:
+        """The five result tables under the original file names."""
+        return {name: build() for name, build in self.result_builders().items()}

@@ -27,14 +27,14 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from bedcensus.config import FIXTURE  # noqa: E402
-from bedcensus.plans.job import build_variants, prepare_inputs, result_tables, run_concurrently  # noqa: E402
+from bedcensus.plans.job import build_variants, prepare_inputs, result_builders, run_concurrently  # noqa: E402
 from bedcensus.session import get_session  # noqa: E402
 
 PARALLELISM = 8
 
 
-def _noop(df):
-    return lambda: df.write.format("noop").mode("overwrite").save()
+def _noop(build):
+    return lambda: build().write.format("noop").mode("overwrite").save()
 
 
 def time_job(spark, sf_dir: str, form: str, parallelism: int) -> tuple[float, dict[str, float]]:
@@ -45,7 +45,7 @@ def time_job(spark, sf_dir: str, form: str, parallelism: int) -> tuple[float, di
         inputs.ids_unique()
         inputs.rebased_ids_unique()
     times = {"prepare_inputs": time.perf_counter() - t0}
-    actions = [(name, _noop(df)) for _, name, df in result_tables(variants)]
+    actions = [(name, _noop(build)) for _, name, build in result_builders(variants)]
     times.update(run_concurrently(actions, parallelism))
     total = time.perf_counter() - t0
     for v in variants.values():
