@@ -99,8 +99,14 @@ def admissions_from_evaluation(ev: DataFrame) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """True if ``path`` can be read as parquet (any file system Spark knows)."""
-    try:
+    """True if ``path`` exists on its file system (any one Spark's Hadoop
+    configuration knows: local, HDFS, object stores)."""
+    jvm = getattr(spark, "_jvm", None)
+    jsc = getattr(spark, "_jsc", None)
+    if jvm is not None and jsc is not None:
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(hpath.getFileSystem(jsc.hadoopConfiguration()).exists(hpath))
+    try:  # no JVM handle (remote session): probe with a read
         spark.read.parquet(path).schema
         return True
     except AnalysisException:
