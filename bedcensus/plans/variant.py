@@ -220,17 +220,23 @@ class Variant:
             )
         return forms.daily_occupancy_flags(self.ev, w, w)
 
+    def _form_old_table(self) -> str:
+        # the per-side row counts (C15) are exact by sweep for any input, so
+        # that shape needs no key check
+        if self.cfg.old_shape == "by_side":
+            return "join" if self.form == "join" else "sweep"
+        return self.form_old()
+
     def occupancy_old(self) -> DataFrame:
-        from_sweep = self.form_old() == "sweep" or (self.cfg.old_shape == "by_side" and self.form_old() != "join")
+        from_sweep = self._form_old_table() == "sweep"
         return self._once("occ_old", self._occupancy_old, persist=not from_sweep)
 
     def _occupancy_old(self) -> DataFrame:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
-        f = self.form_old()
+        f = self._form_old_table()
         if self.cfg.old_shape == "by_side":
             if f == "join":
                 return O.daily_occupancy_by_side(self.predicted_old(), self.actual_old())
-            # the per-side row counts are exact by sweep for any input
             return forms.by_side_from_sweep(self.sweep_old())
         if f == "join":
             return O.daily_occupancy(O.align_presence(self.predicted_old(), self.actual_old()))
