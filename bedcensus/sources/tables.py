@@ -44,18 +44,35 @@ ACTUAL_DIV = 4.0
 OLD_SHIFT_DAYS, OLD_SUBJECT_MULT, OLD_SUBJECT_MOD, OLD_YEAR_DAYS = 41610, 37, 100, 365
 
 
-def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+def table_path(sf_dir: str, name: str, fmt: str = "parquet") -> str:
+    return os.path.join(sf_dir, f"{name}.{fmt}")
 
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """The predictions table, one row per stay, explicit schema."""
-    return spark.read.schema(EVALUATION_SCHEMA).parquet(path)
+def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if fmt == "parquet":
+        return reader.parquet(path)
+    if fmt == "csv":
+        # a database export with a header line; NULL as an empty field
+        return (
+            reader.option("header", True)
+            .option("nullValue", "")
+            .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss]]")
+            .option("dateFormat", "yyyy-MM-dd")
+            .csv(path)
+        )
+    raise ValueError(f"unsupported format {fmt!r}")
+
+
+def read_evaluation(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The predictions table, one row per stay, explicit schema
+    (parquet, or CSV with a header)."""
+    return _read(spark, path, EVALUATION_SCHEMA, fmt)
 
 
-def read_admissions(spark: SparkSession, path: str) -> DataFrame:
+def read_admissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The admissions table carrying the "old" timeline start dates."""
-    return spark.read.schema(ADMISSIONS_SCHEMA).parquet(path)
+    return _read(spark, path, ADMISSIONS_SCHEMA, fmt)
 
 
 def evaluation_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,29 +124,39 @@ def table_exists(spark: SparkSession, path: str) -> bool:
         hpath = jvm.org.apache.hadoop.fs.Path(path)
         return bool(hpath.getFileSystem(jsc.hadoopConfiguration()).exists(hpath))
     try:  # no JVM handle (remote session): probe with a read
-        spark.read.parquet(path).schema
+        spark.read.format("text").load(path).schema
         return True
     except AnalysisException:
         return False
 
 
+def prepared_format(spark: SparkSession, sf_dir: str) -> str | None:
+    """``"parquet"`` or ``"csv"`` when the folder holds both prepared tables
+    (``evaluation.<fmt>`` and ``admissions.<fmt>``), else None."""
+    for fmt in ("parquet", "csv"):
+        if table_exists(spark, table_path(sf_dir, "evaluation", fmt)) and table_exists(
+            spark, table_path(sf_dir, "admissions", fmt)
+        ):
+            return fmt
+    return None
+
+
 def has_prepared_inputs(spark: SparkSession, sf_dir: str) -> bool:
-    return table_exists(spark, table_path(sf_dir, "evaluation")) and table_exists(
-        spark, table_path(sf_dir, "admissions")
-    )
+    return prepared_format(spark, sf_dir) is not None
 
 
 def load_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(evaluation, admissions) for a directory of test tables.
+    """(evaluation, admissions) for a folder.
 
-    If the directory holds prepared ``evaluation.parquet`` and
-    ``admissions.parquet`` they are read as they are; otherwise both are
-    derived from ``orders`` and ``lineitem``.
+    If the folder holds prepared ``evaluation`` and ``admissions`` tables
+    (parquet, or CSV with a header) they are read as they are; otherwise both
+    are derived from ``orders`` and ``lineitem``.
     """
-    if has_prepared_inputs(spark, sf_dir):
+    fmt = prepared_format(spark, sf_dir)
+    if fmt is not None:
         return (
-            read_evaluation(spark, table_path(sf_dir, "evaluation")),
-            read_admissions(spark, table_path(sf_dir, "admissions")),
+            read_evaluation(spark, table_path(sf_dir, "evaluation", fmt), fmt),
+            read_admissions(spark, table_path(sf_dir, "admissions", fmt), fmt),
         )
     ev = evaluation_from_orders(spark, sf_dir)
     return ev, admissions_from_evaluation(ev)

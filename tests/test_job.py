@@ -86,3 +86,24 @@ def test_job_on_prepared_tables(spark):
     sql = E.oracle_sql()
     for name, (key, schema) in _expected().items():
         assert_same(read_result(spark, written[name], schema), con, sql[key], name)
+
+
+def test_job_on_prepared_csv(spark):
+    """The same tables exported as headered CSV (as a database export would
+    be) give the same results."""
+    from pyspark.sql import functions as F
+
+    from bedcensus.sources import load_inputs
+
+    prepared = tempfile.mkdtemp(prefix="bedcensus-prepared-csv-")
+    ev, adm = load_inputs(spark, SF_SMALL)
+    ev.withColumn("admittime", F.date_format("admittime", "yyyy-MM-dd HH:mm:ss")).write.option(
+        "header", True
+    ).csv(f"{prepared}/evaluation.csv")
+    adm.write.option("header", True).csv(f"{prepared}/admissions.csv")
+    out = tempfile.mkdtemp(prefix="bedcensus-job-")
+    written = run(spark, prepared, out, FIXTURE, "auto")
+    con = duck(SF_SMALL)
+    sql = E.oracle_sql()
+    for name, (key, schema) in _expected().items():
+        assert_same(read_result(spark, written[name], schema), con, sql[key], name)
