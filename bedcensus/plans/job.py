@@ -47,27 +47,35 @@ def _sort_key(name: str) -> list[str]:
 def prepare_inputs(
     spark: SparkSession, sf_dir: str, persist: bool = True, assume_unique_keys: bool = False
 ) -> Inputs:
-    """Load (or derive) the inputs; write the base evaluation once.
-
-    When admissions has one row per (subject_id, hadm_id), its start date is
-    attached to the written evaluation by one left join, so the four variants
-    need no rebase join of their own.
+    """Load (or derive) the inputs and write the base evaluation table once,
+    with the admissions start date attached by one left join.
+
+    One id check on the written table then settles both questions the forms
+    ask: if ``hadm_id`` is unique there, evaluation ids are unique and no
+    admissions key duplicated a row (the attach is valid and the rebased ids
+    are unique). Otherwise the admissions keys are checked; only if they
+    repeat is the attach dropped and the plain evaluation written instead.
     """
     ev, adm = load_inputs(spark, sf_dir)
     if not persist:
         inputs = Inputs(ev, adm)
         return inputs.declare_unique() if assume_unique_keys else inputs
-    written = False
-    if not has_prepared_inputs(spark, sf_dir):
-        # admissions is derived from evaluation: write evaluation first so
-        # the derivation is not computed twice
-        ev, written = materialize(ev, "evaluation"), True
-        adm = admissions_from_evaluation(ev)
-    if not (assume_unique_keys or keys_unique(adm, ["subject_id", "hadm_id"])):
-        return Inputs(ev if written else materialize(ev, "evaluation"), adm)
-    inputs = Inputs(materialize(attach_old_admission(ev, adm), "evaluation_rebased"), adm)
-    inputs._unique["adm"] = True
-    return inputs.declare_unique() if assume_unique_keys else inputs
+    derived = not has_prepared_inputs(spark, sf_dir)
+    attached = materialize(attach_old_admission(ev, adm), "evaluation_rebased")
+    if derived:
+        # admissions is a function of the evaluation row: derive it from the
+        # written table instead of recomputing the lineitem aggregate
+        adm = admissions_from_evaluation(attached)
+    inputs = Inputs(attached, adm)
+    if assume_unique_keys:
+        return inputs.declare_unique()
+    if keys_unique(attached, ["hadm_id"]):
+        return inputs.declare_unique(ids=True, admission_keys=True)
+    if keys_unique(adm, ["subject_id", "hadm_id"]):
+        return inputs.declare_unique(ids=False, admission_keys=True)
+    # repeated admissions keys duplicated evaluation rows in the attach
+    ev = materialize(ev, "evaluation")
+    return Inputs(ev, admissions_from_evaluation(ev) if derived else adm)
 
 
 def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist: bool = True) -> dict[str, Variant]:

@@ -107,3 +107,55 @@ def test_job_on_prepared_csv(spark):
     sql = E.oracle_sql()
     for name, (key, schema) in _expected().items():
         assert_same(read_result(spark, written[name], schema), con, sql[key], name)
+
+
+def _run_prepared(spark, ev_rows, adm_rows, params):
+    from bedcensus.sources.tables import ADMISSIONS_SCHEMA, EVALUATION_SCHEMA
+    from compare import duck_fixture, fixture_oracle
+
+    prepared = tempfile.mkdtemp(prefix="bedcensus-prepared-dup-")
+    spark.createDataFrame(ev_rows, EVALUATION_SCHEMA).write.parquet(f"{prepared}/evaluation.parquet")
+    spark.createDataFrame(adm_rows, ADMISSIONS_SCHEMA).write.parquet(f"{prepared}/admissions.parquet")
+    out = tempfile.mkdtemp(prefix="bedcensus-job-")
+    written = run(spark, prepared, out, params, "auto")
+    con, sql = duck_fixture(ev_rows, adm_rows), fixture_oracle(params)
+    for name, (key, schema) in _expected().items():
+        assert_same(read_result(spark, written[name], schema), con, sql[key], name)
+
+
+def test_job_duplicate_ids_unique_admission_keys(spark):
+    """Duplicated stay ids, one admissions row per key: the attach stays."""
+    from test_forms_fixtures import DUP_PARAMS, DUP_ROWS, _adm_rows
+
+    _run_prepared(spark, DUP_ROWS, _adm_rows(DUP_ROWS), DUP_PARAMS)
+
+
+def test_job_repeated_admission_keys(spark):
+    """An admissions key given twice: the rebase join repeats those stays,
+    so the job falls back to joining per variant."""
+    from datetime import date
+
+    from test_forms_fixtures import DUP_PARAMS, DUP_ROWS, _adm_rows
+
+    adm = _adm_rows(DUP_ROWS) + [(2, 11, date(1995, 1, 5))]
+    _run_prepared(spark, DUP_ROWS, adm, DUP_PARAMS)
+
+
+def test_prepare_inputs_branches(spark):
+    from datetime import date
+
+    from bedcensus.sources.tables import ADMISSIONS_SCHEMA, EVALUATION_SCHEMA
+    from test_forms_fixtures import DUP_ROWS, EDGE_ROWS, _adm_rows
+
+    def prepared(ev_rows, adm_rows):
+        d = tempfile.mkdtemp(prefix="bedcensus-prepared-")
+        spark.createDataFrame(ev_rows, EVALUATION_SCHEMA).write.parquet(f"{d}/evaluation.parquet")
+        spark.createDataFrame(adm_rows, ADMISSIONS_SCHEMA).write.parquet(f"{d}/admissions.parquet")
+        return prepare_inputs(spark, d)
+
+    unique = prepared(EDGE_ROWS, _adm_rows(EDGE_ROWS))
+    assert "_old_match" in unique.ev.columns and unique.ids_unique() and unique.rebased_ids_unique()
+    dup = prepared(DUP_ROWS, _adm_rows(DUP_ROWS))
+    assert "_old_match" in dup.ev.columns and not dup.ids_unique()
+    repeated = prepared(DUP_ROWS, _adm_rows(DUP_ROWS) + [(2, 11, date(1995, 1, 5))])
+    assert "_old_match" not in repeated.ev.columns and not repeated.rebased_ids_unique()
