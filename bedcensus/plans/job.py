@@ -2,10 +2,10 @@
 every result as a headerless CSV (C26) under one output folder.
 
 The base ``evaluation`` (a lineitem aggregate joined with orders when derived
-from the test tables) and the symmetrised predictions (shared by two
-variants) are written once as parquet under the cluster's checkpoint folder
-and read back: later stages re-read files instead of recomputing the joins,
-and a lost executor costs a file re-read, not a recomputation.
+from the test tables), with the admissions start date attached, is written
+once as parquet under the cluster's checkpoint folder and read back: later
+stages re-read files instead of recomputing the joins, and a lost executor
+costs a file re-read, not a recomputation.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from bedcensus.config import FIXTURE, REFERENCE, VARIANTS, Params, variant_config
@@ -78,11 +79,15 @@ def prepare_inputs(
     return Inputs(ev, admissions_from_evaluation(ev) if derived else adm)
 
 
-def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist: bool = True) -> dict[str, Variant]:
-    """All four variants; the symmetrised predictions are computed once."""
-    sym = A.symmetric_evaluation(inputs.ev)
-    if persist:
-        sym = materialize(sym, "symmetric_evaluation")
+def build_variants(inputs: Inputs, params: Params, form: str = "auto") -> dict[str, Variant]:
+    """All four variants; the symmetrised predictions are computed once.
+
+    They are persisted (memory and disk) rather than written out: two variants
+    read them, and a lost block is recomputed from a short lineage (a scan of
+    the written evaluation table and a broadcast of the size-checked shift
+    table), so a durable copy would only add a write.
+    """
+    sym = A.symmetric_evaluation(inputs.ev).persist(StorageLevel.MEMORY_AND_DISK)
     tables = {
         "normal": inputs.ev,
         "narrow": A.halve_error(inputs.ev),
@@ -94,6 +99,15 @@ def build_variants(inputs: Inputs, params: Params, form: str = "auto", persist:
     }
 
 
+def release(variants: dict[str, Variant]) -> None:
+    """Drop every persisted table of the variants (the shared symmetrised
+    predictions included)."""
+    for variant in variants.values():
+        variant.unpersist()
+        if variant.ev.storageLevel != StorageLevel.NONE:
+            variant.ev.unpersist()
+
+
 def result_builders(variants: dict[str, Variant]) -> list[tuple[str, str, Callable[[], DataFrame]]]:
     """``(folder, name, builder)`` of all 22 result tables."""
     out = []
@@ -152,8 +166,7 @@ def run(
             (name, lambda build=build, path=path, name=name: write_result(build(), path, _sort_key(name)))
         )
     run_concurrently(actions, parallelism)
-    for variant in variants.values():
-        variant.unpersist()
+    release(variants)
     return written
 
 

@@ -27,7 +27,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 from bedcensus.config import FIXTURE  # noqa: E402
-from bedcensus.plans.job import build_variants, prepare_inputs, result_builders, run_concurrently  # noqa: E402
+from bedcensus.plans.job import build_variants, prepare_inputs, release, result_builders, run_concurrently  # noqa: E402
 from bedcensus.session import get_session  # noqa: E402
 
 PARALLELISM = 8
@@ -48,8 +48,7 @@ def time_job(spark, sf_dir: str, form: str, parallelism: int) -> tuple[float, di
     actions = [(name, _noop(build)) for _, name, build in result_builders(variants)]
     times.update(run_concurrently(actions, parallelism))
     total = time.perf_counter() - t0
-    for v in variants.values():
-        v.unpersist()
+    release(variants)
     return total, times
 
 

@@ -20,7 +20,7 @@ from conftest import SF_MID, SF_SMALL
 @pytest.fixture(scope="module")
 def variants(spark):
     ev, adm = load_inputs(spark, SF_SMALL)
-    return build_variants(Inputs(ev, adm), FIXTURE, "auto", persist=False)
+    return build_variants(Inputs(ev, adm), FIXTURE, "auto")
 
 
 def _hist(df):
