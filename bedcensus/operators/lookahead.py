@@ -30,7 +30,8 @@ def lookahead_presence(flags: DataFrame, days: int = 3) -> DataFrame:
     future = flags.select(
         F.col("hadm_id").alias("_h"), F.col("timeline").alias("_d"), F.col("predicted")
     )
-    return now.join(future, ["_h", "_d"], "left").select("time", "predicted")
+    # both sides grow with the stay-days: sort-merge, never broadcast
+    return now.join(future.hint("merge"), ["_h", "_d"], "left").select("time", "predicted")
 
 
 def lookahead_daily(lookahead: DataFrame) -> DataFrame:

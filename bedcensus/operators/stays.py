@@ -58,7 +58,8 @@ def rebase_admissions(ev: DataFrame, adm: DataFrame) -> DataFrame:
     """
     left = ev.select("subject_id", "hadm_id", "predicted_los", "actual_los")
     right = adm.select("subject_id", "hadm_id", F.to_date("admittime").alias("admittime"))
-    return left.join(right, ["subject_id", "hadm_id"], "inner").select(
+    # both tables grow with the data: sort-merge, never broadcast
+    return left.join(right.hint("merge"), ["subject_id", "hadm_id"], "inner").select(
         "subject_id", "hadm_id", "admittime", "predicted_los", "actual_los"
     )
 
@@ -81,7 +82,7 @@ def attach_old_admission(ev: DataFrame, adm: DataFrame) -> DataFrame:
         F.to_date("admittime").alias("_old_admittime"),
         F.lit(True).alias("_old_match"),
     )
-    return ev.join(right, ["subject_id", "hadm_id"], "left")
+    return ev.join(right.hint("merge"), ["subject_id", "hadm_id"], "left")
 
 
 def rebased_from_attached(ev: DataFrame) -> DataFrame:

@@ -291,8 +291,11 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
         F.col("day").alias("time"), "hadm_id", "now", F.date_add("day", lag).alias("_d")
     )
     fut = counted.select(F.col("day").alias("_d"), "hadm_id", F.col("rows").alias("_rows"))
+    # both sides grow with the stay-days: a sort-merge join, never a
+    # broadcast chosen from runtime sizes (the in-memory hash table can be
+    # many times the compressed shuffle size)
     return (
-        now.join(fut, ["_d", "hadm_id"], "left")
+        now.join(fut.hint("merge"), ["_d", "hadm_id"], "left")
         .groupBy("time")
         .agg(
             F.sum(F.col("now") * F.coalesce(F.col("_rows"), F.lit(0))).alias("pn"),

@@ -82,12 +82,14 @@ def prepare_inputs(
 def build_variants(inputs: Inputs, params: Params, form: str = "auto") -> dict[str, Variant]:
     """All four variants; the symmetrised predictions are computed once.
 
-    They are persisted (memory and disk) rather than written out: two variants
+    They are persisted to local disk rather than written out: two variants
     read them, and a lost block is recomputed from a short lineage (a scan of
     the written evaluation table and a broadcast of the size-checked shift
-    table), so a durable copy would only add a write.
+    table), so a durable copy would only add a write. Disk only, because the
+    table is evaluation-sized: in memory it would take the storage share that
+    aggregations need.
     """
-    sym = A.symmetric_evaluation(inputs.ev).persist(StorageLevel.MEMORY_AND_DISK)
+    sym = A.symmetric_evaluation(inputs.ev).persist(StorageLevel.DISK_ONLY)
     tables = {
         "normal": inputs.ev,
         "narrow": A.halve_error(inputs.ev),

@@ -91,7 +91,9 @@ def evaluation_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(table_path(sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderdate"
     )
-    joined = orders.join(items, orders.o_orderkey == items.l_orderkey, "inner")
+    # both sides grow with the data: sort-merge (the aggregate is already
+    # hashed on the key), never a broadcast chosen from size estimates
+    joined = orders.join(items.hint("merge"), orders.o_orderkey == items.l_orderkey, "inner")
     pred = (
         (F.col("sq").cast("bigint") * PRED_QTY_MULT + F.col("o_orderkey") * PRED_KEY_MULT) % PRED_MOD
     ).cast("double") / F.lit(PRED_DIV)
