@@ -61,8 +61,8 @@ def main(argv: list[str]) -> int:
         "  `ReadSchema` only the columns used;",
         "* flag pass: no exchange of its own for the (day, id) group-by here, as",
         "  the stays arrive clustered by order key from the `lineitem` aggregate;",
-        "* broadcasts: the shift table after its size check, the per-day deltas",
-        "  (calendar-bounded), anything else only where AQE measured it small;",
+        "* broadcasts: the shift table after its size check and the per-day",
+        "  deltas (calendar-bounded); joins of data-sized sides are sort-merge;",
         "* literal form: the stay-day shuffles the other forms avoid.\n",
     ]
     for name, what in QUERIES.items():
