@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op8_best_fit_packing
+from .quality import OP6_SQL, op6_quality_rules
+from .sharding import op10_external_shuffle
 
 
 def queries():
     return {
+        "op4_line_dedup": op4_line_dedup,
+        "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_external_shuffle": op10_external_shuffle,
     }
 
 
 def oracle_sql():
-    return {"op7_decontaminate": OP7_SQL}
+    return {
+        "op4_line_dedup": OP4_SQL,
+        "op6_quality_rules": OP6_SQL,
+        "op7_decontaminate": OP7_SQL,
+    }
