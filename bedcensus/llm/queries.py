@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .near_dedup import op1_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op10_external_shuffle
@@ -11,6 +12,7 @@ from .sharding import op10_external_shuffle
 
 def queries():
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
