@@ -8,12 +8,14 @@ from .near_dedup import op1_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op10_external_shuffle
+from .warc import OP5_SQL, op5_warc
 
 
 def queries():
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -24,6 +26,7 @@ def queries():
 def oracle_sql():
     return {
         "op4_line_dedup": OP4_SQL,
+        "op5_warc": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
         "op7_decontaminate": OP7_SQL,
     }
