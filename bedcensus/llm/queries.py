@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .html_extract import op9_html_extract
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op8_best_fit_packing
@@ -19,6 +20,7 @@ def queries():
         "op6_quality_rules": op6_quality_rules,
         "op7_decontaminate": op7_decontaminate,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_html_extract": op9_html_extract,
         "op10_external_shuffle": op10_external_shuffle,
     }
 

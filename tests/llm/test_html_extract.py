@@ -1,0 +1,106 @@
+"""Wrapper inference and main-text extraction."""
+
+from __future__ import annotations
+
+import html as H
+import random
+import re
+
+from bedcensus.llm import html_extract as X
+
+SF = "/root/testdata/sf0.01"
+
+
+def texts(pages):
+    wrapper = []
+    for k, p in enumerate(pages):
+        w = X.page_wrapper(X.parse(p).items)
+        wrapper = X.merge(wrapper, w) if k else w
+    judged = X.judge(wrapper)
+    return ["\n".join(X.content_blocks(X.parse(p).items, judged)) for p in pages]
+
+
+def test_query_against_the_articles(spark):
+    rows = X.op9_html_extract(spark, SF).collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*)</article>", pages[r["page_id"]]["html"], re.S).group(1)
+        blocks = [" ".join(H.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?p>|</?h1>|<br>", article)]
+        assert r["text"] == "\n".join(b for b in blocks if b)
+        assert r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+
+
+def page(i, n):
+    rows = "".join(f"<p class='c{i}'>Paragraph {i}.{k} &amp; more<br>text</p>" for k in range(n))
+    return (
+        f"<html><head><title>t</title></head><body><div id=top>Site name</div><div class='cookie-notice'>We use cookies {i}</div>"
+        f"<div class=wrap><div><h2>Title {i}</h2>{rows}<ul><li>one {i}<li>two &lt;{i}&gt;</ul></div></div>"
+        f"<div class=x><a href='/a>b'>Link {i}</a><a href=/b>Other {i}</a></div><div class='comments'><p>Reader {i} says</p></div>"
+        f"<form>Name <input></form><div>Always the same line</div></body></html>"
+    )
+
+
+def test_host_without_an_article():
+    got = texts([page(i, 1 + i % 3) for i in range(6)])
+    for i, t in enumerate(got):
+        want = [f"Title {i}"] + [f"Paragraph {i}.{k} & more text" for k in range(1 + i % 3)] + [f"one {i}", f"two <{i}>"]
+        assert t.split("\n") == want
+
+
+def test_optional_repeated_and_grouped_parts():
+    a = X.page_wrapper(X.parse("<article><h1>A</h1><p>x</p><p>y</p></article>").items)
+    b = X.page_wrapper(X.parse("<article><h1>B</h1><table><tr><td>t</td></tr></table><p>z</p></article>").items)
+    inner = X.merge(a, b)[0]["c"]
+    assert [(p["k"], p["o"], p["r"]) for p in inner] == [("h1", 0, 0), ("table", 1, 0), ("p", 0, 1)]
+    pairs = X.page_wrapper(X.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>").items)[0]["c"]
+    assert [(p["k"], p["r"], len(p["c"])) for p in pairs] == [("(dt|dd)", 1, 2)]
+    assert texts(["<main><dl><dt>a<dd>b<dt>c<dd>d</dl></main>"]) == ["a\nb\nc\nd"]
+
+
+def test_folding_order_keeps_every_block():
+    rng = random.Random(4)
+    pages = []
+    for i in range(12):
+        body = "".join(rng.choice(["<p>p{0}</p>", "<h2>h{0}</h2>", "<ul><li>l{0}</ul>", "<blockquote>q{0}</blockquote>", "t{0}"]).format(f"{i}-{k}") for k in range(rng.randrange(9)))
+        pages.append(f"<article>{body}</article>")
+    want = [re.findall(r"\w\d+-\d+", p) for p in pages]
+    for _ in range(4):
+        order = list(range(12))
+        rng.shuffle(order)
+        got = texts([pages[i] for i in order])
+        assert [re.findall(r"\w\d+-\d+", t) for t in got] == [want[i] for i in order]
+
+
+def test_odd_markup():
+    cases = {
+        "": "",
+        "just text &eacute;&#8217;&nbsp;x": "just text é’ x",
+        "<article>a < b and c<d> e</article>": "a < b and c e",
+        "<article><p>one<p>two <b>bold<p>three": "one\ntwo bold\nthree",
+        "<article><script>var x='</p>'</script><p>a<!-- <p>no --> b</p><style>p{}</style></article>": "a b",
+        "<article><p>cut <a href='x": "cut",
+        "<article><h1> T\n t </h1><aside>no</aside><div class='ad-box'>no</div><section class=comments><p>no</p></section>yes</article>": "T t\nyes",
+        "<ARTICLE><P>Upper</P></ARTICLE><footer>no</footer>": "Upper",
+        "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>": "deep",
+    }
+    for page_, want in cases.items():
+        assert texts([page_]) == [want], page_[:60]
+
+
+def test_long_sequences_align_greedily(monkeypatch):
+    monkeypatch.setattr(X, "MAX_ALIGN_CELLS", 4)
+    got = texts([page(i, 1 + i % 3) for i in range(6)])
+    assert all(f"Title {i}" in t and "Always" not in t for i, t in enumerate(got))
+
+
+def test_edges(spark):
+    pages = spark.createDataFrame(
+        [(1, None, None, 1), (2, "no host", "<article>x</article>", 1), (None, "http://h/a", "", 1), (3, "http://H:80/b", "<article>y</article>", 1), (3, "http://H:80/b", "<article>y</article>", 1)],
+        "page_id bigint, url string, html string, TEXT int",
+    )
+    out = X.extract_main_text(pages)
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "", 0), (2, "x", 1), (None, "", 0), (3, "y", 1), (3, "y", 1)], key=str)
+    assert X.extract_main_text(pages.limit(0)).count() == 0
