@@ -9,12 +9,14 @@ from .near_dedup import op1_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op10_external_shuffle
+from .toxicity import op2_toxicity
 from .warc import OP5_SQL, op5_warc
 
 
 def queries():
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_toxicity": op2_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
