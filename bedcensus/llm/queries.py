@@ -7,6 +7,7 @@ from .html_extract import op9_html_extract
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op8_best_fit_packing
+from .pii import op3_pii
 from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op10_external_shuffle
 from .toxicity import op2_toxicity
@@ -17,6 +18,7 @@ def queries():
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
