@@ -21,8 +21,11 @@ doc_id is packed like any other; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,35 +48,81 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words the fast path takes: printable ASCII and Latin-1 letters.  In these,
+#: lower-casing and Unicode normalisation work character by character.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The tokenizer file's split pattern, restricted to those characters.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 as it is, other bytes from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {b: chr(b) for b in kept}
+    for n, b in enumerate(b for b in range(256) if b not in out):
+        out[b] = chr(0x100 + n)
+    return [out[b] for b in range(256)]
+
+
 class WordTokenizer:
     """Token ids of a text as little-endian uint32 bytes.
 
-    The tokenizer's pre-tokenization never joins characters across blanks and
-    line ends, so a text's ids are those of its blank-separated words in a row;
-    words are encoded once and cached.
+    The tokenizer never joins characters across blanks and line ends, so a
+    text's ids are those of its blank-separated words in a row.  Words, and the
+    parts the tokenizer splits them into, are encoded once and cached.  Words of
+    other characters than ``_PLAIN``'s, and special tokens, take the whole
+    tokenizer; plain parts go straight to its BPE model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            if len(self.parts) >= CACHE_WORDS:
+                self.parts.clear()
+            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = [t.id for t in self.model.tokenize(shown)]
+            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _learn(self, words: list[str]) -> None:
+        cache, odd = self.words, []
+        for w in words:
+            if _PLAIN.fullmatch(w) and not any(x in w for x in self.special):
+                cache[w] = b"".join(map(self._part, _PARTS.findall(w.lower())))
+            else:
+                odd.append(w)
+        for a in range(0, len(odd), 10_000):
+            part = odd[a : a + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
 
     def encode_texts(self, batch: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in batch]
-        cache = self.cache
+        cache = self.words
         new = {w for ws in split for w in ws if w not in cache}
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = {w for ws in split for w in ws}
-        words = list(new)
-        for a in range(0, len(words), 10_000):
-            part = words[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self._learn(list(new))
         return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
 
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer (and word cache) per worker process and file."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
     end = np.asarray([eos], dtype="<u4").tobytes()
@@ -84,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         schema += ", ids array<int>"
 
     def make():
-        tok = WordTokenizer(tokenizer_path)
+        tok = word_tokenizer(tokenizer_path)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, cols = [], [[] for _ in fields]

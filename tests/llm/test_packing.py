@@ -51,6 +51,7 @@ def test_query_equals_whole_text_tokenization(spark):
 
 def test_word_cache_is_the_whole_text(spark):
     odd = ["a  b\t c\r\nd", "Ünï code é x", "it's don't 12345", "", " ", "\n\n", "x" * 5000, "a b\x1cc", "<|endoftext|> x"]
+    odd += ["ÀÉß Straße ÿ ñÑ", "e\u0301 E\u0301", "ΑΣ Σ", "İi ǅ ªµº", "½ ² ٣", "a\x00b \x7f \x85 \xad \xa0x", "co-op's IT'S we'LL o'dd 's", "日本 語", "<|endoftext|>x<|startoftext|>", "\u2028 \ufeff a\x0bb"]
     tok = P.WordTokenizer(P.default_tokenizer())
     got = [np.frombuffer(b, "<u4").tolist() + [P.EOS] for b in tok.encode_texts(odd)]
     assert got == whole_text_ids(odd)
