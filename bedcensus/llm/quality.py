@@ -166,8 +166,11 @@ def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
-    cutoffs = choose_cutoffs(quality_signals(labelled_rows(docs.select("doc_id", "lang", "text"), labels)))
-    return judge(quality_signals(docs), written(cutoffs, "cutoffs")).where("kept").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    # written, so that the signals are computed once, whatever is filtered on them later
+    signals = written(quality_signals(docs.select(row, "doc_id", "lang", "text")).drop("text"), "signals")
+    cutoffs = choose_cutoffs(labelled_rows(signals.drop("_row"), labels))
+    return judge(signals, written(cutoffs, "cutoffs")).where("kept").select("_row.*")
 
 
 def op6_quality_rules(spark, sf_dir):
