@@ -11,7 +11,6 @@ Layout:
     functions/  column expressions (rounding, day spans, reproducible uniform)
     operators/  DataFrame -> DataFrame operators, literal semantics
     plans/      O(stays) sweep forms, form selection, the variant job
-    streaming/  nothing: the workload is batch only (see its docstring)
 """
 
 from bedcensus.config import (

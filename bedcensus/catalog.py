@@ -10,17 +10,24 @@ so that each is checked against the same oracle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bedcensus.config import FIXTURE, VARIANTS, variant_config
 from bedcensus.operators import adjust as A
 from bedcensus.operators import lookahead as L
 from bedcensus.operators import occupancy as O
+from bedcensus.operators.stays import rebase_admissions
+from bedcensus.oracle import JOB_HISTOGRAMS, short_predictions
 from bedcensus.plans import forms
+from bedcensus.plans.job import run
 from bedcensus.plans.variant import Inputs, Variant
-from bedcensus.session import scratch_path
-from bedcensus.sources import load_inputs, read_result, write_result
+from bedcensus.session import materialize, scratch_path
+from bedcensus.sources import admissions_from_evaluation, evaluation_from_orders, load_inputs, read_result, write_result
+from bedcensus.sources.tables import evaluation_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +35,21 @@ PARAMS = FIXTURE
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    ev, adm = load_inputs(spark, sf_dir)
-    return Inputs(ev, adm)
+    """One written base table per query: key checks, the shift table and the
+    result read it instead of deriving it again."""
+    ev = materialize(evaluation_from_orders(spark, sf_dir), "evaluation")
+    return Inputs(ev, admissions_from_evaluation(ev))
 
 
-def _variant(spark: SparkSession, sf_dir: str, name: str, form: str = "auto") -> Variant:
+def _repeated_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """Line items as stays: a supplier's id repeats, one in five is missing."""
+    ev = materialize(evaluation_from_lineitem(spark, sf_dir), "evaluation_repeated")
+    return Inputs(ev, admissions_from_evaluation(ev))
+
+
+def _variant(spark: SparkSession, sf_dir: str, name: str, form: str = "auto", params=PARAMS, inputs=_inputs) -> Variant:
     # one result per query: nothing to share, so nothing is persisted
-    return Variant(_inputs(spark, sf_dir), variant_config(name, PARAMS), form, persist=False)
+    return Variant(inputs(spark, sf_dir), variant_config(name, params), form, persist=False)
 
 
 def _per_variant(name: str) -> dict[str, Query]:
@@ -74,6 +89,63 @@ def _csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return read_result(s, path, df.schema)
 
 
+def _csv_roundtrip_null(s: SparkSession, d: str) -> DataFrame:
+    """C26 with a NULL error: the old occupancy error where predictions end
+    half-way."""
+    df = _variant(s, d, "normal", params=short_predictions(PARAMS)).occupancy_error_old()
+    path = scratch_path(s, "occupied_error_diff_old.csv")
+    write_result(df, path, ["error"])
+    return read_result(s, path, df.schema)
+
+
+def _prepared_roundtrip(s: SparkSession, d: str, fmt: str) -> DataFrame:
+    """The derived tables written in the prepared layout
+    (admissions with a time of day, columns in another order), read back."""
+    base = _inputs(s, d)
+    folder = scratch_path(s, "prepared")
+    adm = base.adm.select(
+        F.expr("cast(admittime as timestamp_ntz) + interval '13:45' hour to minute").alias("admittime"), "hadm_id", "subject_id"
+    )
+    for name, df in (("evaluation", base.ev.select(*reversed(base.ev.columns))), ("admissions", adm)):
+        path = f"{folder}/{name}.{fmt}"
+        df.write.parquet(path) if fmt == "parquet" else df.write.option("header", True).csv(path)
+    ev, adm = load_inputs(s, folder)
+    return rebase_admissions(ev, adm)
+
+
+def _job_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Run the whole job, read the histograms it wrote back."""
+    out = scratch_path(s, "job")
+    paths = run(s, d, out, PARAMS)
+    files = {"los_error": "los_error_diff", "occupancy_error_new": "occupied_error_diff_new"}
+    files |= {"occupancy_error_old": "occupied_error_diff_old", "lookahead_error": "occ"}
+    schema = T.StructType([T.StructField("error", T.LongType()), T.StructField("n", T.LongType())])
+    tables = [
+        read_result(s, paths[files[r] if v == "normal" else f"{v}_{files[r]}"], schema).select(
+            F.lit(f"{v}_{r}").alias("result"), "error", "n"
+        )
+        for v in VARIANTS
+        for r in JOB_HISTOGRAMS
+    ]
+    return reduce(DataFrame.union, tables)
+
+
+def _repeated_queries() -> dict[str, Query]:
+    def variant(s, d, form="auto", name="normal"):
+        return _variant(s, d, name, form, inputs=_repeated_inputs)
+
+    q: dict[str, Query] = {
+        "repeated_occupancy_by_side": lambda s, d: variant(s, d).occupancy_old(),
+        "repeated_symmetrise": lambda s, d: A.symmetric_evaluation(_repeated_inputs(s, d).ev),
+        "repeated_bed_occupancy": lambda s, d: variant(s, d).bed_occupancy_year(),
+    }
+    for form in ("auto", "flags", "join"):  # "auto" is "hybrid" here
+        q[f"repeated_occupancy_{form}"] = lambda s, d, f=form: variant(s, d, f).occupancy_new()
+        q[f"repeated_occupancy_old_{form}"] = lambda s, d, f=form: variant(s, d, f, "narrow").occupancy_old()
+        q[f"repeated_lookahead_{form}"] = lambda s, d, f=form: variant(s, d, f).lookahead_error()
+    return q
+
+
 def _align(s: SparkSession, d: str) -> DataFrame:
     v = _normal(s, d, "join")
     return O.align_presence(v.predicted_new(), v.actual_new())
@@ -117,6 +189,10 @@ def queries() -> dict[str, Query]:
             "bed_occupancy_year": lambda s, d: _normal(s, d).bed_occupancy_year(),
             "occupancy_level_frequency": lambda s, d: _normal(s, d).occupancy_level_frequency(),
             "csv_roundtrip": _csv_roundtrip,
+            "csv_roundtrip_null": _csv_roundtrip_null,
+            "prepared_inputs_roundtrip": lambda s, d: _prepared_roundtrip(s, d, "parquet"),
+            "prepared_csv_roundtrip": lambda s, d: _prepared_roundtrip(s, d, "csv"),
+            "job_roundtrip": _job_roundtrip,
             # forced physical forms
             "daily_occupancy_join_form": lambda s, d: _normal(s, d, "join").occupancy_new(),
             "daily_occupancy_sweep": lambda s, d: _normal(s, d, "sweep").occupancy_new(),
@@ -134,6 +210,7 @@ def queries() -> dict[str, Query]:
             "lookahead_error_hybrid": lambda s, d: _normal(s, d, "hybrid").lookahead_error(),
         }
     )
+    q.update(_repeated_queries())
     return q
 
 

@@ -76,11 +76,12 @@ def uniform01(*key_cols: Column | str, salt: str = "") -> Column:
     The first 8 hex digits of ``md5(salt || key)`` read as an unsigned 32-bit
     integer, divided by 2^32. A pure function of the key: the draw does not
     depend on partitioning, task retries or re-evaluation of a lazy plan, and
-    the same expression is available in DuckDB for the oracle.
+    the same expression is available in DuckDB for the oracle. Several
+    columns are joined by ``|``; a NULL is written as ``~``.
     """
     if not key_cols:
         raise ValueError("uniform01 needs at least one key column")
-    parts = [_c(c).cast("string") for c in key_cols]
+    parts = [F.coalesce(_c(c).cast("string"), F.lit("~")) for c in key_cols]
     key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
     if salt:
         key = F.concat(F.lit(salt), key)

@@ -57,6 +57,25 @@ def shift_probability(counts: DataFrame, threshold: int = 2) -> DataFrame:
     )
 
 
+#: A row's number in the written base table, there only when ids repeat.
+COPY_COLUMN = "_copy"
+
+
+def row_draw(ev: DataFrame) -> Column:
+    """One uniform draw per row: a function of the whole row.
+
+    Rows of one id, or without an id, get draws of their own. Fully identical
+    rows share a draw unless the table carries a row number (``_copy``, which
+    the job writes when ids repeat). Lengths enter in millionths, which have
+    one text form.
+    """
+    key: list[Column] = [F.col("admittime").cast("timestamp_ntz"), F.col("subject_id"), F.col("hadm_id")]
+    key += [F.floor(F.col(c) * F.lit(1e6)).cast("bigint") for c in ("predicted_los", "actual_los")]
+    if COPY_COLUMN in ev.columns:
+        key.append(F.col(COPY_COLUMN))
+    return uniform01(*key)
+
+
 def symmetrise(
     ev: DataFrame,
     shift: DataFrame,
@@ -67,11 +86,11 @@ def symmetrise(
 
     A row whose draw is below ``prob`` gets ``predicted_los + 2 * e``; rows
     without a matching error (or a NULL comparison) keep their prediction.
-    The draw defaults to :func:`uniform01` of ``hadm_id``. The shift table has
+    The draw defaults to :func:`row_draw`, one per row. The shift table has
     one row per distinct error value; it is broadcast once its size is
     checked against ``broadcast_max_rows``, so ``evaluation`` is not shuffled.
     """
-    u = uniform if uniform is not None else uniform01("hadm_id")
+    u = uniform if uniform is not None else row_draw(ev)
     lookup = shift.select(F.col("error").alias("_shift_error"), F.col("prob").alias("_shift_prob"))
     lookup = broadcast_if_bounded(lookup, broadcast_max_rows)
     joined = ev.withColumn("_err", los_error()).join(

@@ -55,13 +55,22 @@ def occupancy_error_series(occ: DataFrame, year: int) -> DataFrame:
 
 def bed_occupancy_series(act_days: DataFrame, year: int) -> DataFrame:
     """``(rn, day, n)`` distinct actual ids per day of ``year``."""
-    w = Window.orderBy("day")
     per_day = (
         act_days.where(_year_filter("day", year))
         .groupBy("day")
         .agg(F.countDistinct("hadm_id").alias("n"))
     )
-    return per_day.select(F.row_number().over(w).cast("bigint").alias("rn"), "day", "n").orderBy("day")
+    return numbered_days(per_day, year)
+
+
+def numbered_days(per_day: DataFrame, year: int) -> DataFrame:
+    """``(rn, day, n)`` for the days of ``year``, numbered by day."""
+    w = Window.orderBy("day")
+    return (
+        per_day.where(_year_filter("day", year))
+        .select(F.row_number().over(w).cast("bigint").alias("rn"), "day", "n")
+        .orderBy("day")
+    )
 
 
 def occupancy_level_frequency(occ: DataFrame) -> DataFrame:

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from bedcensus.config import DayWindow
 from bedcensus.functions.columns import day_span, discharge_day
 
-STAY_DAY_COLUMNS = ["subject_id", "hadm_id", "admittime", "dischtime", "day"]
-
 
 def stay_days(ev: DataFrame, window: DayWindow, los_col: str) -> DataFrame:
     """One row per (stay, day) with ``date(admittime) <= day <= dischtime``.

@@ -4,7 +4,6 @@ from bedcensus.plans.forms import (
     daily_occupancy_sweep,
     daily_sweep,
     lookahead_counts_by_id,
-    lookahead_sweep,
     presence_flag_pass,
 )
 from bedcensus.plans.variant import FORMS, Inputs, Variant, keys_unique
@@ -19,6 +18,5 @@ __all__ = [
     "daily_sweep",
     "keys_unique",
     "lookahead_counts_by_id",
-    "lookahead_sweep",
     "presence_flag_pass",
 ]

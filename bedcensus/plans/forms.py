@@ -32,8 +32,6 @@ from bedcensus.config import DayWindow
 from bedcensus.functions.columns import clip_end, clip_start, discharge_day
 from bedcensus.session import broadcast_if_bounded
 
-# A calendar up to this many days is broadcast to the per-day deltas join.
-CALENDAR_BROADCAST_MAX_DAYS = 2_000_000
 # A list of duplicated ids up to this size (8 bytes each) is broadcast to split
 # the stays; beyond it the split joins by shuffle.
 DUP_IDS_BROADCAST_MAX = 4_000_000
@@ -137,9 +135,9 @@ def daily_sweep(
         .agg(*[F.sum(c).alias(c) for c in _COUNTERS])
     )
     # deltas has at most one row per calendar day (+1 for the day after the
-    # window), a bound fixed by the window, not by the data.
-    if cover.n_days <= CALENDAR_BROADCAST_MAX_DAYS:
-        deltas = F.broadcast(deltas)
+    # window), a bound fixed by the window (a DayWindow of dates, some
+    # thousand days), not by the data.
+    deltas = F.broadcast(deltas)
     cal = calendar(ev.sparkSession, cover)
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     daily = cal.join(deltas, "day", "left")
@@ -192,16 +190,6 @@ def daily_occupancy_by_side_sweep(ev: DataFrame, pred_window: DayWindow, act_win
     return by_side_from_sweep(daily_sweep(ev, pred_window, act_window))
 
 
-def lookahead_sweep(ev: DataFrame, window: DayWindow, lookahead_days: int) -> DataFrame:
-    """``(time, pn, n)`` per day with anyone actually present.
-
-    ``n`` actual stays present, ``pn`` of them present ``lookahead_days``
-    later: presence is contiguous from the stay's start, so "present at t+3"
-    is an interval condition. Exact when non-null ``hadm_id`` are unique.
-    """
-    return lookahead_from_sweep(daily_sweep(ev, window, window, lookahead_days))
-
-
 def presence_flag_pass(
     ev: DataFrame, pred_window: DayWindow, act_window: DayWindow, dedupe: bool = True
 ) -> DataFrame:
@@ -304,16 +292,10 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
     )
 
 
-def split_duplicate_ids(
-    ev: DataFrame, broadcast_max_ids: int = DUP_IDS_BROADCAST_MAX
-) -> tuple[DataFrame, DataFrame]:
-    """``(rows of ids seen once or NULL, rows of ids seen more than once)``.
-
-    One aggregate over the ids (map-side partial counts) gives the list of
-    duplicated ids; the semi / anti joins broadcast it once its size is
-    checked (so ``ev`` is not shuffled for the split), else join by shuffle,
-    where AQE splits a skewed id's partition.
-    """
+def duplicate_ids(ev: DataFrame, broadcast_max_ids: int = DUP_IDS_BROADCAST_MAX) -> DataFrame:
+    """``hadm_id`` of the ids seen more than once, by one aggregate over the
+    ids (map-side partial counts); with a broadcast hint once its size is
+    checked."""
     dup = (
         ev.where(F.col("hadm_id").isNotNull())
         .groupBy("hadm_id")
@@ -321,7 +303,20 @@ def split_duplicate_ids(
         .where(F.col("count") > 1)
         .select("hadm_id")
     )
-    dup = broadcast_if_bounded(dup, broadcast_max_ids)
+    return broadcast_if_bounded(dup, broadcast_max_ids)
+
+
+def split_duplicate_ids(
+    ev: DataFrame, broadcast_max_ids: int = DUP_IDS_BROADCAST_MAX, dup: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(rows of ids seen once or NULL, rows of ids seen more than once)``.
+
+    ``dup`` is the list of duplicated ids (:func:`duplicate_ids`), computed
+    here when not given. The semi / anti joins broadcast it when it is small
+    (so ``ev`` is not shuffled for the split), else join by shuffle, where AQE
+    splits a skewed id's partition.
+    """
+    dup = duplicate_ids(ev, broadcast_max_ids) if dup is None else dup
     return ev.join(dup, "hadm_id", "left_anti"), ev.join(dup, "hadm_id", "left_semi")
 
 
@@ -335,31 +330,21 @@ def combine_daily(a: DataFrame, b: DataFrame, key: str, counts: list[str]) -> Da
     )
 
 
-def daily_occupancy_hybrid(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+def daily_occupancy_hybrid(
+    ev: DataFrame, pred_window: DayWindow, act_window: DayWindow, dup: DataFrame | None = None
+) -> DataFrame:
     """C14 for any input at near-sweep cost: stays of ids seen once (and NULL
     ids) by sweep, stays of duplicated ids by the flag pass; per-day counts
     over disjoint id sets add up."""
-    uni, dup = split_duplicate_ids(ev)
+    uni, many = split_duplicate_ids(ev, dup=dup)
     return combine_daily(
         occupancy_from_sweep(daily_sweep(uni, pred_window, act_window)),
-        daily_occupancy_flags(dup, pred_window, act_window),
+        daily_occupancy_flags(many, pred_window, act_window),
         "timeline",
         ["predicted_count", "actual_count"],
     )
 
 
-def lookahead_hybrid(ev: DataFrame, window: DayWindow, lookahead_days: int) -> DataFrame:
-    """``(time, pn, n)`` for any input: sweep for ids seen once, aggregated
-    counts for duplicated ids, added per day."""
-    uni, dup = split_duplicate_ids(ev)
-    return combine_daily(
-        lookahead_from_sweep(daily_sweep(uni, window, window, lookahead_days)),
-        lookahead_counts_by_id(dup, window, lookahead_days),
-        "time",
-        ["pn", "n"],
-    )
-
-
 __all__ = [
     "calendar",
     "combine_daily",
@@ -368,9 +353,8 @@ __all__ = [
     "daily_occupancy_hybrid",
     "daily_occupancy_sweep",
     "daily_sweep",
+    "duplicate_ids",
     "lookahead_counts_by_id",
-    "lookahead_hybrid",
-    "lookahead_sweep",
     "presence_flag_pass",
     "presence_flag_rows",
     "split_duplicate_ids",

@@ -12,20 +12,21 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bedcensus.config import FIXTURE, REFERENCE, VARIANTS, Params, variant_config
 from bedcensus.operators import adjust as A
 from bedcensus.operators.stays import attach_old_admission
-from bedcensus.plans.variant import Inputs, Variant, keys_unique
-from bedcensus.session import get_session, materialize
+from bedcensus.plans.variant import FORMS, Inputs, Variant, keys_unique
+from bedcensus.session import drop_scratch, get_session, materialize, scratch_paths
 from bedcensus.sources import admissions_from_evaluation, load_inputs, write_result
-from bedcensus.sources.tables import has_prepared_inputs
+from bedcensus.sources.tables import derive_old_admission, has_prepared_inputs
 
 SORT_KEYS = {
     "los_error_diff": ["error"],
@@ -62,34 +63,31 @@ def prepare_inputs(
         inputs = Inputs(ev, adm)
         return inputs.declare_unique() if assume_unique_keys else inputs
     derived = not has_prepared_inputs(spark, sf_dir)
-    attached = materialize(attach_old_admission(ev, adm), "evaluation_rebased")
+    # derived admissions are a function of the evaluation row: no join to attach them
+    rebased = derive_old_admission(ev) if derived else attach_old_admission(ev, adm)
+    numbered = rebased.withColumn(A.COPY_COLUMN, F.monotonically_increasing_id())
+    attached = materialize(numbered, "evaluation_rebased")
+    plain = attached.drop(A.COPY_COLUMN)
     if derived:
-        # admissions is a function of the evaluation row: derive it from the
-        # written table instead of recomputing the lineitem aggregate
-        adm = admissions_from_evaluation(attached)
-    inputs = Inputs(attached, adm)
+        adm = admissions_from_evaluation(plain)
     if assume_unique_keys:
-        return inputs.declare_unique()
-    if keys_unique(attached, ["hadm_id"]):
-        return inputs.declare_unique(ids=True, admission_keys=True)
+        return Inputs(plain, adm).declare_unique()
+    if keys_unique(plain, ["hadm_id"]):
+        return Inputs(plain, adm).declare_unique(ids=True, admission_keys=True)
+    # ids repeat: rows may be identical, so the draws take the row number
     if keys_unique(adm, ["subject_id", "hadm_id"]):
-        return inputs.declare_unique(ids=False, admission_keys=True)
+        return Inputs(attached, adm).declare_unique(ids=False, admission_keys=True)
     # repeated admissions keys duplicated evaluation rows in the attach
-    ev = materialize(ev, "evaluation")
-    return Inputs(ev, admissions_from_evaluation(ev) if derived else adm)
+    ev = materialize(ev.withColumn(A.COPY_COLUMN, F.monotonically_increasing_id()), "evaluation")
+    unique = keys_unique(ev, ["hadm_id"])
+    ev = ev.drop(A.COPY_COLUMN) if unique else ev
+    return Inputs(ev, adm).declare_unique(ids=unique, admission_keys=False)
 
 
 def build_variants(inputs: Inputs, params: Params, form: str = "auto") -> dict[str, Variant]:
-    """All four variants; the symmetrised predictions are computed once.
-
-    They are persisted to local disk rather than written out: two variants
-    read them, and a lost block is recomputed from a short lineage (a scan of
-    the written evaluation table and a broadcast of the size-checked shift
-    table), so a durable copy would only add a write. Disk only, because the
-    table is evaluation-sized: in memory it would take the storage share that
-    aggregations need.
-    """
-    sym = A.symmetric_evaluation(inputs.ev).persist(StorageLevel.DISK_ONLY)
+    """All four variants; the symmetrised predictions, which two of them read,
+    are computed once and written to the shared folder."""
+    sym = materialize(A.symmetric_evaluation(inputs.ev), "evaluation_symmetric")
     tables = {
         "normal": inputs.ev,
         "narrow": A.halve_error(inputs.ev),
@@ -102,12 +100,10 @@ def build_variants(inputs: Inputs, params: Params, form: str = "auto") -> dict[s
 
 
 def release(variants: dict[str, Variant]) -> None:
-    """Drop every persisted table of the variants (the shared symmetrised
-    predictions included)."""
+    """Drop every persisted (calendar-sized) table of the variants. What was
+    written is dropped by :func:`bedcensus.session.drop_scratch`."""
     for variant in variants.values():
         variant.unpersist()
-        if variant.ev.storageLevel != StorageLevel.NONE:
-            variant.ev.unpersist()
 
 
 def result_builders(variants: dict[str, Variant]) -> list[tuple[str, str, Callable[[], DataFrame]]]:
@@ -151,13 +147,41 @@ def run(
     spark: SparkSession,
     sf_dir: str,
     out_dir: str,
-    params: Params = FIXTURE,
+    params: Params | None = None,
     form: str = "auto",
     assume_unique_keys: bool = False,
     parallelism: int = 8,
 ) -> dict[str, str]:
-    """Write all 22 result tables; returns name -> path."""
+    """Write all 22 result tables; returns name -> path.
+
+    ``params`` default to the study's dates for prepared tables and to the
+    test-table dates for derived ones. What the run wrote for itself is
+    deleted at its end.
+    """
+    if params is None:
+        params = REFERENCE if has_prepared_inputs(spark, sf_dir) else FIXTURE
+    before = set(scratch_paths())
+    try:
+        return _run(spark, sf_dir, out_dir, params, form, assume_unique_keys, parallelism)
+    finally:
+        drop_scratch(spark, [p for p in scratch_paths() if p not in before])
+
+
+def stays_outside(inputs: Inputs, params: Params) -> tuple[int, int]:
+    """(stays, stays admitted outside the new window)."""
+    w = params.new_window
+    day = F.to_date("admittime")
+    outside = F.when((day < F.lit(w.lo)) | (day > F.lit(w.hi)), 1)
+    row = inputs.ev.agg(F.count("*").alias("n"), F.count(outside).alias("out")).first()
+    return row["n"], row["out"]
+
+
+def _run(spark, sf_dir, out_dir, params, form, assume_unique_keys, parallelism) -> dict[str, str]:
     inputs = prepare_inputs(spark, sf_dir, assume_unique_keys=assume_unique_keys)
+    n, out = stays_outside(inputs, params)
+    if out:
+        w = params.new_window
+        print(f"{out} of {n} stays are admitted outside the window {w.lo} to {w.hi}", file=sys.stderr)
     variants = build_variants(inputs, params, form)
     written: dict[str, str] = {}
     actions = []
@@ -176,8 +200,13 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description="stay-occupancy variants job")
     ap.add_argument("sf_dir")
     ap.add_argument("out_dir")
-    ap.add_argument("--params", choices=["fixture", "reference"], default="fixture")
-    ap.add_argument("--form", choices=["auto", "join", "sweep", "flags"], default="auto")
+    ap.add_argument(
+        "--params",
+        choices=["fixture", "reference"],
+        default=None,
+        help="dates of the test tables or of the study (default: the study's for prepared tables)",
+    )
+    ap.add_argument("--form", choices=FORMS, default="auto")
     ap.add_argument("--master", default=None)
     ap.add_argument("--parallelism", type=int, default=8, help="result tables written at once")
     ap.add_argument(
@@ -187,7 +216,7 @@ def main(argv: list[str] | None = None) -> None:
     )
     args = ap.parse_args(argv)
     spark = get_session(master=args.master)
-    params = FIXTURE if args.params == "fixture" else REFERENCE
+    params = {"fixture": FIXTURE, "reference": REFERENCE, None: None}[args.params]
     written = run(
         spark, args.sf_dir, args.out_dir, params, args.form, args.assume_unique_keys, args.parallelism
     )

@@ -2,7 +2,8 @@
 
 ``form``:
     "join"   literal operators (stay-days, full outer joins, self-join)
-    "sweep"  O(stays) sweep forms; the caller vouches for unique ids
+    "sweep"  O(stays) sweep forms; refused when ids repeat (declare them
+             unique on the inputs to skip the check)
     "flags"  exact for any input: one explode + group-by on (day, id), and
              the aggregated look-ahead counts
     "hybrid" exact for any input: "sweep" for the stays of ids seen once,
@@ -16,12 +17,13 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bedcensus.config import VariantConfig
+from bedcensus.config import DayWindow, VariantConfig
 from bedcensus.operators import adjust as A
 from bedcensus.operators import lookahead as L
 from bedcensus.operators import occupancy as O
@@ -36,7 +38,7 @@ def keys_unique(df: DataFrame, cols: list[str]) -> bool:
     """True when no non-null key occurs twice.
 
     One aggregate over the key columns (partial aggregation first, so a hot
-    key costs one row per task); ``limit(1)`` stops at the first duplicate.
+    key costs one row per task), then a look at whether it left any duplicate.
     """
     cond = F.col(cols[0]).isNotNull()
     for c in cols[1:]:
@@ -56,6 +58,8 @@ class Inputs:
     ev: DataFrame
     adm: DataFrame
     _unique: dict = field(default_factory=dict)
+    _dup: DataFrame | None = None
+    _dup_old: DataFrame | None = None
     _lock: threading.RLock = field(default_factory=threading.RLock, repr=False)
 
     def declare_unique(self, ids: bool = True, admission_keys: bool = True) -> "Inputs":
@@ -74,6 +78,25 @@ class Inputs:
                 self._unique["ev"] = keys_unique(self.ev, ["hadm_id"])
             return self._unique["ev"]
 
+    def duplicate_ids(self) -> DataFrame:
+        """Ids seen more than once in ``evaluation``, computed once: the
+        adjustments keep ids, so every variant shares the list."""
+        with self._lock:
+            if self._dup is None:
+                self._dup = forms.duplicate_ids(self.ev)
+            return self._dup
+
+    def rebased_duplicate_ids(self) -> DataFrame:
+        """The same on the old timeline; where admissions keys are unique the
+        rebase repeats no row, so the list above serves."""
+        self.rebased_ids_unique()
+        with self._lock:
+            if self._unique["adm"]:
+                return self.duplicate_ids()
+            if self._dup_old is None:
+                self._dup_old = forms.duplicate_ids(S.rebase_admissions(self.ev, self.adm))
+            return self._dup_old
+
     def rebased_ids_unique(self) -> bool:
         """Non-null ``hadm_id`` unique after the rebase join: unique in
         ``evaluation`` and at most one admissions row per join key."""
@@ -127,15 +150,17 @@ class Variant:
 
     # -- form choice -------------------------------------------------------
     def _form(self, unique: bool | None) -> str:
+        if self.form == "sweep" and not unique:
+            raise ValueError("form 'sweep' counts rows, and hadm_id repeats here; use 'hybrid' or 'auto'")
         if self.form != "auto":
             return self.form
         return "sweep" if unique else "hybrid"
 
     def form_new(self) -> str:
-        return self._form(self.inputs.ids_unique() if self.form == "auto" else None)
+        return self._form(self.inputs.ids_unique() if self.form in ("auto", "sweep") else None)
 
     def form_old(self) -> str:
-        return self._form(self.inputs.rebased_ids_unique() if self.form == "auto" else None)
+        return self._form(self.inputs.rebased_ids_unique() if self.form in ("auto", "sweep") else None)
 
     # -- stay-days (literal) ------------------------------------------------
     def predicted_new(self) -> DataFrame:
@@ -174,7 +199,7 @@ class Variant:
         """(stays of ids seen once or NULL, stays of duplicated ids), built once."""
         with self._lock:
             if self._split is None:
-                self._split = forms.split_duplicate_ids(self.ev)
+                self._split = forms.split_duplicate_ids(self.ev, dup=self.inputs.duplicate_ids())
             return self._split
 
     def sweep_new_unique_part(self) -> DataFrame:
@@ -198,7 +223,7 @@ class Variant:
 
     def evaluation(self) -> DataFrame:
         """The variant's six evaluation columns."""
-        return self.ev.drop(*S.REBASE_COLUMNS)
+        return self.ev.drop(*S.REBASE_COLUMNS, A.COPY_COLUMN)
 
     def occupancy_new(self) -> DataFrame:
         # a filter over the persisted sweep needs no copy of its own
@@ -243,7 +268,7 @@ class Variant:
         if f == "sweep":
             return forms.occupancy_from_sweep(self.sweep_old())
         if f == "hybrid":
-            return forms.daily_occupancy_hybrid(self.rebased(), pw, aw)
+            return forms.daily_occupancy_hybrid(self.rebased(), pw, aw, self.inputs.rebased_duplicate_ids())
         return forms.daily_occupancy_flags(self.rebased(), pw, aw)
 
     def occupancy_error_new(self) -> DataFrame:
@@ -285,7 +310,14 @@ class Variant:
         return R.histogram(d.select(err))
 
     def bed_occupancy_year(self) -> DataFrame:
-        return R.bed_occupancy_series(self.actual_new(), self.cfg.year)
+        """C23. With unique ids the sweep holds the counts; otherwise stays are
+        expanded inside the focus year only, so the bound reaches the scan."""
+        if self.form_new() == "sweep":
+            days = self.sweep_new().where(F.col("a_any") > 0).select("day", F.col("a_cnt").alias("n"))
+            return R.numbered_days(days, self.cfg.year)
+        w, y = self.cfg.new_window, self.cfg.year
+        lo, hi = max(w.lo, date(y, 1, 1)), min(w.hi, date(y, 12, 31))
+        return R.bed_occupancy_series(S.actual_stay_days(self.ev, DayWindow(lo, hi)), y)
 
     def occupancy_level_frequency(self) -> DataFrame:
         return R.occupancy_level_frequency(self.occupancy_new())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +69,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def scratch_paths() -> list[str]:
+    """Paths given out so far and not dropped."""
+    return list(_scratch)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete written tables (all of this session's, or ``paths``).
+
+    For use once no DataFrame that reads them is needed any more.
+    """
+    jvm = spark._jvm
+    for path in scratch_paths() if paths is None else paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _scratch:
+            _scratch.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -92,13 +114,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for ``df`` only when it has at most ``max_rows`` rows.
 
-    The check runs ``limit(max_rows + 1).count()`` on a persisted ``df``, so
-    the broadcast reuses what the check computed. Above the bound the copy is
-    released and ``df`` is returned unhinted: the planner keeps a shuffle join.
+    ``df`` is written to the shared folder and counted there (partial counts
+    only, no row meets another), so what follows reads what the check computed.
+    Above the bound the written table is returned unhinted: the planner keeps a
+    shuffle join.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = kept.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    kept = materialize(df, "bounded")
+    return F.broadcast(kept) if kept.count() <= max_rows else kept

@@ -2,8 +2,7 @@
 
 Result tables are histograms and calendar-sized series (at most one row per
 day of the window or per distinct error value), so a single sorted file per
-result is cheap. The range-partitioned sort keeps the ordering when the
-partitions are coalesced into one file.
+result is cheap: one partition, sorted inside.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from pyspark.sql import types as T
 
 def write_result(df: DataFrame, path: str, order_by: list[str] | None = None, single_file: bool = True) -> None:
     """Write ``df`` as headerless CSV at ``path`` (overwrite)."""
-    if order_by:
-        df = df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    keys = [F.col(c).asc_nulls_last() for c in order_by or []]
     if single_file:
-        df = df.coalesce(1)
+        df = df.repartition(1)
+        df = df.sortWithinPartitions(*keys) if keys else df
+    elif keys:
+        df = df.orderBy(*keys)
     (
         df.write.mode("overwrite")
         .option("header", False)

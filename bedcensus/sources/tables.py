@@ -1,7 +1,8 @@
 """Input tables: ``evaluation`` (one row per scored stay) and ``admissions``.
 
-``read_evaluation`` / ``read_admissions`` load prepared tables with an explicit
-schema. ``evaluation_from_orders`` / ``admissions_from_evaluation`` derive the
+``read_evaluation`` / ``read_admissions`` load prepared tables by column name
+into an explicit schema; a missing column, and a value that cannot be read as
+its type, is an error. ``evaluation_from_orders`` / ``admissions_from_evaluation`` derive the
 same shapes from the TPC-H-like test tables (``orders`` + ``lineitem``), with
 the formulas fixed by FIXTURES.md, so every query grows with those tables.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,30 +49,48 @@ def table_path(sf_dir: str, name: str, fmt: str = "parquet") -> str:
     return os.path.join(sf_dir, f"{name}.{fmt}")
 
 
+def _as(name: str, source: T.DataType, target: T.DataType) -> Column:
+    """Column ``name`` as ``target``; a value that does not convert raises.
+
+    Dates are taken from any timestamp the source holds, so a date column may
+    carry a time of day.
+    """
+    if source == target:
+        return F.col(f"`{name}`")  # as it is, so filters reach the scan
+    value = F.trim(F.col(f"`{name}`")) if isinstance(source, T.StringType) else F.col(f"`{name}`")
+    if isinstance(target, T.DateType) and not isinstance(source, T.DateType):
+        read = F.to_date(value.try_cast("timestamp_ntz"))
+    else:
+        read = value.try_cast(target)
+    message = F.concat(F.lit(f"column {name}: cannot read as {target.simpleString()}: "), value.cast("string"))
+    return F.when(value.isNotNull() & read.isNull(), F.raise_error(message).cast(target)).otherwise(read)
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
-    reader = spark.read.schema(schema)
     if fmt == "parquet":
-        return reader.parquet(path)
-    if fmt == "csv":
+        raw = spark.read.parquet(path)
+    elif fmt == "csv":
         # a database export with a header line; NULL as an empty field
-        return (
-            reader.option("header", True)
-            .option("nullValue", "")
-            .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm[:ss]]")
-            .option("dateFormat", "yyyy-MM-dd")
-            .csv(path)
-        )
-    raise ValueError(f"unsupported format {fmt!r}")
+        raw = spark.read.option("header", True).option("nullValue", "").option("inferSchema", False).csv(path)
+    else:
+        raise ValueError(f"unsupported format {fmt!r}")
+    # by name, whatever the order and case; other columns of an export are left out
+    found = {f.name.strip().lower(): f for f in raw.schema}
+    missing = [f.name for f in schema if f.name not in found]
+    if missing:
+        raise ValueError(f"{path}: missing column(s) {', '.join(missing)}; it has {', '.join(raw.columns)}")
+    return raw.select(*[_as(found[f.name].name, found[f.name].dataType, f.dataType).alias(f.name) for f in schema])
 
 
 def read_evaluation(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The predictions table, one row per stay, explicit schema
-    (parquet, or CSV with a header)."""
+    """The predictions table, one row per stay (parquet, or CSV with a
+    header), columns by name."""
     return _read(spark, path, EVALUATION_SCHEMA, fmt)
 
 
 def read_admissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The admissions table carrying the "old" timeline start dates."""
+    """The admissions table carrying the "old" timeline start dates
+    (``admittime`` as a date or a timestamp)."""
     return _read(spark, path, ADMISSIONS_SCHEMA, fmt)
 
 
@@ -107,14 +126,37 @@ def evaluation_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evaluation_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``evaluation`` at line-item grain: the supplier is the id, so ids
+    repeat, and every fifth line number has none (a test of repeated and
+    missing ids over the given tables)."""
+    q = F.col("l_quantity")
+    pred = (q.cast("bigint") * PRED_QTY_MULT + F.col("l_orderkey") * PRED_KEY_MULT) % PRED_MOD
+    return spark.read.parquet(table_path(sf_dir, "lineitem")).select(
+        F.col("l_shipdate").cast("timestamp_ntz").alias("admittime"),
+        F.year("l_shipdate").cast("string").alias("anchor_year_group"),
+        F.col("l_partkey").cast("bigint").alias("subject_id"),
+        F.when(F.col("l_linenumber") % 5 != 4, F.col("l_suppkey")).cast("bigint").alias("hadm_id"),
+        (pred.cast("double") / F.lit(PRED_DIV)).alias("predicted_los"),
+        (q.cast("double") / F.lit(ACTUAL_DIV)).alias("actual_los"),
+    )
+
+
 def admissions_from_evaluation(ev: DataFrame) -> DataFrame:
     """``admissions`` derived from ``evaluation``: a narrow map, no shuffle."""
+    return ev.select("subject_id", "hadm_id", _old_date().alias("admittime"))
+
+
+def _old_date() -> Column:
     shift = F.lit(OLD_SHIFT_DAYS) + (F.col("subject_id") * OLD_SUBJECT_MULT % OLD_SUBJECT_MOD) * OLD_YEAR_DAYS
-    return ev.select(
-        "subject_id",
-        "hadm_id",
-        F.date_add(F.to_date("admittime"), shift.cast("int")).alias("admittime"),
-    )
+    return F.date_add(F.to_date("admittime"), shift.cast("int"))
+
+
+def derive_old_admission(ev: DataFrame) -> DataFrame:
+    """``ev`` with its own derived admissions date attached: what the left join
+    with :func:`admissions_from_evaluation` gives where the keys are unique."""
+    match = F.col("subject_id").isNotNull() & F.col("hadm_id").isNotNull()
+    return ev.select("*", F.when(match, _old_date()).alias("_old_admittime"), F.when(match, F.lit(True)).alias("_old_match"))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -134,12 +176,18 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def prepared_format(spark: SparkSession, sf_dir: str) -> str | None:
     """``"parquet"`` or ``"csv"`` when the folder holds both prepared tables
-    (``evaluation.<fmt>`` and ``admissions.<fmt>``), else None."""
+    (``evaluation.<fmt>`` and ``admissions.<fmt>``), None when it holds neither.
+    One of them alone, or two formats, is an error."""
+    names = ("evaluation", "admissions")
+    found = {(n, fmt) for n in names for fmt in ("parquet", "csv") if table_exists(spark, table_path(sf_dir, n, fmt))}
     for fmt in ("parquet", "csv"):
-        if table_exists(spark, table_path(sf_dir, "evaluation", fmt)) and table_exists(
-            spark, table_path(sf_dir, "admissions", fmt)
-        ):
+        if all((n, fmt) in found for n in names):
             return fmt
+    if found:
+        raise ValueError(
+            f"{sf_dir} holds {', '.join(sorted(f'{n}.{fmt}' for n, fmt in found))}: "
+            "evaluation and admissions are both needed, in one format"
+        )
     return None
 
 

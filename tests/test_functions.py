@@ -3,12 +3,13 @@ and the md5 uniform draw, which must equal DuckDB's expression."""
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import duckdb
 from pyspark.sql import functions as F
 
 from bedcensus.functions.columns import day_span, discharge_day, rounded, uniform01
+from bedcensus.operators.adjust import row_draw
 from bedcensus.oracle import UNIFORM_SQL
 
 
@@ -37,17 +38,22 @@ def test_day_span_guard(spark):
     assert spans[2] == [date(2000, 1, 9), date(2000, 1, 10)]  # clipped high
 
 
-def test_uniform_matches_duckdb(spark):
-    ids = [1, 2, 3, 42, 10**9 + 7, 6000000]
-    df = spark.createDataFrame([(i,) for i in ids], "hadm_id long")
-    got = {r.hadm_id: r.u for r in df.select("hadm_id", uniform01("hadm_id").alias("u")).collect()}
+def test_row_draw_matches_duckdb(spark):
+    rows = [
+        (1, 1, datetime(1996, 1, 2), 12.125, 3.25),
+        (2, 1, datetime(1996, 1, 2, 10, 30), 0.0, 12.0),
+        (3, None, None, -1.5, None),
+        (None, 10**9 + 7, datetime(2001, 8, 5), None, 0.5),
+    ]
+    schema = "hadm_id long, subject_id long, admittime timestamp_ntz, predicted_los double, actual_los double"
+    df = spark.createDataFrame(rows, schema)
+    got = {r.hadm_id: r.u for r in df.select("hadm_id", row_draw(df).alias("u")).collect()}
     con = duckdb.connect()
-    rows = con.execute(
-        f"SELECT e.hadm_id, {UNIFORM_SQL} AS u FROM (SELECT unnest({ids}) AS hadm_id) e"
-    ).fetchall()
-    for h, u in rows:
-        assert got[h] == u
-        assert 0.0 <= u < 1.0
+    con.execute("CREATE TABLE e (hadm_id BIGINT, subject_id BIGINT, admittime TIMESTAMP, predicted_los DOUBLE, actual_los DOUBLE)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?)", rows)
+    want = dict(con.execute(f"SELECT e.hadm_id, {UNIFORM_SQL} AS u FROM e").fetchall())
+    assert got == want and len(set(got.values())) == 4
+    assert all(0.0 <= u < 1.0 for u in got.values())
 
 
 def test_uniform_salt_changes_draw(spark):
@@ -55,3 +61,9 @@ def test_uniform_salt_changes_draw(spark):
     a = df.select(uniform01("hadm_id").alias("u")).first().u
     b = df.select(uniform01("hadm_id", salt="s1").alias("u")).first().u
     assert a != b
+
+
+def test_uniform_writes_nulls_out(spark):
+    df = spark.createDataFrame([(None, 1), (1, None), (None, None)], "a bigint, b bigint")
+    got = [r.u for r in df.select(uniform01("a", "b").alias("u")).collect()]
+    assert None not in got and len(set(got)) == 3

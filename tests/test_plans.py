@@ -8,7 +8,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from bedcensus import catalog
+from bedcensus.config import FIXTURE, variant_config
+from bedcensus.plans.variant import Inputs, Variant
+from bedcensus.sources import admissions_from_evaluation, evaluation_from_orders
 from conftest import SF_SMALL
 
 
@@ -22,7 +25,7 @@ def _exchanges(plan: str) -> list[str]:
 
 @pytest.fixture(scope="module")
 def queries():
-    return E.queries()
+    return catalog.queries()
 
 
 def test_no_nested_loop_or_cartesian(spark, queries):
@@ -32,31 +35,57 @@ def test_no_nested_loop_or_cartesian(spark, queries):
         assert "CartesianProduct" not in plan, name
 
 
-def test_sweep_shuffles_only_keys_and_days(spark, queries):
+def test_sweep_shuffles_only_days(spark, queries):
     plan = _plan(queries["daily_occupancy_sweep"](spark, SF_SMALL))
     for ex in _exchanges(plan):
-        # the input derivation (order key: lineitem aggregate, orders side of
-        # the sort-merge join), the per-day deltas (day) and the
-        # calendar-sized running-sum window (single partition)
-        assert ex == "SinglePartition" or "orderkey" in ex or re.match(r"hashpartitioning\(day#", ex), ex
-    assert "Generate" in plan
-    # the only sort-merge join is the derivation's (order key)
-    for line in plan.splitlines():
-        if "SortMergeJoin" in line:
-            assert "o_orderkey" in line, line
+        # the per-day deltas (day) and the calendar-sized running-sum window
+        assert ex == "SinglePartition" or re.match(r"hashpartitioning\(day#", ex), ex
+    assert "Generate" in plan and "SortMergeJoin" not in plan
 
 
-def test_stay_filter_and_pruning_reach_the_scan(spark, queries):
-    plan = _plan(queries["normal_occupancy_error_new"](spark, SF_SMALL))
-    orders_scan = next(line for line in plan.splitlines() if "orders.parquet" in line)
-    assert "LessThan(o_orderdate" in orders_scan
-    read = re.search(r"ReadSchema: struct<([^>]*)>", orders_scan).group(1)
+def test_derivation_shuffles_once_by_order_key(spark):
+    plan = _plan(evaluation_from_orders(spark, SF_SMALL))
+    assert all("orderkey" in ex for ex in _exchanges(plan))
+    assert plan.count("SortMergeJoin") == 1
+    orders = next(line for line in plan.splitlines() if "orders.parquet" in line)
+    read = re.search(r"ReadSchema: struct<([^>]*)>", orders).group(1)
     assert {c.split(":")[0] for c in read.split(",")} <= {"o_orderkey", "o_orderdate", "o_custkey"}
-    lineitem_scan = next(line for line in plan.splitlines() if "lineitem.parquet" in line)
-    read = re.search(r"ReadSchema: struct<([^>]*)>", lineitem_scan).group(1)
+    lineitem = next(line for line in plan.splitlines() if "lineitem.parquet" in line)
+    read = re.search(r"ReadSchema: struct<([^>]*)>", lineitem).group(1)
     assert {c.split(":")[0] for c in read.split(",")} == {"l_orderkey", "l_quantity"}
 
 
+def test_stay_filter_and_pruning_reach_the_scan(spark, queries):
+    plan = _plan(queries["normal_occupancy_error_new"](spark, SF_SMALL))
+    scan = next(line for line in plan.splitlines() if "Scan parquet" in line)
+    assert "LessThan(admittime" in scan
+    read = re.search(r"ReadSchema: struct<([^>]*)>", scan).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == {"admittime", "hadm_id", "predicted_los", "actual_los"}
+
+
+def _base(spark):
+    ev = evaluation_from_orders(spark, SF_SMALL)
+    return Inputs(ev, admissions_from_evaluation(ev)).declare_unique()
+
+
+def test_bed_occupancy_from_the_sweep_or_one_year(spark):
+    """With unique ids no stay becomes its days; otherwise the focus year bounds the scan."""
+    cfg = variant_config("normal", FIXTURE)
+    sweep = _plan(Variant(_base(spark), cfg, persist=False).bed_occupancy_year())
+    assert "sequence" not in sweep
+    other = _plan(Variant(_base(spark), cfg, "flags", persist=False).bed_occupancy_year())
+    assert f"{FIXTURE.year + 1}-01-01" in next(line for line in other.splitlines() if "orders.parquet" in line)
+
+
+def test_size_check_has_no_single_partition_exchange(spark):
+    """Counting a written table leaves one partial count per task; no rows meet."""
+    from bedcensus.session import broadcast_if_bounded
+
+    kept = broadcast_if_bounded(spark.range(1000).select("id"), 10)
+    plan = _plan(kept)
+    assert not _exchanges(plan) and "Limit" not in plan
+
+
 def test_shift_table_is_broadcast(spark, queries):
     plan = _plan(queries["symmetrise"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
@@ -65,13 +94,8 @@ def test_shift_table_is_broadcast(spark, queries):
 
 
 def test_flag_pass_has_no_join_on_stay_days(spark, queries):
-    """One explode and a group-by on (day, id): no join of stay-days. Here the
-    stays are already clustered by order key (= id) from the lineitem
-    aggregate, so the (day, id) group-by needs no shuffle of its own; a
-    prepared evaluation table would be shuffled on (day, id) once."""
+    """One explode and one shuffle for the group-by on (day, id): no join."""
     plan = _plan(queries["daily_occupancy_flag_pass"](spark, SF_SMALL))
-    for line in plan.splitlines():
-        if "SortMergeJoin" in line:
-            assert "o_orderkey" in line, line
+    assert "SortMergeJoin" not in plan
     for ex in _exchanges(plan):
-        assert "orderkey" in ex or "timeline#" in ex or ("day#" in ex and "hadm_id#" in ex), ex
+        assert "timeline#" in ex or ("day#" in ex and "hadm_id#" in ex), ex
