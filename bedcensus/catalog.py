@@ -47,9 +47,9 @@ def _repeated_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(ev, admissions_from_evaluation(ev))
 
 
-def _variant(spark: SparkSession, sf_dir: str, name: str, form: str = "auto", params=PARAMS, inputs=_inputs) -> Variant:
+def _variant(spark: SparkSession, sf_dir: str, name: str, form: str = "auto", params=PARAMS, inputs=None) -> Variant:
     # one result per query: nothing to share, so nothing is persisted
-    return Variant(inputs(spark, sf_dir), variant_config(name, params), form, persist=False)
+    return Variant((inputs or _inputs)(spark, sf_dir), variant_config(name, params), form, persist=False)
 
 
 def _per_variant(name: str) -> dict[str, Query]:

@@ -57,23 +57,43 @@ def shift_probability(counts: DataFrame, threshold: int = 2) -> DataFrame:
     )
 
 
-#: A row's number in the written base table, there only when ids repeat.
+#: A number that tells fully identical rows apart; null for all other rows.
 COPY_COLUMN = "_copy"
+# A list of repeated rows beyond this many is joined by shuffle.
+COPIES_BROADCAST_MAX_ROWS = 1_000_000
+
+
+def _row_key() -> list[Column]:
+    """The whole row; lengths in millionths, which have one text form."""
+    key: list[Column] = [F.col("admittime").cast("timestamp_ntz"), F.col("subject_id"), F.col("hadm_id")]
+    return key + [F.floor(F.col(c) * F.lit(1e6)).cast("bigint") for c in ("predicted_los", "actual_los")]
 
 
 def row_draw(ev: DataFrame) -> Column:
     """One uniform draw per row: a function of the whole row.
 
     Rows of one id, or without an id, get draws of their own. Fully identical
-    rows share a draw unless the table carries a row number (``_copy``, which
-    the job writes when ids repeat). Lengths enter in millionths, which have
-    one text form.
+    rows share a draw unless :func:`number_copies` has told them apart.
     """
-    key: list[Column] = [F.col("admittime").cast("timestamp_ntz"), F.col("subject_id"), F.col("hadm_id")]
-    key += [F.floor(F.col(c) * F.lit(1e6)).cast("bigint") for c in ("predicted_los", "actual_los")]
-    if COPY_COLUMN in ev.columns:
-        key.append(F.col(COPY_COLUMN))
-    return uniform01(*key)
+    draw = uniform01(*_row_key())
+    if COPY_COLUMN not in ev.columns:
+        return draw
+    return F.when(F.col(COPY_COLUMN).isNull(), draw).otherwise(uniform01(*_row_key(), COPY_COLUMN))
+
+
+def number_copies(ev: DataFrame, broadcast_max_rows: int = COPIES_BROADCAST_MAX_ROWS) -> DataFrame:
+    """``ev`` with ``_copy``, a number for rows that some other row equals.
+
+    The numbers hold only once the result is written. Repeated rows come from
+    one map-side combined aggregate over row digests; no task gathers the rows
+    of a digest.
+    """
+    parts = [F.coalesce(c.cast("string"), F.lit("~")) for c in _row_key()]
+    keyed = ev.withColumn("_row", F.md5(F.concat_ws("|", *parts)))
+    again = keyed.groupBy("_row").count().where(F.col("count") > 1).select("_row", F.lit(True).alias("_again"))
+    again = broadcast_if_bounded(again, broadcast_max_rows)
+    marked = keyed.join(again, "_row", "left")
+    return marked.withColumn(COPY_COLUMN, F.when(F.col("_again"), F.monotonically_increasing_id())).drop("_row", "_again")
 
 
 def symmetrise(

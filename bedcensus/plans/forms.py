@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bedcensus.config import DayWindow
@@ -43,22 +43,24 @@ def stay_spans(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) ->
     """``(hadm_id, admittime, p_s, p_e, a_s, a_e)``: clipped predicted and actual
     day spans of each stay; a span is empty when its start exceeds its end or
     an end is NULL (a NULL length)."""
-    start = F.to_date("admittime")
-    pe = discharge_day("admittime", "predicted_los")
-    ae = discharge_day("admittime", "actual_los")
     # stays admitted after both windows have empty spans; this bound is on
     # the raw column, so the scan can skip them
     last = max(pred_window.hi, act_window.hi)
     return ev.where(F.col("admittime") < F.lit(last + timedelta(days=1))).select(
-        "hadm_id",
-        start.alias("admittime"),
-        clip_start(start, pred_window.lo).alias("p_s"),
-        clip_end(pe, pred_window.hi).alias("p_e"),
-        clip_start(start, act_window.lo).alias("a_s"),
-        clip_end(ae, act_window.hi).alias("a_e"),
+        "hadm_id", F.to_date("admittime").alias("admittime"), *_span_columns(F.col("admittime"), pred_window, act_window)
     )
 
 
+def _span_columns(admit: Column, pred_window: DayWindow, act_window: DayWindow, prefix: str = "") -> list[Column]:
+    start = F.to_date(admit)
+    return [
+        clip_start(start, pred_window.lo).alias(f"{prefix}p_s"),
+        clip_end(discharge_day(admit, "predicted_los"), pred_window.hi).alias(f"{prefix}p_e"),
+        clip_start(start, act_window.lo).alias(f"{prefix}a_s"),
+        clip_end(discharge_day(admit, "actual_los"), act_window.hi).alias(f"{prefix}a_e"),
+    ]
+
+
 def calendar(spark: SparkSession, window: DayWindow) -> DataFrame:
     """One row per day of ``window``; its size is fixed by the window."""
     return spark.range(window.n_days).select(
@@ -80,7 +82,7 @@ def _min(a: str, b: str) -> str:
     return f"CASE WHEN {a} <= {b} THEN {a} WHEN {a} > {b} THEN {b} END"
 
 
-def _span_events(s: str, e: str, weights: dict[str, str]) -> list[str]:
+def _span_events(s: str, e: str, weights: dict[str, str], line: int = 0) -> list[str]:
     """SQL for +w at ``s`` and -w at ``e + 1`` of a non-empty span, else NULL.
 
     Written as SQL text so the whole event array is one expression: building
@@ -90,7 +92,7 @@ def _span_events(s: str, e: str, weights: dict[str, str]) -> list[str]:
         fields = ", ".join(
             f"'{c}', CAST({sign}({weights.get(c, '0')}) AS BIGINT)" for c in _COUNTERS
         )
-        return f"CASE WHEN {s} <= {e} THEN named_struct('day', {day}, {fields}) END"
+        return f"CASE WHEN {s} <= {e} THEN named_struct('line', {line}, 'day', {day}, {fields}) END"
 
     return [event(s, ""), event(f"date_add({e}, 1)", "-")]
 
@@ -109,36 +111,66 @@ def daily_sweep(
     actually present whose id is present on either side ``lookahead_days``
     later (0 when ``lookahead_days`` is None).
     """
-    spans = stay_spans(ev, pred_window, act_window).withColumn(
-        "nn", F.when(F.col("hadm_id").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    )
-    events = []
-    events += _span_events("p_s", "p_e", {"p_cnt": "nn", "p_any": "1", "u_any": "1"})
-    events += _span_events("a_s", "a_e", {"a_cnt": "nn", "a_any": "1", "u_any": "1"})
+    spans = stay_spans(ev, pred_window, act_window).withColumn("nn", _has_id())
+    deltas = _deltas(spans, _sweep_events(lookahead_days), ["day"])
+    return daily_from_deltas(deltas, _cover(pred_window, act_window))
+
+
+def _has_id() -> Column:
+    return F.when(F.col("hadm_id").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+
+
+def _sweep_events(lookahead_days: int | None, prefix: str = "", line: int = 0) -> list[str]:
+    """SQL of all events of a stay on one timeline."""
+    ps, pe, a_s, ae = (f"{prefix}{c}" for c in ("p_s", "p_e", "a_s", "a_e"))
+    events = _span_events(ps, pe, {"p_cnt": "nn", "p_any": "1", "u_any": "1"}, line)
+    events += _span_events(a_s, ae, {"a_cnt": "nn", "a_any": "1", "u_any": "1"}, line)
     # union = P + A - (P and A)
-    events += _span_events(_max("p_s", "a_s"), _min("p_e", "a_e"), {"u_any": "-1"})
+    events += _span_events(_max(ps, a_s), _min(pe, ae), {"u_any": "-1"}, line)
     if lookahead_days is not None:
         lag = int(lookahead_days)
         # t in A with t+lag in A:  [a_s, a_e - lag]
         # t in A with t+lag in P:  [max(a_s, p_s - lag), min(a_e, p_e - lag)]
         # both:                    [max(a_s, p_s - lag), min(a_e - lag, p_e - lag)]
-        i2s = _max("a_s", f"date_sub(p_s, {lag})")
-        events += _span_events("a_s", f"date_sub(a_e, {lag})", {"look": "nn"})
-        events += _span_events(i2s, _min("a_e", f"date_sub(p_e, {lag})"), {"look": "nn"})
-        events += _span_events(i2s, _min(f"date_sub(a_e, {lag})", f"date_sub(p_e, {lag})"), {"look": "-nn"})
-    cover = _cover(pred_window, act_window)
-    deltas = (
+        i2s = _max(a_s, f"date_sub({ps}, {lag})")
+        events += _span_events(a_s, f"date_sub({ae}, {lag})", {"look": "nn"}, line)
+        events += _span_events(i2s, _min(ae, f"date_sub({pe}, {lag})"), {"look": "nn"}, line)
+        events += _span_events(i2s, _min(f"date_sub({ae}, {lag})", f"date_sub({pe}, {lag})"), {"look": "-nn"}, line)
+    return events
+
+
+def _deltas(spans: DataFrame, events: list[str], keys: list[str]) -> DataFrame:
+    return (
         spans.select(F.expr(f"explode(array({', '.join(events)}))").alias("e"))
         .where(F.col("e").isNotNull())
         .select("e.*")
-        .groupBy("day")
+        .groupBy(*keys)
         .agg(*[F.sum(c).alias(c) for c in _COUNTERS])
     )
+
+
+def two_timeline_deltas(
+    ev: DataFrame, window: DayWindow, old_pred: DayWindow, old_act: DayWindow, lookahead_days: int
+) -> DataFrame:
+    """Per-day changes of both timelines from one pass over ``ev``, which
+    carries its old admission date (:func:`attach_old_admission`): ``line`` 0
+    new (with look-ahead), 1 old."""
+    old = F.when(F.col("_old_match"), F.col("_old_admittime"))
+    spans = ev.select(
+        _has_id().alias("nn"),
+        *_span_columns(F.col("admittime"), window, window, "n_"),
+        *_span_columns(old, old_pred, old_act, "o_"),
+    )
+    return _deltas(spans, _sweep_events(lookahead_days, "n_", 0) + _sweep_events(None, "o_", 1), ["line", "day"])
+
+
+def daily_from_deltas(deltas: DataFrame, cover: DayWindow) -> DataFrame:
+    """Running sums of per-day changes over every day of ``cover``."""
     # deltas has at most one row per calendar day (+1 for the day after the
     # window), a bound fixed by the window (a DayWindow of dates, some
     # thousand days), not by the data.
     deltas = F.broadcast(deltas)
-    cal = calendar(ev.sparkSession, cover)
+    cal = calendar(deltas.sparkSession, cover)
     run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     daily = cal.join(deltas, "day", "left")
     return daily.select(
@@ -352,6 +384,7 @@ __all__ = [
     "daily_occupancy_flags",
     "daily_occupancy_hybrid",
     "daily_occupancy_sweep",
+    "daily_from_deltas",
     "daily_sweep",
     "duplicate_ids",
     "lookahead_counts_by_id",
@@ -359,4 +392,5 @@ __all__ = [
     "presence_flag_rows",
     "split_duplicate_ids",
     "stay_spans",
+    "two_timeline_deltas",
 ]

@@ -65,23 +65,20 @@ def prepare_inputs(
     derived = not has_prepared_inputs(spark, sf_dir)
     # derived admissions are a function of the evaluation row: no join to attach them
     rebased = derive_old_admission(ev) if derived else attach_old_admission(ev, adm)
-    numbered = rebased.withColumn(A.COPY_COLUMN, F.monotonically_increasing_id())
-    attached = materialize(numbered, "evaluation_rebased")
-    plain = attached.drop(A.COPY_COLUMN)
+    attached = materialize(rebased, "evaluation_rebased")
     if derived:
-        adm = admissions_from_evaluation(plain)
+        adm = admissions_from_evaluation(attached)
     if assume_unique_keys:
-        return Inputs(plain, adm).declare_unique()
-    if keys_unique(plain, ["hadm_id"]):
-        return Inputs(plain, adm).declare_unique(ids=True, admission_keys=True)
-    # ids repeat: rows may be identical, so the draws take the row number
+        return Inputs(attached, adm).declare_unique()
+    if keys_unique(attached, ["hadm_id"]):
+        return Inputs(attached, adm).declare_unique(ids=True, admission_keys=True)
+    # ids repeat, so rows may be identical: number those for their draws
     if keys_unique(adm, ["subject_id", "hadm_id"]):
-        return Inputs(attached, adm).declare_unique(ids=False, admission_keys=True)
+        numbered = materialize(A.number_copies(attached), "evaluation_numbered")
+        return Inputs(numbered, adm).declare_unique(ids=False, admission_keys=True)
     # repeated admissions keys duplicated evaluation rows in the attach
-    ev = materialize(ev.withColumn(A.COPY_COLUMN, F.monotonically_increasing_id()), "evaluation")
-    unique = keys_unique(ev, ["hadm_id"])
-    ev = ev.drop(A.COPY_COLUMN) if unique else ev
-    return Inputs(ev, adm).declare_unique(ids=unique, admission_keys=False)
+    ev = materialize(A.number_copies(materialize(ev, "evaluation")), "evaluation_numbered")
+    return Inputs(ev, adm).declare_unique(ids=keys_unique(ev, ["hadm_id"]), admission_keys=False)
 
 
 def build_variants(inputs: Inputs, params: Params, form: str = "auto") -> dict[str, Variant]:

@@ -184,14 +184,39 @@ class Variant:
         return self._once("tl", lambda: O.presence_timeline(self.predicted_new(), self.actual_new()))
 
     # -- per-day sweeps (calendar-sized) --------------------------------------
+    def _both_deltas(self) -> DataFrame | None:
+        """Per-day changes of both timelines, from one pass, where several
+        results share them and the old dates are attached."""
+        if not self.persist or "_old_match" not in self.ev.columns or self._form_old_table() != "sweep":
+            return None
+        c = self.cfg
+        return self._once(
+            "both",
+            lambda: forms.two_timeline_deltas(
+                self.ev, c.new_window, c.old_predicted_window, c.old_actual_window, c.lookahead_days
+            ),
+            persist=True,
+        )
+
     def sweep_new(self) -> DataFrame:
         w = self.cfg.new_window
+        both = self._both_deltas() if self.form in ("auto", "sweep") else None
+        if both is not None:
+            return self._once(
+                "sw_new", lambda: forms.daily_from_deltas(both.where("line = 0").drop("line"), w), persist=True
+            )
         return self._once(
             "sw_new", lambda: forms.daily_sweep(self.ev, w, w, self.cfg.lookahead_days), persist=True
         )
 
     def sweep_old(self) -> DataFrame:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
+        both = self._both_deltas() if self.form in ("auto", "sweep") and self.form_new() == "sweep" else None
+        if both is not None:
+            cover = DayWindow(min(pw.lo, aw.lo), max(pw.hi, aw.hi))
+            return self._once(
+                "sw_old", lambda: forms.daily_from_deltas(both.where("line = 1").drop("line"), cover), persist=True
+            )
         return self._once("sw_old", lambda: forms.daily_sweep(self.rebased(), pw, aw), persist=True)
 
     # -- hybrid: ids seen once by sweep, duplicated ids by flag pass ------------

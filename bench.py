@@ -28,7 +28,7 @@ sys.path.insert(0, ROOT)
 
 from bedcensus.config import FIXTURE  # noqa: E402
 from bedcensus.plans.job import build_variants, prepare_inputs, release, result_builders, run_concurrently  # noqa: E402
-from bedcensus.session import get_session  # noqa: E402
+from bedcensus.session import drop_scratch, get_session  # noqa: E402
 
 PARALLELISM = 8
 
@@ -49,6 +49,7 @@ def time_job(spark, sf_dir: str, form: str, parallelism: int) -> tuple[float, di
     times.update(run_concurrently(actions, parallelism))
     total = time.perf_counter() - t0
     release(variants)
+    drop_scratch(spark)
     return total, times
 
 

@@ -5,6 +5,7 @@ scans, and the shift table is broadcast instead of shuffling evaluation."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pytest
 
@@ -25,7 +26,11 @@ def _exchanges(plan: str) -> list[str]:
 
 @pytest.fixture(scope="module")
 def queries():
-    return catalog.queries()
+    """The registered queries over one written base table a source, to save time."""
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("_inputs", "_repeated_inputs"):
+            m.setattr(catalog, name, lru_cache(getattr(catalog, name)))
+        yield catalog.queries()
 
 
 def test_no_nested_loop_or_cartesian(spark, queries):

@@ -125,15 +125,18 @@ def test_draws_of_one_id_or_none_are_one_per_row(spark, key):
     shift = spark.createDataFrame([(4, 0.5)], "error bigint, prob double")
     moved = A.symmetrise(ev, shift).where(los_error() == -4).count()
     assert abs(moved / n - 0.5) < 0.05
-    same = ev.withColumn("admittime", F.lit(None).cast("timestamp_ntz")).withColumn(A.COPY_COLUMN, F.monotonically_increasing_id())
+    same = A.number_copies(ev.withColumn("admittime", F.lit(None).cast("timestamp_ntz")))
     assert abs(A.symmetrise(same, shift).where(los_error() == -4).count() / n - 0.5) < 0.05
 
 
-def test_identical_rows_get_row_numbers_in_the_job(spark, tmp_path):
+def test_identical_rows_are_numbered_in_the_job(spark, tmp_path):
     ev = stays(spark)
-    ev.union(ev).write.parquet(f"{tmp_path}/evaluation.parquet")
+    ev.union(ev.where("hadm_id < 10")).write.parquet(f"{tmp_path}/evaluation.parquet")
     admissions(ev).write.parquet(f"{tmp_path}/admissions.parquet")
-    assert A.COPY_COLUMN in prepare_inputs(spark, str(tmp_path)).ev.columns
+    base = prepare_inputs(spark, str(tmp_path)).ev
+    numbered = base.where(f"{A.COPY_COLUMN} is not null").select("hadm_id", A.COPY_COLUMN).collect()
+    assert len(numbered) == len({r[1] for r in numbered}) == 20 and {r[0] for r in numbered} == set(range(10))
+    assert base.count() == 50
 
 
 def test_study_constants():
