@@ -72,8 +72,12 @@ def expand_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: str,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
-    """Map each Arrow batch to a batch of ``schema`` with any number of rows."""
+    """Map each Arrow batch to a batch of ``schema`` with any number of rows.
+
+    ``finish()`` runs at the end of a task, for what its worker should not keep.
+    """
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +85,8 @@ def expand_rows(
         for b in batches:
             if b.num_rows:
                 yield work(b)
+        if finish is not None:
+            finish()
 
     return df.mapInArrow(run, schema)
 

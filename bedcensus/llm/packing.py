@@ -154,7 +154,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         return work
 
-    return expand_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, schema)
+    def finish():
+        word_tokenizer(tokenizer_path).words.clear()  # an idle worker keeps the (smaller) parts only
+
+    return expand_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, schema, finish)
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
