@@ -187,7 +187,9 @@ class Variant:
     def _both_deltas(self) -> DataFrame | None:
         """Per-day changes of both timelines, from one pass, where several
         results share them and the old dates are attached."""
-        if not self.persist or "_old_match" not in self.ev.columns or self._form_old_table() != "sweep":
+        if not self.persist or "_old_match" not in self.ev.columns or self.form not in ("auto", "sweep"):
+            return None
+        if not self.inputs.rebased_ids_unique():
             return None
         c = self.cfg
         return self._once(
@@ -200,7 +202,7 @@ class Variant:
 
     def sweep_new(self) -> DataFrame:
         w = self.cfg.new_window
-        both = self._both_deltas() if self.form in ("auto", "sweep") else None
+        both = self._both_deltas()
         if both is not None:
             return self._once(
                 "sw_new", lambda: forms.daily_from_deltas(both.where("line = 0").drop("line"), w), persist=True
@@ -211,7 +213,7 @@ class Variant:
 
     def sweep_old(self) -> DataFrame:
         pw, aw = self.cfg.old_predicted_window, self.cfg.old_actual_window
-        both = self._both_deltas() if self.form in ("auto", "sweep") and self.form_new() == "sweep" else None
+        both = self._both_deltas()
         if both is not None:
             cover = DayWindow(min(pw.lo, aw.lo), max(pw.hi, aw.hi))
             return self._once(
