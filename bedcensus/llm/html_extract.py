@@ -12,13 +12,17 @@ tasks fold the pages they read, and the partial wrappers of a host are merged in
 two rounds (a host's partials are first spread over ``MERGE_GROUPS`` groups): no
 task sees all pages of a host, and every page takes part.
 
-Extraction: the wrapper's slots are judged once per host.  Content is what lies
-in the article (``article``, ``main`` or their ARIA and microdata equivalents);
-a host without one uses the container that holds most of the varying,
-unlinked text.  Slots under boilerplate tags or names (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) are dropped, and outside an article
-so are texts that never vary.  Each page is then aligned with its wrapper, and
-the texts that meet a content slot are its blocks.
+Extraction: the wrapper's slots are judged once per host, in layers, one for each
+kind of page.  On a page with an article (``article``, ``main`` or their ARIA and
+microdata equivalents) content is what lies in it.  For pages without one the
+next layer is the container that holds most of the varying, unlinked text
+outside articles, the one after it the container that holds most of what is then
+left, and the last is all that is left.  Slots under boilerplate tags or names
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+dropped, and outside an article so are texts that never vary over ``MIN_PAGES``
+different pages (copies of a page count once).  Each page is then aligned with
+its wrapper, and the texts that meet a content slot of the first layer it has
+are its blocks.
 
 Edge cases: null or empty html gives an empty text; pages without a host (null
 or odd urls) share one wrapper; unclosed and misnested tags follow the usual
@@ -29,6 +33,7 @@ are extracted row by row; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -44,7 +49,7 @@ MAX_PERIOD = 3
 MERGE_GROUPS = 32
 #: Hosts whose partial wrapper a task holds before it passes them on.
 HELD_HOSTS = 2000
-#: Pages a host needs before a text that never varies counts as boilerplate.
+#: Different pages a host needs before a text that never varies counts as boilerplate.
 MIN_PAGES = 3
 #: Elements nested deeper than this are read as part of the one around them.
 MAX_DEPTH = 150
@@ -232,10 +237,11 @@ def _above(stack: list[Node], scopes: set[str]) -> Iterator[Node]:
 
 
 # A wrapper is a list of parts.  A part is a dict: "k" its key (a tag key, "#" for
-# text, or "(a|b)" for a repeated group of several siblings), "n" pages that have
-# it, "o" 1 if some page lacks it, "r" 1 if it repeats, "c" the parts inside; a
-# text part has "t" (its text while it never varied, else null), "s" characters
-# and "l" linked characters over all pages.
+# text, or "(a|b)" for a repeated group of several siblings), "o" 1 if some page
+# lacks it, "r" 1 if it repeats, "c" the parts inside; a text part has "t" (its
+# text while it never varied, else null), "d" the least digests of the pages with
+# that text (MIN_PAGES at most), "s" characters and "l" linked characters over all
+# pages.
 
 
 def collapse(items: list) -> list[tuple[str, list[list]]]:
@@ -257,24 +263,42 @@ def collapse(items: list) -> list[tuple[str, list[list]]]:
     return out
 
 
-def page_wrapper(items: list) -> list[dict]:
+def page_digest(items: list) -> str:
+    """Equal for pages of equal texts."""
+    found = hashlib.blake2b(digest_size=8)
+
+    def add(xs: list) -> None:
+        for x in xs:
+            if isinstance(x, Node):
+                add(x.items)
+            else:
+                found.update(x[0].encode("utf-8", "surrogatepass") + b"\n")
+
+    add(items)
+    return found.hexdigest()
+
+
+def page_wrapper(items: list, digest: str | None = None) -> list[dict]:
     """The wrapper of one page's sequence."""
+    if digest is None:
+        digest = page_digest(items)
     parts = []
     for key, times in collapse(items):
-        part: dict = {"k": key, "n": 1, "o": 0, "r": int(len(times) > 1)}
+        part: dict = {"k": key, "o": 0, "r": int(len(times) > 1)}
         if key == "#":
             texts = {t[0][0] for t in times}
-            part |= {"t": texts.pop() if len(texts) == 1 else None, "s": sum(len(t[0][0]) for t in times), "l": sum(t[0][1] for t in times)}
+            same = len(texts) == 1
+            part |= {"t": texts.pop() if same else None, "d": [digest] if same else [], "s": sum(len(t[0][0]) for t in times), "l": sum(t[0][1] for t in times)}
         elif key[0] == "(":
             folded: list[dict] = []
             for k, group in enumerate(times):
-                inner = [page_wrapper([x])[0] for x in group]
-                folded = inner if not k else [merge_part(a, b, 0) for a, b in zip(folded, inner)]
+                inner = [page_wrapper([x], digest)[0] for x in group]
+                folded = inner if not k else [merge_part(a, b) for a, b in zip(folded, inner)]
             part["c"] = folded
         else:
-            inner = page_wrapper(times[0][0].items)
+            inner = page_wrapper(times[0][0].items, digest)
             for t in times[1:]:
-                inner = merge(inner, page_wrapper(t[0].items), 0)
+                inner = merge(inner, page_wrapper(t[0].items, digest))
             part["c"] = inner
         parts.append(part)
     return parts
@@ -324,22 +348,23 @@ def _next_equal(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
             at = ps[n] + 1
 
 
-def merge_part(x: dict, y: dict, pages: int = 1) -> dict:
-    out = {"k": x["k"], "n": x["n"] + y["n"] if pages else max(x["n"], y["n"]), "o": x["o"] | y["o"], "r": x["r"] | y["r"]}
+def merge_part(x: dict, y: dict) -> dict:
+    out = {"k": x["k"], "o": x["o"] | y["o"], "r": x["r"] | y["r"]}
     if "s" in x:
         same = x["t"] is not None and x["t"] == y["t"]
-        return out | {"t": x["t"] if same else None, "s": x["s"] + y["s"], "l": x["l"] + y["l"]}
-    return out | {"c": merge(x["c"], y["c"], pages)}
+        pages = sorted({*x["d"], *y["d"]})[:MIN_PAGES] if same else []
+        return out | {"t": x["t"] if same else None, "d": pages, "s": x["s"] + y["s"], "l": x["l"] + y["l"]}
+    return out | {"c": merge(x["c"], y["c"])}
 
 
-def merge(a: list[dict], b: list[dict], pages: int = 1) -> list[dict]:
+def merge(a: list[dict], b: list[dict]) -> list[dict]:
     """Fold wrapper ``b`` into ``a``; what only one of them has becomes optional."""
     out: list[dict] = []
     i = j = 0
     for p, q in [*align([x["k"] for x in a], [x["k"] for x in b]), (len(a), len(b))]:
         out += [x | {"o": 1} for x in a[i:p]] + [x | {"o": 1} for x in b[j:q]]
         if p < len(a):
-            out.append(merge_part(a[p], b[q], pages))
+            out.append(merge_part(a[p], b[q]))
         i, j = p + 1, q + 1
     return out
 
@@ -362,54 +387,66 @@ def is_main(key: str) -> bool:
 
 
 def judge(wrapper: list[dict]) -> list[dict]:
-    """The wrapper with ``v`` set on text parts: 1 for content, 0 for the rest."""
+    """The wrapper with ``v`` set on text parts: bit k is 1 if the text is content of layer k.
 
-    def has_main(parts: list[dict]) -> bool:
-        return any(not is_boilerplate(p["k"]) and (is_main(p["k"]) or has_main(p["c"])) for p in parts if "c" in p)
+    Layer 0 is the articles (their parts have ``m`` set), the others are for pages without one.
+    """
 
     def varies(p: dict) -> bool:
-        return p["t"] is None or p["n"] < MIN_PAGES
+        return p["t"] is None or len(p["d"]) < MIN_PAGES
 
-    def mass(p: dict) -> int:
-        """Characters of varying text outside links, twice the linked ones taken off."""
-        if "s" in p:
-            return max(p["s"] - 3 * p["l"], 0) if varies(p) else 0
-        return 0 if is_boilerplate(p["k"]) else sum(map(mass, p["c"]))
+    def largest() -> dict | None:
+        """Go down while one container holds most of the text that has no layer yet."""
+        known: dict[int, int] = {}
 
-    def mark(parts: list[dict], content: bool, inside: bool, dead: bool = False) -> list[dict]:
+        def mass(p: dict) -> int:
+            """Characters of varying text outside links, twice the linked ones taken off."""
+            if "s" in p:
+                return max(p["s"] - 3 * p["l"], 0) if varies(p) else 0
+            if id(p) not in known:
+                out = id(p) in taken or is_main(p["k"]) or is_boilerplate(p["k"])
+                known[id(p)] = 0 if out else sum(map(mass, p["c"]))
+            return known[id(p)]
+
+        chosen, parts = None, wrapper
+        while True:
+            total = sum(map(mass, parts))
+            inner = [p for p in parts if "c" in p and not p["r"] and 10 * mass(p) >= 7 * total > 0]
+            if not inner:
+                return chosen
+            chosen, parts = inner[0], inner[0]["c"]
+
+    # Each container holds most of what the ones before it left, so there are few.
+    taken: dict[int, int] = {}
+    while (chosen := largest()) is not None:
+        taken[id(chosen)] = 2 << len(taken)
+    rest = 2 << len(taken)
+
+    def mark(parts: list[dict], layers: int, main: bool = False, dead: bool = False) -> list[dict]:
         """``dead``: inside boilerplate, where nothing is content any more."""
         out = []
         for p in parts:
             if "s" in p:
-                out.append({"k": "#", "v": int(content and not dead and (inside or (varies(p) and 2 * p["l"] <= p["s"])))})
+                plain = varies(p) and 2 * p["l"] <= p["s"]
+                out.append({"k": "#", "v": 0 if dead else 1 if main else layers if plain else 0})
             else:
-                here = inside or (mains and is_main(p["k"]))
-                out.append({"k": p["k"], "c": mark(p["c"], content or here, here, dead or is_boilerplate(p["k"]))})
+                here, gone = main or is_main(p["k"]), dead or is_boilerplate(p["k"])
+                inner = {"k": p["k"], "c": mark(p["c"], layers | taken.get(id(p), 0), here, gone)}
+                out.append(inner | {"m": 1} if here and not main and not gone else inner)
         return out
 
-    mains = has_main(wrapper)
-    if mains:
-        return mark(wrapper, False, False)
-    # no article: go down while one container holds most of the text
-    chosen, parts = None, wrapper
-    while True:
-        total = sum(map(mass, parts))
-        inner = [p for p in parts if "c" in p and not p["r"] and 10 * mass(p) >= 7 * total > 0]
-        if not inner:
-            break
-        chosen, parts = inner[0], inner[0]["c"]
+    return mark(wrapper, rest)
 
-    def only(ps: list[dict]) -> list[dict]:
-        return [
-            {"k": p["k"], "c": mark(p["c"], True, False)} if p is chosen else ({"k": "#", "v": 0} if "s" in p else {"k": p["k"], "c": only(p["c"])})
-            for p in ps
-        ]
 
-    return mark(wrapper, True, False) if chosen is None else only(wrapper)
+def content_blocks(items: list, wrapper: list[dict]) -> Iterator[str]:
+    """The texts of a page that meet content slots of its first layer, in page order."""
+    met = [(v, text) for v, text in _met(items, wrapper) if v]
+    layer = min((v & -v for v, _ in met), default=0)
+    yield from (text for v, text in met if v & layer and text)
 
 
-def content_blocks(items: list, wrapper: list[dict]) -> Iterator[str]:
-    """The texts of a page that meet the wrapper's content slots, in page order.
+def _met(items: list, wrapper: list[dict]) -> Iterator[tuple[int, str]]:
+    """The texts of a page with the layers of the slots they meet; an article gives an empty one of layer 0.
 
     Folding keeps the order of every page's keys, so the page is a subsequence
     of the wrapper and each of its parts meets one of the wrapper's.
@@ -419,16 +456,15 @@ def content_blocks(items: list, wrapper: list[dict]) -> Iterator[str]:
         (key, times), part = groups[i], wrapper[j]
         for group in times:
             if key == "#":
-                if part["v"]:
-                    yield group[0][0]
-            elif key[0] == "(":
-                for x, inner in zip(group, part["c"]):
-                    if isinstance(x, Node):
-                        yield from content_blocks(x.items, inner["c"])
-                    elif inner["v"]:
-                        yield x[0]
+                yield part["v"], group[0][0]
             else:
-                yield from content_blocks(group[0].items, part["c"])
+                for x, inner in zip(group, part["c"] if key[0] == "(" else [part]):
+                    if isinstance(x, Node):
+                        if "m" in inner:
+                            yield 1, ""
+                        yield from _met(x.items, inner["c"])
+                    else:
+                        yield inner["v"], x[0]
 
 
 def host_of(url: str = "url"):

@@ -104,3 +104,39 @@ def test_edges(spark):
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in out.collect()]
     assert sorted(got, key=str) == sorted([(1, "", 0), (2, "x", 1), (None, "", 0), (3, "y", 1), (3, "y", 1)], key=str)
     assert X.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_pages_without_an_article_beside_pages_with_one():
+    top, end = "<div id=top>Site name</div><nav>menu</nav>", "<div class=sidebar>side {0}</div><footer>end</footer>"
+    pages = [f"{top}<article><p>Article {i}</p><p>same</p></article><div>teaser {i}</div>{end}".format(i) for i in range(30)]
+    pages += [f"{top}<div class=post><p>Post {i}</p><p>more {i}</p></div>{end}".format(i) for i in range(2)]
+    pages += [f"{top}<article></article><div>teaser</div>{end}"]
+    want = [f"Article {i}\nsame" for i in range(30)] + [f"Post {i}\nmore {i}" for i in range(2)] + [""]
+    assert texts(pages) == want
+    assert texts(pages[::-1]) == want[::-1]
+
+
+def test_every_container_of_a_host_without_an_article():
+    def one(kind, i):
+        return f"<div id=top>Site name</div><div class=wrap><div class={kind}><p>{kind} {i}</p><p>more {i}</p></div></div><div class=ad>buy {i}</div><div>All rights</div>"
+
+    kinds = ["post"] * 80 + ["entry"] * 17 + ["note"] * 3
+    got = texts([one(k, i) for i, k in enumerate(kinds)])
+    assert got == [f"{k} {i}\nmore {i}" for i, k in enumerate(kinds)]
+
+
+def test_copies_of_a_page_are_one_page():
+    a, b = "<div>Top</div><div><p>Only page</p><p>of this host</p></div>", "<div>Top</div><div><p>Second</p><p>of it</p></div>"
+    assert texts([a] * 9) == ["Top\nOnly page\nof this host"] * 9
+    assert all("Only page\nof this host" in t for t in texts([a] * 9 + [b])[:9])
+    third = "<div>Top</div><div><p>Third</p><p>page</p></div>"
+    assert texts([a] * 3 + [b] * 3 + [third]) == ["Only page\nof this host"] * 3 + ["Second\nof it"] * 3 + ["Third\npage"]
+
+
+def test_pages_without_a_host_beside_one_with_an_article(spark):
+    pages = spark.createDataFrame(
+        [(1, None, "<article>x</article>")] + [(i, "odd url" if i % 2 else None, f"<div><p>Page {i}</p><p>of {i}</p></div>") for i in range(2, 8)],
+        "page_id bigint, url string, html string",
+    )
+    got = {r["page_id"]: r["text"] for r in X.extract_main_text(pages).collect()}
+    assert got == {1: "x"} | {i: f"Page {i}\nof {i}" for i in range(2, 8)}
