@@ -88,7 +88,9 @@ BOILERPLATE_NAMES = frozenset(
 )
 MAIN_TAGS = frozenset(["article", "main"])
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute: whole name, then its value (in a page that is cut off, to the end).
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
+_MARKS = frozenset("class id role itemprop hidden".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -159,6 +161,8 @@ def tag_key(name: str, attributes: str) -> str:
     marks = []
     for m in _ATTR.finditer(attributes):
         kind, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+        if kind not in _MARKS:
+            continue
         marks += [f"{kind}={re.sub('[0-9]+', '0', v)}" for v in value.split()] if value else ([kind] if kind == "hidden" else [])
     return " ".join([name, *sorted(set(marks))])
 

@@ -140,3 +140,12 @@ def test_pages_without_a_host_beside_one_with_an_article(spark):
     )
     got = {r["page_id"]: r["text"] for r in X.extract_main_text(pages).collect()}
     assert got == {1: "x"} | {i: f"Page {i}\nof {i}" for i in range(2, 8)}
+
+
+def test_attributes_by_whole_name():
+    for plain in ("style='overflow:hidden'", 'title="now hidden text"', "data-hidden", "aria-hidden=false", "data-id='ad 1'", "data-role=navigation", "href=?id=ad", "title='class=\"ad\"'", "x-class = ad", "grid=menu"):
+        assert X.tag_key("div", f" {plain} ") == "div", plain
+        assert texts([f"<article><div {plain}>kept</div></article>"]) == ["kept"], plain
+    for mark, want in {" hidden": "hidden", " a=1 HIDDEN b": "hidden", "hidden=''": "hidden", 'Class = "Ad x9"id=top': "class=ad class=x0 id=top", " data-id=1 id='b c'": "id=b id=c", "/role=main/": "role=main/", "class='cut off hidden": "class=cut class=hidden class=off"}.items():
+        assert X.tag_key("div", mark) == f"div {want}", mark
+    assert texts(["<article><div hidden>no</div><div style='a' hidden class=b>no</div><p data-x='>' hidden>no</p>yes</article>"]) == ["yes"]
