@@ -93,9 +93,10 @@ def shingles(batch: list[str]) -> list[np.ndarray]:
     ends = np.cumsum([len(r) + 1 for r in raw])
     edges = np.concatenate([[0], np.searchsorted(starts, ends)])
     k = SHINGLE_WORDS
-    grams = np.zeros(max(len(words) - k + 1, 0), dtype=np.uint64)
+    n = max(len(words) - k + 1, 0)
+    grams = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        grams += mix(words[j : len(words) - k + 1 + j] + _SHINGLE_BASE[j])
+        grams += mix(words[j : j + n] + _SHINGLE_BASE[j])
     grams = mix(grams)
     out = []
     for a, b in zip(edges[:-1], edges[1:]):

@@ -141,3 +141,13 @@ def test_edges(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "9", "4", "None", "7"])
     assert N.near_duplicate_classes(docs.limit(0)).count() == 0
     assert N.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_batches_of_few_words(n):
+    words = [f"w{i}" for i in range(n)]
+    long = [f"x{i}" for i in range(9)]
+    got = N.shingles([" ".join(words)])[0]
+    assert len(got) == (max(n - N.SHINGLE_WORDS + 1, 1) if n else 0)
+    assert (got == N.shingles([" ".join(words), " ".join(long)])[0]).all()
+    assert [len(g) for g in N.shingles(words)] == [1] * n
