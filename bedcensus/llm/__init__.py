@@ -1,6 +1,6 @@
-"""Training-data operators: deduplication, filtering, extraction, packing, sharding.
+"""Training-data operators: deduplication, filtering, extraction, packing, sharding, embeddings.
 
-Ten operators, one module each; ``queries`` registers one query per operator
+Thirteen operators, one module each; ``queries`` registers one query per operator
 (and, where SQL can express it, its DuckDB text).  Nothing else in the library
 imports this subpackage.
 """

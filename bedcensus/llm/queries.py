@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .clustering import OP13_SQL, op13_centroid_clustering
 from .decontaminate import OP7_SQL, op7_decontaminate
+from .embedding_dedup import OP12_SQL, op12_embedding_near_dedup
 from .html_extract import op9_html_extract
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .near_dedup import op1_minhash_near_dedup
@@ -12,6 +14,7 @@ from .quality import OP6_SQL, op6_quality_rules
 from .sharding import op10_external_shuffle
 from .toxicity import op2_toxicity
 from .warc import OP5_SQL, op5_warc
+from .whitening import op11_embedding_whitening
 
 
 def queries():
@@ -26,6 +29,9 @@ def queries():
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_html_extract": op9_html_extract,
         "op10_external_shuffle": op10_external_shuffle,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_embedding_near_dedup": op12_embedding_near_dedup,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
@@ -35,4 +41,6 @@ def oracle_sql():
         "op5_warc": OP5_SQL,
         "op6_quality_rules": OP6_SQL,
         "op7_decontaminate": OP7_SQL,
+        "op12_embedding_near_dedup": OP12_SQL,
+        "op13_centroid_clustering": OP13_SQL,
     }
