@@ -21,23 +21,26 @@ doc_id is packed like any other; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import zlib
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, expand_rows, read_table, texts, without, written
+from .common import ARROW_ROWS, append_columns, bounded_batches, clean_text, read_table, without, written
 
 CAPACITY = 4096
 EOS = 1
-#: Entries of a worker's word cache (it only saves work; 200 bytes each).
-CACHE_WORDS = 500_000
+#: Entries of each half of a worker's part cache (it only saves work; 200 bytes each).
+CACHE_PARTS = 100_000
+#: UTF-8 bytes of the texts that are tokenized at once (a longer text is alone).
+SLICE_BYTES = 8 * 1024 * 1024
 #: Pieces of one ranking bucket.
 BUCKET_PIECES = 200_000
 
@@ -50,9 +53,11 @@ def default_tokenizer() -> str:
 
 #: Words the fast path takes: printable ASCII and Latin-1 letters.  In these,
 #: lower-casing and Unicode normalisation work character by character.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 #: The tokenizer file's split pattern, restricted to those characters.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
+#: Put between parts; no plain word holds it.
+_BETWEEN = "\x1f"
 
 
 def _byte_letters() -> list[str]:
@@ -64,14 +69,41 @@ def _byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of runs, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``ids``, one after the other (run k ends where k + 1 starts)."""
+    sizes = starts[which + 1] - starts[which]
+    out, at = np.empty(sizes.sum(), ids.dtype), 0
+    for a in range(0, len(which), 1 << 17):  # bounds the positions held
+        n = sizes[a : a + (1 << 17)]
+        out[at : at + n.sum()] = ids[_spans(starts[which[a : a + (1 << 17)]], n)]
+        at += n.sum()
+    return out
+
+
+def _added(sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of ``sizes`` that end at ``ends``, with 0 in front, running."""
+    return np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+
+
 class WordTokenizer:
-    """Token ids of a text as little-endian uint32 bytes.
+    """Token ids of texts.
 
     The tokenizer never joins characters across blanks and line ends, so a
-    text's ids are those of its blank-separated words in a row.  Words, and the
-    parts the tokenizer splits them into, are encoded once and cached.  Words of
-    other characters than ``_PLAIN``'s, and special tokens, take the whole
-    tokenizer; plain parts go straight to its BPE model.
+    text's ids are those of its blank-separated words in a row.  A batch's
+    different words are found and split into the parts that the tokenizer
+    splits them into by Arrow, its different parts are encoded by the
+    tokenizer's BPE model, and ids are put together by index.  Words of other
+    characters than ``_PLAIN``'s, and special tokens, take the whole tokenizer.
+
+    Parts (and odd words) are remembered in two generations of at most
+    ``CACHE_PARTS``: when the younger one is full it becomes the older one, and
+    parts that are met again move up.
     """
 
     def __init__(self, path: str):
@@ -79,85 +111,136 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _learn(self, words: list[str]) -> None:
-        cache, odd = self.words, []
-        for w in words:
-            if _PLAIN.fullmatch(w) and not any(x in w for x in self.special):
-                cache[w] = b"".join(map(self._part, _PARTS.findall(w.lower())))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _remembered(self, names: list[str], encode: Callable[[list[str]], list[list[int]]]) -> list[bytes]:
+        """The ids of each name; ``encode`` makes those that are not remembered."""
+        if len(self.young) >= CACHE_PARTS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, names))
+        new = []
+        for k, name in [(k, names[k]) for k, got in enumerate(out) if got is None]:
+            got = old.get(name)
+            if got is None:
+                new.append(k)
             else:
-                odd.append(w)
-        for a in range(0, len(odd), 10_000):
-            part = odd[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def encode_texts(self, batch: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        cache = self.words
-        new = {w for ws in split for w in ws if w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for ws in split for w in ws}
-        self._learn(list(new))
-        return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+                out[k] = young[name] = got
+        for a in range(0, len(new), 10_000):
+            at = new[a : a + 10_000]
+            for k, ids in zip(at, encode([names[k] for k in at])):
+                out[k] = young[names[k]] = struct.pack(f"<{len(ids)}I", *ids)
+        while len(young) > CACHE_PARTS:
+            young.popitem()
+        return out
+
+    def _parts(self, parts: list[str]) -> list[list[int]]:
+        shown = [p if p.isascii() else "".join([self.letters[b] for b in p.encode()]) for p in parts]
+        return [[t.id for t in self.model.tokenize(s)] if s else [] for s in shown]
+
+    def _odd(self, marked: list[str]) -> list[list[int]]:
+        """The ids of words, each given with a mark in front."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast([m[1:] for m in marked], add_special_tokens=False)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, and where each word's start (and the last one's end)."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for s in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, s)))
+        mask = plain.to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PARTS, "\\0" + _BETWEEN)
+        split = pc.split_pattern(pc.ascii_rtrim(marked, _BETWEEN), _BETWEEN)
+        parts = split.flatten().dictionary_encode()
+        encoded = self._remembered(parts.dictionary.to_pylist(), self._parts)
+        n = len(encoded)
+        encoded += self._remembered([_BETWEEN + w for w in words.filter(pc.invert(plain)).to_pylist()], self._odd)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        ids, starts = np.frombuffer(b"".join(encoded), "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+        # runs of each word: the parts of a plain one, the one run of an odd one
+        runs = np.ones(len(words), np.int64)
+        runs[mask] = pc.list_value_length(split).to_numpy()
+        which = np.empty(runs.sum(), np.int64)
+        of_plain = np.repeat(mask, runs)
+        which[of_plain] = parts.indices.to_numpy()
+        which[~of_plain] = np.arange(n, len(encoded))
+        return _gather(ids, starts, which), _added(sizes[which], np.cumsum(runs))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts (no nulls), and where each text's start (and the last one's end)."""
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        ids, starts = self._words(words.dictionary)
+        which = words.indices.to_numpy()
+        ends = pc.list_value_length(lists).to_numpy().cumsum()
+        return _gather(ids, starts, which), _added(np.diff(starts)[which], ends)
 
 
 @cache
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer (and word cache) per worker process and file."""
+    """One tokenizer (and its cache) per worker process and file."""
     return WordTokenizer(path)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` by about ``SLICE_BYTES`` of text (one row at least)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        bytes_ = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).to_numpy()
+        a = 0
+        for b, n in enumerate(bytes_.tolist()):
+            if size + n > SLICE_BYTES and (held or b > a):
+                yield pa.concat_batches([*held, batch.slice(a, b - a)])
+                held, size, a = [], 0, b
+            size += n
+        if batch.num_rows > a:
+            held.append(batch.slice(a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _with_end(ids: np.ndarray, starts: np.ndarray, eos: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with ``eos`` after each: ids and starts."""
+    ends = starts[1:] + np.arange(len(starts) - 1)
+    out = np.full(len(ids) + len(ends), eos, dtype="<u4")
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = ids
+    return out, np.concatenate([[0], ends + 1])
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
-    end = np.asarray([eos], dtype="<u4").tobytes()
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    if with_ids:
-        fields.append(("ids", pa.list_(pa.int32())))
-        schema += ", ids array<int>"
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, cols = [], [[] for _ in fields]
-            for i, ids in enumerate(tok.encode_texts(texts(batch))):
-                ids += end
-                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    values = [k, a // 4, len(part) // 4, zlib.crc32(part)]
-                    if with_ids:
-                        values.append(np.frombuffer(part, dtype="<i4"))
-                    row.append(i)
-                    for c, v in zip(cols, values):
-                        c.append(v)
-            ids_col = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row, pa.int64()))
-            return pa.RecordBatch.from_arrays(
-                [ids_col] + [pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=["doc_id"] + [n for n, _ in fields]
-            )
-
-        return work
-
-    def finish():
-        word_tokenizer(tokenizer_path).words.clear()  # an idle worker keeps the (smaller) parts only
-
-    return expand_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, schema, finish)
+        for batch in _slices(batches):
+            ids, starts = _with_end(*tok.encode(batch.column(batch.schema.get_field_index("text"))), eos)
+            sizes = np.diff(starts)
+            pieces = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), pieces)
+            number = _spans(np.zeros(len(sizes), np.int64), pieces)
+            start = number * capacity
+            length = np.minimum(sizes[row] - start, capacity)
+            at = starts[row] + start
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * i : 4 * (i + n)]) for i, n in zip(at.tolist(), length.tolist())]
+            doc = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row))
+            cols = [doc, pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            if with_ids:  # the pieces stand one after the other in ids
+                ends = np.concatenate([[0], at + length]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4"))))
+            made = pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            for a in range(0, len(row), ARROW_ROWS):
+                yield made.slice(a, ARROW_ROWS)
+
+    return docs.select("doc_id", clean_text().alias("text")).mapInArrow(run, schema)
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -234,21 +317,23 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length``.
 
-    ``pieces`` is read twice, so it should be a written table.  A piece's rank
-    within its length is its number in a hash bucket plus what the buckets
-    before hold, so no task gathers all pieces of one frequent length.
+    ``pieces`` is written with a number for each row.  A piece's rank within its
+    length is its number in a bucket (a hash of the row's number) plus what the
+    buckets before hold, so no task gathers all pieces of one frequent length or
+    all pieces of a document that has very many copies.
     """
-    pieces = without(pieces, ["sequence_id", "offset", "_b", "_before", "_n"])
+    given = without(pieces, ["sequence_id", "offset", "_row", "_b", "_before", "_n", "_rank"])
+    pieces = written(given.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     plan, _ = packing_plan(histogram, capacity)
     buckets = max(16, -(-sum(histogram.values()) // bucket_pieces))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
     sizes = keyed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "_b").orderBy("_row")
     numbered = keyed.withColumn("_n", F.row_number().over(order)).hint("merge").join(before, ["length", "_b"])
-    ranked = numbered.select(*pieces.columns, (F.col("_before") + F.col("_n") - 1).alias("_rank"))
+    ranked = numbered.select(*given.columns, (F.col("_before") + F.col("_n") - 1).alias("_rank"))
 
     plan.sort()
     entries = np.asarray(plan, dtype=np.int64).reshape(-1, 6)
@@ -272,7 +357,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKE
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack ``docs`` (doc_id, text)."""
     pieces = token_pieces(docs, tokenizer_path or default_tokenizer(), capacity, EOS, with_ids)
-    return pack(written(pieces, "pieces"), capacity)
+    return pack(pieces, capacity)
 
 
 def op8_best_fit_packing(spark, sf_dir):

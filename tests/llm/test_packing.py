@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,8 +54,39 @@ def test_word_cache_is_the_whole_text(spark):
     odd = ["a  b\t c\r\nd", "Ünï code é x", "it's don't 12345", "", " ", "\n\n", "x" * 5000, "a b\x1cc", "<|endoftext|> x"]
     odd += ["ÀÉß Straße ÿ ñÑ", "e\u0301 E\u0301", "ΑΣ Σ", "İi ǅ ªµº", "½ ² ٣", "a\x00b \x7f \x85 \xad \xa0x", "co-op's IT'S we'LL o'dd 's", "日本 語", "<|endoftext|>x<|startoftext|>", "\u2028 \ufeff a\x0bb"]
     tok = P.WordTokenizer(P.default_tokenizer())
-    got = [np.frombuffer(b, "<u4").tolist() + [P.EOS] for b in tok.encode_texts(odd)]
-    assert got == whole_text_ids(odd)
+    for _ in range(2):  # new, then remembered
+        ids, starts = tok.encode(pa.array(odd))
+        assert [ids[a:b].tolist() + [P.EOS] for a, b in zip(starts, starts[1:])] == whole_text_ids(odd)
+
+
+def test_cache_stays_within_its_bound(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_PARTS", 50)
+    texts = [" ".join(f"wörd{chr(97 + (i * j) % 26)}{chr(97 + j % 26)} 日{i * j}" for j in range(20)) for i in range(40)]
+    tok = P.WordTokenizer(P.default_tokenizer())
+    got = []
+    for a in range(0, 40, 4):
+        ids, starts = tok.encode(pa.array(texts[a : a + 4]))
+        got += [ids[x:y].tolist() + [P.EOS] for x, y in zip(starts, starts[1:])]
+        assert len(tok.young) <= 50 and len(tok.old) <= 50
+    assert got == whole_text_ids(texts)
+
+
+def test_slices_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(P, "SLICE_BYTES", 10)
+    column = ["", "x" * 4, "x" * 6, "x", "x" * 30, "", "é" * 5, "", "xx"]
+    for step in (1, 2, 9):
+        batches = [pa.RecordBatch.from_pydict({"text": column[a : a + step]}) for a in range(0, 9, step)]
+        runs = [b.column(0).to_pylist() for b in P._slices(iter(batches))]
+        assert [t for r in runs for t in r] == column and all(runs)
+        assert all(len(r) == 1 or sum(len(t.encode()) for t in r) <= 10 or r[0] == "x" * 30 for r in runs)
+    assert list(P._slices(iter([pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]))) == []
+
+
+def test_pieces_of_one_copied_text_are_ranked_in_many_buckets(spark):
+    """Copies under one id and text have numbers of their own."""
+    docs = spark.range(3000).selectExpr("1 as doc_id", "'same words' as text")
+    rows = P.pack_documents(docs).collect()
+    assert len(rows) == 3000 and check_sequences(rows, P.CAPACITY) == -(-3000 * rows[0]["length"] // P.CAPACITY)
 
 
 @settings(max_examples=60, deadline=None)
