@@ -99,6 +99,7 @@ def test_edge_rows_all_forms(spark, form):
         var = Variant(inputs, variant_config(v, EDGE_PARAMS), form)
         for method, key in RESULTS.items():
             assert_same(getattr(var, method)(), con, sql[key.format(v=v)], f"{form}/{v}/{method}")
+        var.unpersist()
 
 
 def test_edge_rows_row_level(spark):
@@ -125,6 +126,7 @@ def test_edge_rows_row_level(spark):
         if df is None:
             continue
         assert_same(df, con, sql[key], key)
+    var.unpersist()
 
 
 def test_edge_rows_day_semantics(spark):
@@ -152,6 +154,7 @@ def test_duplicate_ids_exact_forms(spark, form):
         var = Variant(inputs, variant_config(v, DUP_PARAMS), form)
         for method, key in RESULTS.items():
             assert_same(getattr(var, method)(), con, sql[key.format(v=v)], f"{form}/{v}/{method}")
+        var.unpersist()
 
 
 def test_duplicate_ids_auto_falls_back(spark):

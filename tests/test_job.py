@@ -69,6 +69,7 @@ def test_attached_rebase(spark):
 
     var = Variant(inputs, variant_config("normal", FIXTURE), "join", ev=inputs.ev)
     assert_same(var.rebased(), con, E.oracle_sql()["rebase_admissions"], "attached rebase")
+    var.unpersist()
 
 
 def test_job_on_prepared_tables(spark):

@@ -68,6 +68,7 @@ def _check(spark, rows, forms_to_check, shift_days):
             assert_same(var.occupancy_new(), con, sql[f"{v}_daily_occupancy_new"], f"{form}/{v}/new")
             assert_same(var.occupancy_old(), con, sql[f"{v}_daily_occupancy_old"], f"{form}/{v}/old")
             assert_same(var.lookahead_error(), con, sql[f"{v}_lookahead_error"], f"{form}/{v}/look")
+            var.unpersist()
 
 
 SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
