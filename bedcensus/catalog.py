@@ -138,6 +138,7 @@ def _repeated_queries() -> dict[str, Query]:
         "repeated_occupancy_by_side": lambda s, d: variant(s, d).occupancy_old(),
         "repeated_symmetrise": lambda s, d: A.symmetric_evaluation(_repeated_inputs(s, d).ev),
         "repeated_bed_occupancy": lambda s, d: variant(s, d).bed_occupancy_year(),
+        "repeated_daily_actual_distinct": lambda s, d: variant(s, d).daily_actual(),
     }
     for form in ("auto", "flags", "join"):  # "auto" is "hybrid" here
         q[f"repeated_occupancy_{form}"] = lambda s, d, f=form: variant(s, d, f).occupancy_new()
@@ -205,6 +206,8 @@ def queries() -> dict[str, Query]:
             "lookahead_error_join_form": _lookahead_join,
             "lookahead_arithmetic": lambda s, d: _normal(s, d, "sweep").lookahead_error(),
             "lookahead_error_by_id_counts": lambda s, d: _normal(s, d, "flags").lookahead_error(),
+            "daily_occupancy_union": lambda s, d: _normal(s, d, "union").occupancy_new(),
+            "daily_actual_distinct_sweep": lambda s, d: _normal(s, d).daily_actual(),
             "daily_occupancy_hybrid": lambda s, d: _normal(s, d, "hybrid").occupancy_new(),
             "daily_occupancy_old_hybrid": lambda s, d: _variant(s, d, "narrow", "hybrid").occupancy_old(),
             "lookahead_error_hybrid": lambda s, d: _normal(s, d, "hybrid").lookahead_error(),

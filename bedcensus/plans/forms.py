@@ -15,6 +15,10 @@ Every form here returns the same rows as the literal join form in
                           flags, instead of two explodes, two shuffles and a
                           full outer join. Exact for any input when
                           ``dedupe=True`` (one group-by on (day, id)).
+``daily_union``           O(stays) for any input: the spans of one id and side
+                          are merged to their union (sort, running maximum of
+                          the ends, islands), and the islands are the events.
+                          * C14, C21 and C23 counts: exact for any input.
 ``lookahead_counts_by_id``  exact C22 for any input: per (day, id) counts of
                           distinct admission dates per side give the number of
                           look-ahead pairs arithmetically, so the pairs are
@@ -277,6 +281,66 @@ def daily_occupancy_flags(ev: DataFrame, pred_window: DayWindow, act_window: Day
     )
 
 
+def interval_union(spans: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
+    """The union of closed day intervals per key: ``keys``, ``start``, ``end`` of
+    disjoint intervals that do not touch either.
+
+    ``spans`` holds one interval per row; rows with ``start > end`` or a NULL
+    end are empty. NULL keys are a key of their own.
+
+    Two steps, so that a key with very many rows is never in one task whole.
+    First only the latest end of each (key, start) is kept: an aggregate that
+    combines map-side and is hashed on the start too, which leaves a key at
+    most one row per start day. Then a key's rows are sorted by start; a row
+    that starts after every earlier end (by more than a day) opens an island,
+    and an island is its least start and latest end.
+    """
+    latest = spans.where(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
+    by_key = Window.partitionBy(*keys).orderBy(start)
+    earlier = F.max(end).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col(start) <= F.date_add(F.col("_reach"), 1), 0).otherwise(1)
+    numbered = (
+        latest.withColumn("_reach", earlier)
+        .withColumn("_opens", opens)
+        .withColumn("_island", F.sum("_opens").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    islands = numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end))
+    return islands.drop("_island")
+
+
+def _union_deltas(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+    """Per-day changes as :func:`_deltas` gives them, ids counted once a day.
+
+    ``p_cnt`` and ``a_cnt`` come from the islands of each id and side; the
+    counters that tell whether anyone is there (``*_any``) from the stays.
+    """
+    spans = stay_spans(ev, pred_window, act_window)
+    there = _deltas(spans.withColumn("nn", F.lit(0)), _sweep_events(None), ["day"])
+    sides = spans.where(F.col("hadm_id").isNotNull()).select(
+        "hadm_id",
+        F.expr("stack(2, 'p', p_s, p_e, 'a', a_s, a_e) as (side, s, e)"),
+    )
+    islands = interval_union(sides, ["hadm_id", "side"]).selectExpr(
+        "s", "e", "IF(side = 'p', 1, 0) AS is_p", "IF(side = 'a', 1, 0) AS is_a"
+    )
+    present = _deltas(islands, _span_events("s", "e", {"p_cnt": "is_p", "a_cnt": "is_a"}), ["day"])
+    both = there.unionByName(present)
+    return both.groupBy("day").agg(*[F.sum(c).alias(c) for c in _COUNTERS])
+
+
+def daily_union(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
+    """The columns of :func:`daily_sweep` (``look`` is 0) for ids that repeat:
+    ``p_cnt`` / ``a_cnt`` count distinct ids, whatever the input."""
+    return daily_from_deltas(_union_deltas(ev, pred_window, act_window), _cover(pred_window, act_window))
+
+
+def add_daily(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Counters of two disjoint sets of ids added, day by day (both tables have
+    every day of the same calendar)."""
+    other = b.select("day", *[F.col(c).alias(f"_b_{c}") for c in _COUNTERS])
+    return a.join(F.broadcast(other), "day").select("day", *[(F.col(c) + F.col(f"_b_{c}")).alias(c) for c in _COUNTERS])
+
+
 def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int) -> DataFrame:
     """``(time, pn, n)`` exactly as the literal C18 -> C20 -> C22 chain, for
     any input, without materialising look-ahead pairs.
@@ -362,31 +426,43 @@ def combine_daily(a: DataFrame, b: DataFrame, key: str, counts: list[str]) -> Da
     )
 
 
-def daily_occupancy_hybrid(
+def daily_hybrid(
     ev: DataFrame, pred_window: DayWindow, act_window: DayWindow, dup: DataFrame | None = None
 ) -> DataFrame:
-    """C14 for any input at near-sweep cost: stays of ids seen once (and NULL
-    ids) by sweep, stays of duplicated ids by the flag pass; per-day counts
-    over disjoint id sets add up."""
+    """Counters of any input at near-sweep cost: stays of ids seen once (and
+    NULL ids) by sweep, stays of duplicated ids by the union of their spans."""
     uni, many = split_duplicate_ids(ev, dup=dup)
-    return combine_daily(
-        occupancy_from_sweep(daily_sweep(uni, pred_window, act_window)),
-        daily_occupancy_flags(many, pred_window, act_window),
-        "timeline",
-        ["predicted_count", "actual_count"],
-    )
+    return add_daily(daily_sweep(uni, pred_window, act_window), daily_union(many, pred_window, act_window))
+
+
+def daily_occupancy_hybrid(
+    ev: DataFrame, pred_window: DayWindow, act_window: DayWindow, dup: DataFrame | None = None
+) -> DataFrame:
+    """C14 for any input from :func:`daily_hybrid`."""
+    return occupancy_from_sweep(daily_hybrid(ev, pred_window, act_window, dup))
+
+
+def daily_actual_from_sweep(d: DataFrame) -> DataFrame:
+    """``(timeline, n)`` from :func:`daily_sweep` (unique ids) or
+    :func:`daily_union` / :func:`daily_hybrid` (any ids) output."""
+    return d.where(F.col("u_any") > 0).select(F.col("day").alias("timeline"), F.col("a_cnt").alias("n"))
 
 
 __all__ = [
+    "add_daily",
     "calendar",
     "combine_daily",
+    "daily_actual_from_sweep",
+    "daily_hybrid",
     "daily_occupancy_by_side_sweep",
     "daily_occupancy_flags",
     "daily_occupancy_hybrid",
     "daily_occupancy_sweep",
     "daily_from_deltas",
     "daily_sweep",
+    "daily_union",
     "duplicate_ids",
+    "interval_union",
     "lookahead_counts_by_id",
     "presence_flag_pass",
     "presence_flag_rows",

@@ -6,8 +6,10 @@
              unique on the inputs to skip the check)
     "flags"  exact for any input: one explode + group-by on (day, id), and
              the aggregated look-ahead counts
+    "union"  exact for any input: per id and side the union of its spans,
+             then the sweep; look-ahead as "flags"
     "hybrid" exact for any input: "sweep" for the stays of ids seen once,
-             "flags" only for the stays of duplicated ids
+             "union" only for the stays of duplicated ids
     "auto"   "sweep" if the ids are unique, else "hybrid"; uniqueness is
              checked once per input with one aggregate over the ids
 """
@@ -31,7 +33,7 @@ from bedcensus.operators import reports as R
 from bedcensus.operators import stays as S
 from bedcensus.plans import forms
 
-FORMS = ("auto", "join", "sweep", "flags", "hybrid")
+FORMS = ("auto", "join", "sweep", "flags", "union", "hybrid")
 
 
 def keys_unique(df: DataFrame, cols: list[str]) -> bool:
@@ -221,7 +223,7 @@ class Variant:
             )
         return self._once("sw_old", lambda: forms.daily_sweep(self.rebased(), pw, aw), persist=True)
 
-    # -- hybrid: ids seen once by sweep, duplicated ids by flag pass ------------
+    # -- hybrid: ids seen once by sweep, duplicated ids by interval union --------
     def _split_new(self) -> tuple[DataFrame, DataFrame]:
         """(stays of ids seen once or NULL, stays of duplicated ids), built once."""
         with self._lock:
@@ -237,6 +239,17 @@ class Variant:
             persist=True,
         )
 
+    def union_new(self) -> DataFrame:
+        """Counters of the new timeline with every id counted once a day."""
+        w = self.cfg.new_window
+        if self.form_new() == "hybrid":
+            return self._once(
+                "un_new",
+                lambda: forms.add_daily(self.sweep_new_unique_part(), forms.daily_union(self._split_new()[1], w, w)),
+                persist=True,
+            )
+        return self._once("un_new", lambda: forms.daily_union(self.ev, w, w), persist=True)
+
     def _join_lookahead_parts(self) -> tuple[DataFrame, DataFrame]:
         """Literal chain: ``(time, pn)`` from the offset self-join and
         ``(timeline, n)`` distinct actual ids, both from the presence timeline."""
@@ -254,7 +267,7 @@ class Variant:
 
     def occupancy_new(self) -> DataFrame:
         # a filter over the persisted sweep needs no copy of its own
-        return self._once("occ_new", self._occupancy_new, persist=self.form_new() != "sweep")
+        return self._once("occ_new", self._occupancy_new, persist=self.form_new() in ("join", "flags"))
 
     def _occupancy_new(self) -> DataFrame:
         w = self.cfg.new_window
@@ -263,13 +276,8 @@ class Variant:
             return O.daily_occupancy(O.align_presence(self.predicted_new(), self.actual_new()))
         if f == "sweep":
             return forms.occupancy_from_sweep(self.sweep_new())
-        if f == "hybrid":
-            return forms.combine_daily(
-                forms.occupancy_from_sweep(self.sweep_new_unique_part()),
-                forms.daily_occupancy_flags(self._split_new()[1], w, w),
-                "timeline",
-                ["predicted_count", "actual_count"],
-            )
+        if f in ("union", "hybrid"):
+            return forms.occupancy_from_sweep(self.union_new())
         return forms.daily_occupancy_flags(self.ev, w, w)
 
     def _form_old_table(self) -> str:
@@ -296,6 +304,8 @@ class Variant:
             return forms.occupancy_from_sweep(self.sweep_old())
         if f == "hybrid":
             return forms.daily_occupancy_hybrid(self.rebased(), pw, aw, self.inputs.rebased_duplicate_ids())
+        if f == "union":
+            return forms.occupancy_from_sweep(forms.daily_union(self.rebased(), pw, aw))
         return forms.daily_occupancy_flags(self.rebased(), pw, aw)
 
     def occupancy_error_new(self) -> DataFrame:
@@ -336,12 +346,20 @@ class Variant:
         err = (F.col("n") - (F.col("pn") + F.lit(self.cfg.inflow))).cast("bigint").alias("error")
         return R.histogram(d.select(err))
 
+    def daily_actual(self) -> DataFrame:
+        """``(timeline, n)`` distinct actual ids per day."""
+        f = self.form_new()
+        if f in ("join", "flags"):
+            return O.daily_actual_distinct(self.timeline_new())
+        return forms.daily_actual_from_sweep(self.sweep_new() if f == "sweep" else self.union_new())
+
     def bed_occupancy_year(self) -> DataFrame:
-        """C23. With unique ids the sweep holds the counts; otherwise stays are
-        expanded inside the focus year only, so the bound reaches the scan."""
-        if self.form_new() == "sweep":
-            days = self.sweep_new().where(F.col("a_any") > 0).select("day", F.col("a_cnt").alias("n"))
-            return R.numbered_days(days, self.cfg.year)
+        """C23. The sweep (unique ids) or the union (any ids) holds the counts;
+        the other forms expand stays inside the focus year only."""
+        f = self.form_new()
+        if f in ("sweep", "union", "hybrid"):
+            daily = self.sweep_new() if f == "sweep" else self.union_new()
+            return R.numbered_days(daily.where(F.col("a_any") > 0).select("day", F.col("a_cnt").alias("n")), self.cfg.year)
         w, y = self.cfg.new_window, self.cfg.year
         lo, hi = max(w.lo, date(y, 1, 1)), min(w.hi, date(y, 12, 31))
         return R.bed_occupancy_series(S.actual_stay_days(self.ev, DayWindow(lo, hi)), y)

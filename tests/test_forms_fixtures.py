@@ -91,7 +91,7 @@ RESULTS = {
 }
 
 
-@pytest.mark.parametrize("form", ["join", "sweep", "flags", "hybrid", "auto"])
+@pytest.mark.parametrize("form", ["join", "sweep", "flags", "union", "hybrid", "auto"])
 def test_edge_rows_all_forms(spark, form):
     inputs, con = _setup(spark, EDGE_ROWS)
     sql = fixture_oracle(EDGE_PARAMS)
@@ -146,7 +146,7 @@ def test_edge_rows_day_semantics(spark):
     assert max(d for h, d in act if h == 16) == date(1996, 3, 1)
 
 
-@pytest.mark.parametrize("form", ["join", "flags", "hybrid", "auto"])
+@pytest.mark.parametrize("form", ["join", "flags", "union", "hybrid", "auto"])
 def test_duplicate_ids_exact_forms(spark, form):
     inputs, con = _setup(spark, DUP_ROWS)
     sql = fixture_oracle(DUP_PARAMS)

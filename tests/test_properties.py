@@ -67,6 +67,8 @@ def _check(spark, rows, forms_to_check, shift_days):
             var = Variant(inputs, variant_config(v, PARAMS), form)
             assert_same(var.occupancy_new(), con, sql[f"{v}_daily_occupancy_new"], f"{form}/{v}/new")
             assert_same(var.occupancy_old(), con, sql[f"{v}_daily_occupancy_old"], f"{form}/{v}/old")
+            assert_same(var.daily_actual(), con, sql["daily_actual_distinct"], f"{form}/{v}/actual") if v == "normal" else None
+            assert_same(var.bed_occupancy_year(), con, sql["bed_occupancy_year"], f"{form}/{v}/beds") if v == "normal" else None
             assert_same(var.lookahead_error(), con, sql[f"{v}_lookahead_error"], f"{form}/{v}/look")
             var.unpersist()
 
@@ -78,7 +80,7 @@ SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(He
 @given(stays=st.lists(stay, min_size=1, max_size=25), shift=st.integers(min_value=-3, max_value=3))
 def test_unique_ids_all_forms(spark, stays, shift):
     rows = _rows(stays, range(100, 100 + len(stays)))
-    _check(spark, rows, ["join", "sweep", "flags"], shift)
+    _check(spark, rows, ["join", "sweep", "flags", "union"], shift)
 
 
 @SETTINGS
@@ -89,7 +91,7 @@ def test_unique_ids_all_forms(spark, stays, shift):
 )
 def test_duplicate_ids_exact_forms(spark, stays, ids, shift):
     rows = _rows(stays, ids)
-    _check(spark, rows, ["join", "flags", "hybrid"], shift)
+    _check(spark, rows, ["join", "flags", "union", "hybrid"], shift)
 
 
 assert set(VARIANTS) >= {"normal", "symmetric_narrow"}
