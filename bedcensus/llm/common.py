@@ -6,8 +6,10 @@ column whose name equals one of the added names (ignoring case) is replaced.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,33 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, in the struct ``_row``, every column but the text.
+
+    What an operator adds can then not meet a column of the input.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    return docs.select(F.col("doc_id"), F.col("text"), F.struct(*rest).alias("_row"))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows made by :func:`carried`; the text is the column ``text``."""
+    return df.select(*[F.col("text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker that is kept for the next
+    task would hold on to the most that this one needed."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds (a session setting, read when a job runs)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -64,6 +93,7 @@ def append_columns(
             if b.num_rows:
                 cols = [b.column(b.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays(cols + work(b), names=kept + names)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -72,21 +102,19 @@ def expand_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
     schema: str,
-    finish: Callable[[], None] | None = None,
+    finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """Map each Arrow batch to a batch of ``schema`` with any number of rows.
 
-    ``finish()`` runs at the end of a task, for what its worker should not keep.
+    ``finish`` maps what all batches of a task give to what the task returns.
     """
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
-            if b.num_rows:
-                yield work(b)
-        if finish is not None:
-            finish()
+        made = (work(b) for b in batches if b.num_rows)
+        yield from made if finish is None else finish(made)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -11,7 +11,9 @@ The automaton is shipped to the tasks, so it is bounded: the benchmark is cut
 into blocks of at most ``MAX_BLOCK_WORDS`` words (an item longer than that is
 cut into pieces that overlap by ``WINDOW - 1`` words, which keeps all of its
 windows), each block is one automaton and one pass over the documents, and the
-passes' hits are united.  A benchmark below the bound is one pass.
+passes' hits are united.  A benchmark below the bound is one pass.  The tasks
+normalise the benchmark and cut the blocks; the driver holds one block at a
+time, to ship it.
 
 Edge cases: null or empty texts have no words, no hits and are not
 contaminated; an item without words never matches; repeated items with one id
@@ -21,14 +23,15 @@ judged row by row; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, clean_text, read_table, texts, without
+from .common import append_columns, carried, clean_text, expand_rows, read_table, restored, texts, without, written
 
 WINDOW = 13
 #: Words of one automaton; about 1 GB per 5 million words in a worker.
@@ -150,77 +153,143 @@ class ItemAutomaton:
         spans.append([a, b])
 
 
-def item_blocks(benchmark: DataFrame, max_words: int = MAX_BLOCK_WORDS, window: int = WINDOW):
-    """Yield blocks of (item id, words), each at most ``max_words`` words.
+def item_blocks(benchmark: DataFrame, max_words: int = MAX_BLOCK_WORDS, window: int = WINDOW) -> DataFrame:
+    """A written table of (block, item, words): each block at most ``max_words`` words.
 
-    The items stream to the driver one partition at a time and one block at a
-    time is held there; a block is what every task gets.
+    Words are normalised by the tasks.  The pieces are dealt to as many
+    partitions as blocks are needed, and each partition cuts its own blocks.
     """
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), clean_text().alias("t"))
-    for row in rows.toLocalIterator():
-        words = normalised_words(row["t"])
-        step = max(max_words - (window - 1), 1)
-        pieces = [words] if len(words) <= max_words else [words[a : a + max_words] for a in range(0, len(words) - (window - 1), step)]
-        for ws in pieces:
-            if block and held + len(ws) > max_words:
-                yield block
-                block, held = [], 0
-            if ws:
-                block.append((row["i"], ws))
-                held += len(ws)
-    yield block
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
+
+    def cut():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            step = max(max_words - (window - 1), 1)
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = normalised_words(text)
+                starts = [0] if len(words) <= max_words else range(0, len(words) - (window - 1), step)
+                rows += [(item, words[a : a + max_words]) for a in starts if words]
+            cols = list(zip(*rows)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.binary()))], names=["item", "words"])
+
+        return work
+
+    def number(batches):
+        block = held = 0
+        for b in batches:
+            sizes = pc.list_value_length(b.column(1)).to_pylist()
+            blocks = []
+            for n in sizes:
+                if held and held + n > max_words:
+                    block, held = block + 1, 0
+                held += n
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *b.columns], names=["block", "item", "words"])
+
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), clean_text().alias("text"))
+    pieces = written(expand_rows(named, cut, "item string, words array<binary>"), "items")
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = pieces.repartition(max(1, -(-total // max_words)))
+    numbered = dealt.mapInArrow(number, "block bigint, item string, words array<binary>")
+    where = F.spark_partition_id().cast("bigint") * (1 << 40) + F.col("block")
+    return written(numbered.withColumn("block", where), "blocks")
+
+
+def _block(blocks: DataFrame, block: int) -> list[tuple[str, list[bytes]]]:
+    """One block's items, on the driver (at most ``max_words`` words)."""
+    return [(r["item"], [bytes(w) for w in r["words"]]) for r in blocks.where(F.col("block") == block).collect()]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_FOUND = [("n_words", "bigint"), ("hit_spans", "array<struct<start: bigint, end: bigint>>"), ("hit_items", "array<string>")]
+
+
+def _is_contaminated(n_hit: int, n_words: int, denominator: int) -> bool:
+    return n_hit > 0 and n_hit * denominator >= n_words
+
+
+def _told(batch: pa.RecordBatch, hits: list[tuple[list[tuple[int, int]], set[str]]], n_words: list[int], cut_below: int | None) -> list[pa.Array]:
+    """The added columns of a batch; with ``cut_below`` also the texts without
+    the spans of documents that are not contaminated at that denominator."""
+    cols = [
+        pa.array(n_words, pa.int64()),
+        pa.array([[{"start": a, "end": b} for a, b in spans] for spans, _ in hits], _SPANS),
+        pa.array([sorted(items) for _, items in hits], pa.list_(pa.string())),
+    ]
+    if cut_below is not None:
+        raw = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for i, ((spans, _), n) in enumerate(zip(hits, n_words)):
+            if spans and not _is_contaminated(sum(b - a for a, b in spans), n, cut_below):
+                raw[i] = cut_spans(raw[i], spans)
+        cols.append(pa.array(raw, pa.string()))
+    return cols
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS, cut_below: int | None = None
+) -> DataFrame:
     """Add ``n_words``, ``hit_spans`` (word ranges, end exclusive), ``hit_items``.
 
-    ``docs`` needs ``text``; its other columns stay.  With several blocks the
-    rows pass through one automaton after the other, in the same job.
+    ``docs`` needs ``text``; its other columns stay.  With ``cut_below`` there
+    is also ``clean_text`` (see :func:`_told`).  A benchmark of one block is one
+    pass.  Of more, each block is a pass of its own that writes its hits by row
+    number, so one automaton is held at a time; one aggregate unites them.
     """
-    out = docs
-    for k, block in enumerate(item_blocks(benchmark, max_block_words, window)):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(held=held, first=k == 0):
+    fields = _FOUND + [("clean_text", "string")] * (cut_below is not None)
+    context = docs.sparkSession.sparkContext
+    blocks = item_blocks(benchmark, max_block_words, window)
+    names = [r["block"] for r in blocks.select("block").distinct().collect()]  # a number a block
+    if len(names) <= 1:
+        held = context.broadcast(_block(blocks, names[0]) if names else [])
+
+        def scan():
             automaton = ItemAutomaton(held.value, window)
 
             def work(batch: pa.RecordBatch) -> list[pa.Array]:
-                n, all_spans, all_items = [], [], []
-                before = [None] * batch.num_rows
-                if not first:
-                    before = list(
-                        zip(
-                            batch.column(batch.schema.get_field_index("hit_spans")).to_pylist(),
-                            batch.column(batch.schema.get_field_index("hit_items")).to_pylist(),
-                        )
-                    )
-                for text, old in zip(texts(batch), before):
-                    words = normalised_words(text)
-                    spans, items = automaton.scan(words)
-                    if old is not None:
-                        merged: list[list[int]] = []
-                        for a, b in sorted(spans + [tuple(s.values()) for s in old[0]]):
-                            ItemAutomaton._cover(merged, a, b)
-                        spans, items = [tuple(s) for s in merged], items | set(old[1])
-                    n.append(len(words))
-                    all_spans.append([{"start": a, "end": b} for a, b in spans])
-                    all_items.append(sorted(items))
-                return [
-                    pa.array(n, pa.int64()),
-                    pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(all_items, pa.list_(pa.string())),
-                ]
+                words = [normalised_words(t) for t in texts(batch)]
+                return _told(batch, [automaton.scan(w) for w in words], [len(w) for w in words], cut_below)
+
+            return work
+
+        return append_columns(docs, scan, fields)
+
+    numbered = written(without(docs, ["_number"]).withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    passes = []
+    for name in names:
+        held = context.broadcast(_block(blocks, name))
+
+        def hits(held=held):
+            automaton = ItemAutomaton(held.value, window)
+
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+                found = [automaton.scan(normalised_words(t)) for t in texts(batch)]
+                at = [i for i, (spans, _) in enumerate(found) if spans]
+                number = batch.column(batch.schema.get_field_index("_number")).take(pa.array(at, pa.int64()))
+                spans = pa.array([[{"start": a, "end": b} for a, b in found[i][0]] for i in at], _SPANS)
+                items = pa.array([sorted(found[i][1]) for i in at], pa.list_(pa.string()))
+                return pa.RecordBatch.from_arrays([number, spans, items], names=["_number", "spans", "items"])
 
             return work
 
-        out = append_columns(
-            out,
-            make,
-            [("n_words", "bigint"), ("hit_spans", "array<struct<start: bigint, end: bigint>>"), ("hit_items", "array<string>")],
-        )
-    return out
+        schema = f"_number bigint, spans {_FOUND[1][1]}, items array<string>"
+        passes.append(written(expand_rows(numbered.select("_number", "text"), hits, schema), "hits"))
+        held.destroy()
+    # a row has at most one entry a pass
+    united = reduce(DataFrame.union, passes).groupBy("_number").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    joined = numbered.hint("merge").join(united.hint("merge"), "_number", "left")
+
+    def unite():
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = []
+            for spans, items in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_spans", "_items")]):
+                merged: list[list[int]] = []
+                for s in sorted((s["start"], s["end"]) for s in spans or []):
+                    ItemAutomaton._cover(merged, *s)
+                found.append(([tuple(s) for s in merged], set(items or [])))
+            return _told(batch, found, [len(normalised_words(t)) for t in texts(batch)], cut_below)
+
+        return work
+
+    return append_columns(joined, unite, fields).drop("_number", "_spans", "_items")
 
 
 def judged(found: DataFrame, coverage_denominator: int = COVERAGE_DENOMINATOR) -> DataFrame:
@@ -250,18 +319,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     hit spans (each at least one window long) are cut from the text.  Documents
     without hits stay as they are.  Columns are those of ``docs``.
     """
-    found = judged(find_contamination(docs, benchmark, window), coverage_denominator)
-    left = found.where(~F.col("contaminated"))
-
-    def make():
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            spans = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
-            raw = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            return [pa.array([cut_spans(t, [(s["start"], s["end"]) for s in ss]) if ss else t for t, ss in zip(raw, spans)], pa.string())]
-
-        return work
-
-    return append_columns(left, make, [("text", "string")]).select(*docs.columns)
+    found = find_contamination(carried(docs), benchmark, window, cut_below=coverage_denominator)
+    left = judged(found, coverage_denominator).where(~F.col("contaminated"))
+    return restored(left.withColumn("text", F.col("clean_text")), docs)
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -33,6 +33,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, expand_rows, read_table, texts, without, written
+from .common import carried, clean_text, expand_rows, read_table, restored, texts, written
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -178,7 +179,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             total[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(n.as_py(), "<u4")
         return pa.table({"j": pa.array([key[0].as_py()], pa.int32()), "n": [total.tobytes()]})
 
-    parts = _combined(expand_rows(source, count, "j int, at binary, n binary"), width)
+    parts = expand_rows(source, count, "j int, at binary, n binary", lambda made: _combined(made, width))
     counters = np.zeros(COUNTERS, dtype=np.int64)
     for row in parts.groupBy("j").applyInArrow(add, "j int, n binary").collect():  # COUNTERS * 8 bytes in all
         counters[row["j"] * width : (row["j"] + 1) * width] = np.frombuffer(row["n"], dtype=np.int64)
@@ -203,26 +204,22 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return kinds[order], np.asarray([r["n"] for r in found], dtype=np.int64)[order], bound
 
 
-def _combined(parts: DataFrame, width: int) -> DataFrame:
+def _combined(parts: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Add up the slices of one task's batches before they are shuffled."""
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for j, at, n in zip(*[_column(b, c).to_pylist() for c in ("j", "at", "n")]):
-                total = sums.setdefault(j, np.zeros(width, dtype=np.uint32))
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
-        at = {j: np.flatnonzero(t) for j, t in sums.items()}
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(sums), pa.int32()),
-                pa.array([at[j].astype("<u2").tobytes() for j in sums], pa.binary()),
-                pa.array([t[at[j]].astype("<u4").tobytes() for j, t in sums.items()], pa.binary()),
-            ],
-            names=["j", "at", "n"],
-        )
-
-    return parts.mapInArrow(run, parts.schema)
+    sums: dict[int, np.ndarray] = {}
+    for b in parts:
+        for j, at, n in zip(*[_column(b, c).to_pylist() for c in ("j", "at", "n")]):
+            total = sums.setdefault(j, np.zeros(width, dtype=np.uint32))
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+    at = {j: np.flatnonzero(t) for j, t in sums.items()}
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(sums), pa.int32()),
+            pa.array([at[j].astype("<u2").tobytes() for j in sums], pa.binary()),
+            pa.array([t[at[j]].astype("<u4").tobytes() for j, t in sums.items()], pa.binary()),
+        ],
+        names=["j", "at", "n"],
+    )
 
 
 class Weights:
@@ -390,10 +387,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     """One document of each class (the least doc_id); texts without words all stay."""
     found = near_duplicate_classes(docs, threshold).where(F.col("words") & F.col("doc_id").eqNullSafe(F.col("class_id")))
     first = found.groupBy("root").agg(F.min(F.struct("node", "doc_id")).alias("f")).select(F.col("f.node").alias("_node"), F.col("f.doc_id").alias("_id"))
-    keyed = without(docs, ["_k"]).withColumn("_k", F.xxhash64(clean_text()))
+    keyed = carried(docs).withColumn("_k", F.xxhash64(clean_text()))
     full = clean_text().rlike(HAS_WORD)
     kept = keyed.where(full).hint("merge").join(first, (F.col("_k") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_k"]).union(keyed.where(~full)).select(*docs.columns)
+    return restored(kept.dropDuplicates(["doc_id", "_k"]).union(keyed.where(~full)), docs)
 
 
 def op1_minhash_near_dedup(spark, sf_dir):

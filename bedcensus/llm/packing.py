@@ -33,14 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, append_columns, bounded_batches, clean_text, read_table, without, written
+from .common import ARROW_ROWS, append_columns, bounded_batches, clean_text, read_table, release_memory, without, written
 
 CAPACITY = 4096
 EOS = 1
 #: Entries of each half of a worker's part cache (it only saves work; 200 bytes each).
 CACHE_PARTS = 100_000
 #: UTF-8 bytes of the texts that are tokenized at once (a longer text is alone).
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 4 * 1024 * 1024
 #: Pieces of one ranking bucket.
 BUCKET_PIECES = 200_000
 
@@ -239,6 +239,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             made = pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             for a in range(0, len(row), ARROW_ROWS):
                 yield made.slice(a, ARROW_ROWS)
+        release_memory()
 
     return docs.select("doc_id", clean_text().alias("text")).mapInArrow(run, schema)
 

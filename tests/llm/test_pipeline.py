@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from bedcensus.llm import decontaminate as D
@@ -100,3 +101,21 @@ def test_empty_and_odd_tables(spark, tmp_path):
         for name, stage in C.STAGES[1:]:
             here = C.written(stage(spark, here, SF), "t")
         assert here.count() == (3 if rows is docs else 0)
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    """Extra columns keep their values, whatever an operator calls its own columns."""
+    own = "n_words N_HIT hit_spans contaminated clean_text _number n_lines N_REMOVED _id _t _lines _full _at _k _K2 _row node root keep kept BASE_FAILED _stratum".split()
+    texts = [" ".join(f"{w}{i % 7}{'x' * (i % 5)}" for w in ("alpha", "beta", "gamma", "delta", "omega")) + f" line {i}\nsecond {i}\nthird {i}" for i in range(30)]
+    long = [(i, f"{t}\n" + " ".join(f"word{i}q{j}" for j in range(40)), "en") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(long, "doc_id bigint, text string, lang string")
+    docs = docs.select("doc_id", "text", "lang", *[F.concat(F.lit(f"mine {c} "), F.col("doc_id").cast("string")).alias(c) for c in own])
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) == 30, name
+        for r in rows:
+            assert [r[c] for c in own] == [f"mine {c} {r['doc_id']}" for c in own], name
+    packed = C.packing(spark, docs, SF)
+    assert {r["doc_id"] for r in packed.collect()} == set(range(30))
