@@ -6,6 +6,12 @@ left, and returns a DataFrame; all but the last return the columns of
 folder and reads it back, so a lost executor never sends the work back beyond
 the last stage.  ``n_chars`` follows the text.
 
+Edge cases, in every stage: a null or empty text has no words, so the quality
+rules reject it and the later stages, given one, keep it as it is; rows that
+repeat id and text are judged alike (near-duplicate removal keeps one of them);
+a null doc_id is an id like any other; an empty table gives no rows.  Columns
+beyond those of ``documents`` are kept with their values, whatever their names.
+
 Near-duplicate classes and packing cannot be said in SQL, so ``ORACLE_SQL`` is
 None; the stages are tested against brute force in ``tests/llm``.
 """
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedcensus.llm.common import read_table, written
+from bedcensus.llm.common import carried, read_table, restored, written
 from bedcensus.llm.decontaminate import decontaminate
 from bedcensus.llm.line_dedup import dedup_lines
 from bedcensus.llm.near_dedup import drop_near_duplicates
@@ -23,10 +29,10 @@ from bedcensus.llm.packing import pack_documents
 from bedcensus.llm.quality import filter_quality
 
 
-def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
+def _with_length(docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.length("text").cast("bigint"))
-    return docs.select(*columns)
+    return docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +42,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated line windows; a document that loses all its lines goes."""
-    deduped = dedup_lines(docs)
+    deduped = dedup_lines(carried(docs))
     emptied = (F.col("n_lines") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    return _with_length(deduped.where(~emptied), docs.columns)
+    return _with_length(restored(deduped.where(~emptied), docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated, benchmark passages cut from the rest."""
-    return _with_length(decontaminate(docs, read_table(spark, sf_dir, "benchmark")), docs.columns)
+    return _with_length(decontaminate(docs, read_table(spark, sf_dir, "benchmark")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
