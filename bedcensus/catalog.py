@@ -26,7 +26,16 @@ from bedcensus.plans import forms
 from bedcensus.plans.job import run
 from bedcensus.plans.variant import Inputs, Variant
 from bedcensus.session import materialize, scratch_path
-from bedcensus.sources import admissions_from_evaluation, evaluation_from_orders, load_inputs, read_result, write_result
+from bedcensus.sources import (
+    admissions_from_evaluation,
+    evaluation_from_orders,
+    load_inputs,
+    read_layout,
+    read_result,
+    write_bucketed,
+    write_dated,
+    write_result,
+)
 from bedcensus.sources.tables import evaluation_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +122,31 @@ def _prepared_roundtrip(s: SparkSession, d: str, fmt: str) -> DataFrame:
     return rebase_admissions(ev, adm)
 
 
+#: Buckets of the bucketed test layout.
+TEST_BUCKETS = 8
+
+
+def _bucketed_inputs(s: SparkSession, d: str) -> Inputs:
+    """The derived tables stored bucketed by the join keys and read back."""
+    base = _inputs(s, d)
+    folder = scratch_path(s, "bucketed")
+    write_bucketed(base.ev, base.adm, folder, TEST_BUCKETS)
+    return Inputs(*load_inputs(s, folder), layout=read_layout(s, folder))
+
+
+def _dated_inputs(s: SparkSession, d: str) -> Inputs:
+    """The derived tables stored by admission month and read back."""
+    base = _inputs(s, d)
+    folder = scratch_path(s, "dated")
+    write_dated(base.ev, base.adm, folder)
+    return Inputs(*load_inputs(s, folder), layout=read_layout(s, folder))
+
+
+def _bucketed_rebase(s: SparkSession, d: str) -> DataFrame:
+    stored = _bucketed_inputs(s, d)
+    return rebase_admissions(stored.ev, stored.adm)
+
+
 def _job_roundtrip(s: SparkSession, d: str) -> DataFrame:
     """Run the whole job, read the histograms it wrote back."""
     out = scratch_path(s, "job")
@@ -194,6 +228,11 @@ def queries() -> dict[str, Query]:
             "prepared_inputs_roundtrip": lambda s, d: _prepared_roundtrip(s, d, "parquet"),
             "prepared_csv_roundtrip": lambda s, d: _prepared_roundtrip(s, d, "csv"),
             "job_roundtrip": _job_roundtrip,
+            # stored layouts
+            "bucketed_rebase": _bucketed_rebase,
+            "dated_predicted_stay_days": lambda s, d: _variant(s, d, "normal", inputs=_dated_inputs).predicted_new(),
+            "dated_bed_occupancy_year": lambda s, d: _variant(s, d, "normal", "flags", inputs=_dated_inputs).bed_occupancy_year(),
+            "dated_symmetric_occupancy": lambda s, d: _variant(s, d, "symmetric", inputs=_dated_inputs).occupancy_new(),
             # forced physical forms
             "daily_occupancy_join_form": lambda s, d: _normal(s, d, "join").occupancy_new(),
             "daily_occupancy_sweep": lambda s, d: _normal(s, d, "sweep").occupancy_new(),

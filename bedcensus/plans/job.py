@@ -25,7 +25,7 @@ from bedcensus.operators import adjust as A
 from bedcensus.operators.stays import attach_old_admission
 from bedcensus.plans.variant import FORMS, Inputs, Variant, keys_unique
 from bedcensus.session import drop_scratch, get_session, materialize, scratch_paths
-from bedcensus.sources import admissions_from_evaluation, load_inputs, write_result
+from bedcensus.sources import admissions_from_evaluation, load_inputs, read_layout, write_result
 from bedcensus.sources.tables import derive_old_admission, has_prepared_inputs
 
 SORT_KEYS = {
@@ -60,7 +60,7 @@ def prepare_inputs(
     """
     ev, adm = load_inputs(spark, sf_dir)
     if not persist:
-        inputs = Inputs(ev, adm)
+        inputs = Inputs(ev, adm, layout=read_layout(spark, sf_dir))
         return inputs.declare_unique() if assume_unique_keys else inputs
     derived = not has_prepared_inputs(spark, sf_dir)
     # derived admissions are a function of the evaluation row: no join to attach them

@@ -32,6 +32,7 @@ from bedcensus.operators import occupancy as O
 from bedcensus.operators import reports as R
 from bedcensus.operators import stays as S
 from bedcensus.plans import forms
+from bedcensus.sources.layout import MONTH, within
 
 FORMS = ("auto", "join", "sweep", "flags", "union", "hybrid")
 
@@ -59,6 +60,9 @@ class Inputs:
 
     ev: DataFrame
     adm: DataFrame
+    #: What the folder's layout says (``sources.layout``); with months, a window
+    #: reads only those whose stays can touch it.
+    layout: dict | None = None
     _unique: dict = field(default_factory=dict)
     _dup: DataFrame | None = None
     _dup_old: DataFrame | None = None
@@ -125,6 +129,8 @@ class Variant:
         self.cfg = cfg
         self.form = form
         self.ev = ev if ev is not None else A.adjust_predictions(inputs.ev, cfg.adjust, cfg.error_threshold)
+        #: Stays that can touch the new window.
+        self.ev_new = within(self.ev, inputs.layout, cfg.new_window)
         self.persist = persist
         self._memo: dict[str, DataFrame] = {}
         self._split: tuple[DataFrame, DataFrame] | None = None
@@ -166,10 +172,10 @@ class Variant:
 
     # -- stay-days (literal) ------------------------------------------------
     def predicted_new(self) -> DataFrame:
-        return self._once("pn", lambda: S.predicted_stay_days(self.ev, self.cfg.new_window))
+        return self._once("pn", lambda: S.predicted_stay_days(self.ev_new, self.cfg.new_window))
 
     def actual_new(self) -> DataFrame:
-        return self._once("an", lambda: S.actual_stay_days(self.ev, self.cfg.new_window))
+        return self._once("an", lambda: S.actual_stay_days(self.ev_new, self.cfg.new_window))
 
     def rebased(self) -> DataFrame:
         if "_old_match" in self.ev.columns:
@@ -210,7 +216,7 @@ class Variant:
                 "sw_new", lambda: forms.daily_from_deltas(both.where("line = 0").drop("line"), w), persist=True
             )
         return self._once(
-            "sw_new", lambda: forms.daily_sweep(self.ev, w, w, self.cfg.lookahead_days), persist=True
+            "sw_new", lambda: forms.daily_sweep(self.ev_new, w, w, self.cfg.lookahead_days), persist=True
         )
 
     def sweep_old(self) -> DataFrame:
@@ -228,7 +234,7 @@ class Variant:
         """(stays of ids seen once or NULL, stays of duplicated ids), built once."""
         with self._lock:
             if self._split is None:
-                self._split = forms.split_duplicate_ids(self.ev, dup=self.inputs.duplicate_ids())
+                self._split = forms.split_duplicate_ids(self.ev_new, dup=self.inputs.duplicate_ids())
             return self._split
 
     def sweep_new_unique_part(self) -> DataFrame:
@@ -248,7 +254,7 @@ class Variant:
                 lambda: forms.add_daily(self.sweep_new_unique_part(), forms.daily_union(self._split_new()[1], w, w)),
                 persist=True,
             )
-        return self._once("un_new", lambda: forms.daily_union(self.ev, w, w), persist=True)
+        return self._once("un_new", lambda: forms.daily_union(self.ev_new, w, w), persist=True)
 
     def _join_lookahead_parts(self) -> tuple[DataFrame, DataFrame]:
         """Literal chain: ``(time, pn)`` from the offset self-join and
@@ -263,7 +269,7 @@ class Variant:
 
     def evaluation(self) -> DataFrame:
         """The variant's six evaluation columns."""
-        return self.ev.drop(*S.REBASE_COLUMNS, A.COPY_COLUMN)
+        return self.ev.drop(*S.REBASE_COLUMNS, A.COPY_COLUMN, MONTH)
 
     def occupancy_new(self) -> DataFrame:
         # a filter over the persisted sweep needs no copy of its own
@@ -278,7 +284,7 @@ class Variant:
             return forms.occupancy_from_sweep(self.sweep_new())
         if f in ("union", "hybrid"):
             return forms.occupancy_from_sweep(self.union_new())
-        return forms.daily_occupancy_flags(self.ev, w, w)
+        return forms.daily_occupancy_flags(self.ev_new, w, w)
 
     def _form_old_table(self) -> str:
         # the per-side row counts (C15) are exact by sweep for any input, so
@@ -336,7 +342,7 @@ class Variant:
                 "time",
                 ["pn", "n"],
             )
-        return forms.lookahead_counts_by_id(self.ev, w, lag)
+        return forms.lookahead_counts_by_id(self.ev_new, w, lag)
 
     def lookahead_error(self) -> DataFrame:
         if self.form_new() == "join":
@@ -362,7 +368,8 @@ class Variant:
             return R.numbered_days(daily.where(F.col("a_any") > 0).select("day", F.col("a_cnt").alias("n")), self.cfg.year)
         w, y = self.cfg.new_window, self.cfg.year
         lo, hi = max(w.lo, date(y, 1, 1)), min(w.hi, date(y, 12, 31))
-        return R.bed_occupancy_series(S.actual_stay_days(self.ev, DayWindow(lo, hi)), y)
+        year = DayWindow(lo, hi)
+        return R.bed_occupancy_series(S.actual_stay_days(within(self.ev, self.inputs.layout, year), year), y)
 
     def occupancy_level_frequency(self) -> DataFrame:
         return R.occupancy_level_frequency(self.occupancy_new())

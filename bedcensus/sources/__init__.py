@@ -1,3 +1,4 @@
+from bedcensus.sources.layout import read_layout, within, write_bucketed, write_dated
 from bedcensus.sources.results import read_result, write_result
 from bedcensus.sources.tables import (
     ADMISSIONS_SCHEMA,
@@ -19,6 +20,10 @@ __all__ = [
     "load_inputs",
     "read_admissions",
     "read_evaluation",
+    "read_layout",
     "read_result",
+    "within",
+    "write_bucketed",
+    "write_dated",
     "write_result",
 ]

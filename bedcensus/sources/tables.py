@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bedcensus.sources.layout import read_bucketed_table, read_dated_table, read_layout
+
 EVALUATION_SCHEMA = T.StructType(
     [
         T.StructField("admittime", T.TimestampNTZType()),
@@ -199,10 +201,22 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """(evaluation, admissions) for a folder.
 
     If the folder holds prepared ``evaluation`` and ``admissions`` tables
-    (parquet, or CSV with a header) they are read as they are; otherwise both
-    are derived from ``orders`` and ``lineitem``.
+    (parquet, or CSV with a header) they are read as they are, by their layout
+    if the folder states one; otherwise both are derived from ``orders`` and
+    ``lineitem``.
     """
     fmt = prepared_format(spark, sf_dir)
+    layout = read_layout(spark, sf_dir) if fmt == "parquet" else None
+    if layout and layout.get("buckets"):
+        return (
+            read_bucketed_table(spark, table_path(sf_dir, "evaluation"), EVALUATION_SCHEMA, layout["buckets"]),
+            read_bucketed_table(spark, table_path(sf_dir, "admissions"), ADMISSIONS_SCHEMA, layout["buckets"]),
+        )
+    if layout and "months" in layout:
+        return (
+            read_dated_table(spark, table_path(sf_dir, "evaluation"), EVALUATION_SCHEMA),
+            read_admissions(spark, table_path(sf_dir, "admissions")),
+        )
     if fmt is not None:
         return (
             read_evaluation(spark, table_path(sf_dir, "evaluation", fmt), fmt),
