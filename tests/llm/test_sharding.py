@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from bedcensus.llm import sharding as S
 from bedcensus.session import scratch_path
 
@@ -66,3 +68,15 @@ def test_edges(spark):
     copies = spark.range(4000).selectExpr("id as doc_id", "'one text' as text")
     check_law([(r["shard"], r["slot"]) for r in S.shuffle_into_shards(copies, bucket_bytes=500).collect()], 16)
     assert S.shuffle_into_shards(docs.limit(0)).count() == 0
+
+
+def test_copies_of_one_row_are_spread_over_tasks(spark):
+    """300,000 rows of one id and text: no task gathers them."""
+    docs = spark.range(300_000).selectExpr("7 as doc_id", "'one text' as text").union(spark.range(500).selectExpr("id", "cast(id as string)"))
+    out = S.shuffle_into_shards(docs)
+    tasks = Counter(dict(out.where("doc_id = 7 and text = 'one text'").groupBy(F.spark_partition_id().alias("p")).count().collect()))
+    assert len(tasks) >= 16 and max(tasks.values()) < 3 * 300_000 / len(tasks)
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(counts) == 300_500 and max(counts) - min(counts) <= 1
+    slots = out.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("top")).collect()
+    assert all(r["n"] == r["top"] + 1 for r in slots)
