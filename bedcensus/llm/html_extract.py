@@ -14,12 +14,16 @@ task sees all pages of a host, and every page takes part.
 
 Extraction: the wrapper's slots are judged once per host, in layers, one for each
 kind of page.  On a page with an article (``article``, ``main`` or their ARIA and
-microdata equivalents) content is what lies in it.  For pages without one the
-next layer is the container that holds most of the varying, unlinked text
+microdata equivalents) content is what lies in it, less what the wrapper tells to
+be furniture: texts that never vary and are mostly links (share bars, standing
+promotions), and those of a container with a suspect name that never vary or are
+mostly links.  For pages without one the next layer is the container that holds most of the varying, unlinked text
 outside articles, the one after it the container that holds most of what is then
-left, and the last is all that is left.  Slots under boilerplate tags or names
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are
-dropped, and outside an article so are texts that never vary over ``MIN_PAGES``
+left, and the last is all that is left.  Slots under boilerplate tags, roles or
+names (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+dropped.  A name says so clearly if all its words do, or are words of layout
+(``ad-box``); with other words in it (``share-analysis``) it is suspect and the
+slots decide.  A ``header`` with a heading inside an article stays.  And outside an article so are texts that never vary over ``MIN_PAGES``
 different pages (copies of a page count once).  Each page is then aligned with
 its wrapper, and the texts that meet a content slot of the first layer it has
 are its blocks.
@@ -40,10 +44,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, without, written
+from .common import bounded_batches, read_table, release_memory, without, written
 
 MAX_PERIOD = 3
 MERGE_GROUPS = 32
@@ -51,8 +56,12 @@ MERGE_GROUPS = 32
 HELD_HOSTS = 2000
 #: Different pages a host needs before a text that never varies counts as boilerplate.
 MIN_PAGES = 3
-#: Elements nested deeper than this are read as part of the one around them.
+#: Elements nested deeper than this are read as part of the one around them
+#: (their closing tags are matched, and boilerplate among them is dropped).
 MAX_DEPTH = 150
+#: Pages of one host that a task extracts with one copy of the wrapper, about.
+GROUP_PAGES = 20_000
+MIN_GROUPS = 16
 #: Longest-subsequence table; longer sequences are aligned greedily.
 MAX_ALIGN_CELLS = 1_000_000
 
@@ -62,7 +71,7 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas audio video head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"body", "html", "button", "option", "optgroup"}
 #: An opening tag ends an open sibling of these names, unless one of the scopes lies between.
@@ -86,6 +95,13 @@ BOILERPLATE_NAMES = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
     "reply replies respond disqus discussion copyright legal disclaimer toolbar".split()
 )
+#: Words that say where a container stands or how it is built, not what it holds.
+LAYOUT_NAMES = frozenset(
+    "a area bar block body bottom box btn button center col column container content cta element fixed float full grid group holder icon "
+    "image img inline inner item items large left link links list main mini module outer page panel primary right row secondary section "
+    "site slot small sticky title top unit wrap wrapper x".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 MAIN_TAGS = frozenset(["article", "main"])
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 #: One attribute: whole name, then its value (in a page that is cut off, to the end).
@@ -181,6 +197,7 @@ def parse(html: str) -> Node:
     root = Node("", "")
     stack = [root]
     run: list[str] = []
+    deep: list[tuple[str, bool]] = []  # open elements below MAX_DEPTH: name, whether it is boilerplate
     linked = link_depth = 0
 
     def end_run() -> None:
@@ -194,16 +211,25 @@ def parse(html: str) -> Node:
 
     def close(names: set[str] | frozenset[str], scopes: set[str]) -> None:
         """End the innermost open element of ``names``, and all that is open inside it."""
+        for k in range(len(deep) - 1, -1, -1):
+            if deep[k][0] in names:
+                end_run()
+                del deep[k:]
+                return
+            if deep[k][0] in scopes:
+                return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 end_run()
-                del stack[k:]
+                del stack[k:], deep[:]
                 return
             if stack[k].name in scopes:
                 return
 
     for kind, value, attributes in tokens(html):
         if kind == "text":
+            if any(gone for _, gone in deep):
+                continue
             run.append(value)
             if link_depth:
                 linked += len(value.strip())
@@ -222,9 +248,12 @@ def parse(html: str) -> Node:
                 close({"p"}, {"button", "td", "th", "li", "table"})
             if value in IMPLIED_END:
                 names, scopes = IMPLIED_END[value]
-                while any(x.name in names for x in _above(stack, scopes)):
+                while any(name in names for name in _above([x.name for x in stack] + [name for name, _ in deep], scopes)):
                     close(names, scopes)
-            if value in VOID or value in ("html", "body") or len(stack) > MAX_DEPTH:
+            if value in VOID or value in ("html", "body"):
+                continue
+            if len(stack) > MAX_DEPTH:
+                deep.append((value, is_boilerplate(tag_key(value, attributes))))
                 continue
             node = Node(tag_key(value, attributes), value)
             stack[-1].items.append(node)
@@ -233,11 +262,11 @@ def parse(html: str) -> Node:
     return root
 
 
-def _above(stack: list[Node], scopes: set[str]) -> Iterator[Node]:
-    for x in reversed(stack):
-        if x.name in scopes:
+def _above(names: list[str], scopes: set[str]) -> Iterator[str]:
+    for name in reversed(names):
+        if name in scopes:
             return
-        yield x
+        yield name
 
 
 # A wrapper is a list of parts.  A part is a dict: "k" its key (a tag key, "#" for
@@ -373,17 +402,36 @@ def merge(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
-def is_boilerplate(key: str) -> bool:
+def named(value: str) -> int:
+    """2 if a class or id clearly names boilerplate, 1 if it is suspect, else 0."""
+    words = _WORDS.findall(value)
+    told = sum(w in BOILERPLATE_NAMES for w in words)
+    if not told:
+        return 0
+    return 2 if all(w in BOILERPLATE_NAMES or w in LAYOUT_NAMES for w in words) else 1
+
+
+def suspicion(key: str) -> int:
+    """2 for an element that is boilerplate by its tag, role or name, 1 if its name is suspect, else 0."""
     name, *marks = key.split(" ")
     if name in BOILERPLATE_TAGS or "hidden" in marks:
-        return True
+        return 2
+    found = 0
     for m in marks:
         kind, _, value = m.partition("=")
         if kind == "role" and value in BOILERPLATE_ROLES:
-            return True
-        if kind in ("class", "id") and not BOILERPLATE_NAMES.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return 2
+        if kind in ("class", "id"):
+            found = max(found, named(value))
+    return found
+
+
+def is_boilerplate(key: str) -> bool:
+    return suspicion(key) == 2
+
+
+def has_heading(parts: list[dict]) -> bool:
+    return any("c" in p and (p["k"].split(" ")[0] in HEADINGS or has_heading(p["c"])) for p in parts)
 
 
 def is_main(key: str) -> bool:
@@ -426,16 +474,22 @@ def judge(wrapper: list[dict]) -> list[dict]:
         taken[id(chosen)] = 2 << len(taken)
     rest = 2 << len(taken)
 
-    def mark(parts: list[dict], layers: int, main: bool = False, dead: bool = False) -> list[dict]:
+    def mark(parts: list[dict], layers: int, main: bool = False, dead: bool = False, suspect: bool = False) -> list[dict]:
         """``dead``: inside boilerplate, where nothing is content any more."""
         out = []
         for p in parts:
             if "s" in p:
-                plain = varies(p) and 2 * p["l"] <= p["s"]
-                out.append({"k": "#", "v": 0 if dead else 1 if main else layers if plain else 0})
+                linked = 2 * p["l"] > p["s"]
+                plain = varies(p) and not linked
+                # in an article one sign is not enough, unless the container is suspect
+                kept = plain if suspect or not main else varies(p) or not linked
+                out.append({"k": "#", "v": 0 if dead or not kept else 1 if main else layers})
             else:
-                here, gone = main or is_main(p["k"]), dead or is_boilerplate(p["k"])
-                inner = {"k": p["k"], "c": mark(p["c"], layers | taken.get(id(p), 0), here, gone)}
+                here, doubt = main or is_main(p["k"]), suspicion(p["k"])
+                if doubt == 2 and main and p["k"].split(" ")[0] == "header" and "role=" not in p["k"] and has_heading(p["c"]):
+                    doubt = 0  # the head of an article
+                gone = dead or doubt == 2
+                inner = {"k": p["k"], "c": mark(p["c"], layers | taken.get(id(p), 0), here, gone, suspect or doubt == 1)}
                 out.append(inner | {"m": 1} if here and not main and not gone else inner)
         return out
 
@@ -499,6 +553,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 yield flush()
         if held:
             yield flush()
+        release_memory()
 
     def combine(last: bool):
         def run(key, table):
@@ -517,30 +572,47 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """Add ``text`` and ``n_chars`` to pages that have ``url`` and ``html``."""
-    wrappers = written(infer_wrappers(pages), "wrappers").select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))
+    """Add ``text`` and ``n_chars`` to pages that have ``url`` and ``html``.
+
+    Pages are dealt by host and a hash of the page into groups of about
+    ``GROUP_PAGES`` of a large host's pages; a group's wrapper comes first in it,
+    so a task holds one wrapper and rows do not carry it.
+    """
+    wrappers = written(infer_wrappers(pages), "wrappers")
     names = ["text", "n_chars"]
-    kept = without(pages, [*names, "_host", "_wrapper"])
+    kept = without(pages, names)
     kept_names = kept.columns
-    joined = kept.withColumn("_h", host_of()).hint("merge").join(wrappers, F.col("_h") == F.col("_host")).drop("_h", "_host")
+    groups = max(MIN_GROUPS, -(-pages.count() // GROUP_PAGES))
+    salt = F.pmod(F.xxhash64(F.col("url"), F.col("html")), F.lit(groups))
+    dealt = kept.select(host_of().alias("_host"), salt.alias("_salt"), F.struct(*[F.col(f"`{c}`") for c in kept_names]).alias("_row"), F.lit(None).cast("string").alias("_wrapper"))
+    # a wrapper goes only to groups that have a page
+    wanted = pages.select(host_of().alias("_host"), salt.alias("_salt")).distinct()
+    heads = wanted.hint("merge").join(wrappers.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")).hint("merge"), "_host")
+    heads = heads.select("_host", "_salt", F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), "_wrapper")
+    both = dealt.union(heads).repartition("_host", "_salt").sortWithinPartitions("_host", "_salt", F.col("_wrapper").asc_nulls_last())
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["text string", "n_chars bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[dict]] = {}
+        judged: list[dict] = []
         for b in batches:
+            wrapper, row = b.column(b.schema.get_field_index("_wrapper")).to_pylist(), b.column(b.schema.get_field_index("_row"))
+            at = [i for i, w in enumerate(wrapper) if w is None]
+            rows = row.take(pa.array(at, pa.int64()))
+            html = iter(pc.struct_field(rows, [kept_names.index(html_name)]).to_pylist())
             texts = []
-            for html, w in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("html", "_wrapper")]):
-                if w not in known:
-                    if len(known) >= HELD_HOSTS:
-                        known.clear()
-                    known[w] = json.loads(w)
-                texts.append("\n".join(content_blocks(parse(html or "").items, known[w])))
-            cols = [b.column(b.schema.get_field_index(c)) for c in kept_names]
+            for w in wrapper:
+                if w is not None:
+                    judged = json.loads(w)
+                else:
+                    texts.append("\n".join(content_blocks(parse(next(html) or "").items, judged)))
+            cols = [pc.struct_field(rows, [k]) for k in range(len(kept_names))]
             yield pa.RecordBatch.from_arrays(
                 cols + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=kept_names + names
             )
+        release_memory()
 
-    return joined.mapInArrow(run, schema)
+    html_name = next(c for c in kept_names if c.lower() == "html")
+    return both.mapInArrow(run, schema)
 
 
 def op9_html_extract(spark, sf_dir):

@@ -149,3 +149,66 @@ def test_attributes_by_whole_name():
     for mark, want in {" hidden": "hidden", " a=1 HIDDEN b": "hidden", "hidden=''": "hidden", 'Class = "Ad x9"id=top': "class=ad class=x0 id=top", " data-id=1 id='b c'": "id=b id=c", "/role=main/": "role=main/", "class='cut off hidden": "class=cut class=hidden class=off"}.items():
         assert X.tag_key("div", mark) == f"div {want}", mark
     assert texts(["<article><div hidden>no</div><div style='a' hidden class=b>no</div><p data-x='>' hidden>no</p>yes</article>"]) == ["yes"]
+
+
+def own_text(article):
+    blocks = [" ".join(H.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?p>|</?h1>|<br>", article)]
+    return [b for b in blocks if b]
+
+
+def test_pages_whose_article_tags_are_removed(spark):
+    """Without the tags, and with comments and a share bar planted among the
+    paragraphs, the wrapper still tells the text from the rest."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").where("html is not null").collect()
+    hosts, want = {}, {}
+    for r in rows:
+        head, article, tail = re.fullmatch(r"(.*)<article>(.*)</article>(.*)", r["html"], re.S).groups()
+        planted = f"<div class='comments'><p>Reader {r['page_id']} disagrees</p></div><p class=tools><a href=/s>Share this</a> <a href=/p>Print it</a></p>"
+        host = r["url"].split("/")[2] if r["url"] and r["url"].count("/") > 1 else ""
+        want[r["page_id"]] = own_text(article)
+        for kind in ("", "article"):
+            open_, close = (f"<{kind}>", f"</{kind}>") if kind else ("", "")
+            hosts.setdefault((kind, host), []).append((r["page_id"], f"{head}{open_}{article}</p>{planted}{close}{tail}"))
+    for kind in ("", "article"):
+        right = total = extra = 0
+        for (k, _), pages in hosts.items():
+            if k != kind:
+                continue
+            for (page_id, _), got in zip(pages, texts([p for _, p in pages])):
+                blocks = got.split("\n")
+                total += sum(map(len, want[page_id]))
+                right += sum(len(b) for b in want[page_id] if b in blocks)
+                extra += sum(len(b) for b in blocks if b not in want[page_id])
+                assert "Reader" not in got
+                assert not want[page_id] or want[page_id][0] in blocks  # the heading
+                assert len(pages) < X.MIN_PAGES or "Share this" not in got
+        assert right >= 0.95 * total and extra <= 0.05 * total, (kind, right, total, extra)
+
+
+def test_article_parts_decided_by_slots():
+    def one(i):
+        return (
+            f"<article><header class='post-header x1'><h1>My title {i}</h1><nav>menu</nav></header><p>a b c {i}</p><div class='share-analysis'>A market share story {i}</div>"
+            f"<div class='legal-notes'>Case {i} was heard</div><div class='share-strip'>Always this</div><div class='ad-box'>buy {i}</div>"
+            f"<ul><li><a href=/x>Follow us</a></li></ul><p>Same end</p><math>x=1</math><header>by {i}</header></article>"
+        )
+
+    for i, got in enumerate(texts([one(i) for i in range(6)])):
+        assert got.split("\n") == [f"My title {i}", f"a b c {i}", f"A market share story {i}", f"Case {i} was heard", "Same end", "x=1"]
+    # one page alone is no evidence
+    assert "Follow us" in texts([one(1)])[0]
+
+
+def test_elements_below_the_depth_bound():
+    deep = "<div>" * 400
+    page_ = f"<article>{deep}one<nav>menu <div>more</div></nav>two<section class=comments>no</section>{'</div>' * 400}<p>three</p></article><div>after</div>"
+    assert texts([page_]) == ["one\ntwo\nthree"]
+
+
+def test_groups_of_a_host_share_its_wrapper(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}/p{i}", f"<div>Top of {i % 3}</div><div><p>Page {i}</p><p>of {i}</p></div>") for i in range(60)] + [(99, "http://h9/x", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: f"Page {i}\nof {i}" for i in range(60)} | {99: ""}
+    assert {r["page_id"]: r["text"] for r in X.extract_main_text(pages).collect()} == want
+    monkeypatch.setattr(X, "MIN_GROUPS", 1)
+    assert {r["page_id"]: r["text"] for r in X.extract_main_text(pages).collect()} == want
