@@ -1,9 +1,10 @@
 """Personal data by base patterns and a skip-chain CRF (operator 3).
 
 Base spans are what the four patterns define (``base_spans``); they always
-stay.  The conditional random field labels the active tokens of a text
-(blank-separated pieces that hold a digit, an ``@`` or a ``+``; all other tokens
-are fixed to "no entity", which cuts the chain there).  Its potentials:
+stay.  The conditional random field labels the active tokens of a text: blank-
+separated pieces that hold a digit, an ``@``, a ``+`` or a dot between letters,
+and the pieces around a written-out ``at`` before a dotted one; all other tokens
+are fixed to "no entity", which cuts the chain there.  Its potentials:
 
 * node: shape, length, punctuation and neighbouring words of a token;
 * chain: labels of active tokens that follow each other directly;
@@ -12,13 +13,19 @@ are fixed to "no entity", which cuts the chain there).  Its potentials:
   such token in the text, so a text of n tokens has at most 3 n edges.
 
 Potentials are learned by maximising the pseudo-likelihood on at most about
-``MAX_TRAIN_DOCS`` texts, the labels being those of the base spans.  Inference
+``MAX_TRAIN_DOCS`` texts.  Each is learned from twice: as it is, labelled by its
+base spans, and with some of its entities hidden from the patterns (``hide``: a
+phone number loses its plus, a card number has other marks between its groups, an
+address loses its dots or ``@``) or mentioned again in such a form; those keep their labels.  So shapes
+that the patterns reject, and repeats of what they accept, are learned as
+entities, and a third of the entity tokens is learned from context and links
+alone.  Inference
 is loopy sum-product message passing over each whole text; all texts of a batch
 are passed through together.  Tokens labelled as an entity that meet no base
 span become added spans (neighbouring tokens of one label are one span).
 
 Edge cases: a null or empty text has no spans; texts of any length are scanned
-in linear time; without active tokens to learn from, only base spans are
+in linear time, with or without a model; without active tokens to learn from, only base spans are
 returned; a null doc_id is kept; repeated rows are scanned alike; an empty
 table gives no rows.
 """
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, clean_text, expand_rows, read_table, texts
+from .common import append_columns, clean_text, crc32, expand_rows, read_table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -102,7 +109,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_ACTIVE = re.compile(r"[^\x20\x09-\x0D]*[0-9@+][^\x20\x09-\x0D]*")
+_ACTIVE = re.compile(r"[^\x20\x09-\x0D]*(?:[0-9@+]|[A-Za-z]\.[A-Za-z])[^\x20\x09-\x0D]*")
+#: A written-out @ between a name and a dotted token.
+_SPELT_AT = re.compile(r"(?<![^\x20\x09-\x0D])([A-Za-z0-9._%+-]{2,64})\x20([\[({]?at[\])}]?)\x20(?=[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64})+)", re.I)
 _EDGE = "\"'()[]{}<>,;:!?*|#$%&="
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*\Z")
 _WORD_AFTER = re.compile(r"[^\w]*([^\W\d_]+)")
@@ -129,14 +138,14 @@ def shape_of(token: str) -> str:
 def active_tokens(text: str) -> list[tuple[int, int]]:
     """Spans of the active tokens, punctuation at their edges left out."""
     out = []
-    if _HINT.search(text):
-        for m in _ACTIVE.finditer(text):
-            t = m.group()
-            a = m.start() + len(t) - len(t.lstrip(_EDGE))
-            b = a + len(t.strip(_EDGE).rstrip("."))
-            if a < b:
-                out.append((a, b))
-    return out
+    for m in _ACTIVE.finditer(text):
+        t = m.group()
+        a = m.start() + len(t) - len(t.lstrip(_EDGE))
+        b = a + len(t.strip(_EDGE).rstrip("."))
+        if a < b:
+            out.append((a, b))
+    spelt = {m.span(k) for m in _SPELT_AT.finditer(text) for k in (1, 2)}
+    return sorted(spelt.union(out)) if spelt else out
 
 
 def token_features(text: str, a: int, b: int) -> list[int]:
@@ -156,13 +165,19 @@ def token_features(text: str, a: int, b: int) -> list[int]:
         f"plus {t[0] == '+'}",
         f"brackets {'(' in t or ')' in t}",
         f"shape {shape_of(t)}",
+        f"card {13 <= digits <= 19 and luhn(_digits(t))}",
         f"before {before.group(1).lower() if before else ''}",
         f"after {after.group(1).lower() if after else ''}",
+        f"ends {text[max(a - 1, 0) : a].strip(' ')}|{text[b : b + 1].strip(' ')}",
+        f"groups {'.'.join(str(len(g)) for g in _DIGITS.findall(t)[:6])}",
     ]
     return [_bucket(n) for n in names]
 
 
-N_FEATURES = 12
+_DIGITS = re.compile("[0-9]+")
+N_FEATURES = 15
+#: Features that say what a token looks like (the rest is context).
+SHAPE_FEATURES = slice(1, 11)
 
 
 def text_graph(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[tuple[int, int, int]]]:
@@ -247,15 +262,87 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def token_labels(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
-    """Each token's label: the kind of the first base span that meets it."""
+    """Each token's label: the kind of the first base span (by kind, then start) that meets it.
+
+    One sweep a kind over tokens and spans, both in order of their places.
+    """
     out = [OTHER] * len(spans)
-    for kind, a, b in reversed(base):
+    by_kind: dict[int, list[Span]] = {}
+    for s in base:
+        by_kind.setdefault(s[0], []).append(s)
+    for kind in sorted(by_kind, reverse=True):
+        found, at = by_kind[kind], 0
         for k, (s, e) in enumerate(spans):
-            if s < b and a < e:
+            while at < len(found) and found[at][2] <= s:
+                at += 1
+            if at < len(found) and found[at][1] < e:
                 out[k] = kind
     return out
 
 
+def _disguises(kind: int, t: str) -> list[str]:
+    """Forms of an entity that the base patterns do not take."""
+    digits = _digits(t)
+    if kind == 0:
+        name, _, domain = t.partition("@")
+        return [f"{name} at {domain}", f"{name} [at] {domain}", f"{name} (at) {domain}", f"{name}@{domain.split('.')[0]}"]
+    if kind == 1:
+        return [t.replace(".", "-"), t.replace(".", ","), t.replace(".", "[.]")]
+    if kind == 2:
+        return [mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for mark in (".", "/", "_", " - ")]
+    bare = t[1:]
+    return [bare, bare.replace(" ", "-").replace("(", "").replace(")", ""), digits, f"00{bare}"]
+
+
+def hide(text: str, spans: list[Span], seed: int, every: bool = False) -> tuple[str, list[Span]]:
+    """``text`` with entities in forms that the patterns miss, and all its entities.
+
+    Of the given spans (one of each overlapping pair) a third is rewritten, a
+    third stays and is mentioned again in such a form at the end of its line,
+    a third stays as it is; with ``every`` all are rewritten.
+    """
+    out, found, here, length = [], [], 0, 0
+    again: list[tuple[int, str]] = []
+
+    def put(part: str, kind: int | None = None) -> None:
+        nonlocal length
+        if kind is not None:
+            found.append((kind, length, length + len(part)))
+        out.append(part)
+        length += len(part)
+
+    def mention() -> None:
+        for kind, t in again:
+            put(" ")
+            put(t, kind)
+        again.clear()
+
+    for a, b, kind in sorted((a, b, k) for k, a, b in spans):
+        if a < here:
+            continue
+        lines = text[here:a].split("\n")
+        put(lines[0])
+        for line in lines[1:]:
+            mention()
+            put("\n" + line)
+        t = text[a:b]
+        draw = crc32(f"{seed}:{a}:{t}")
+        forms = _disguises(kind, t)
+        form = forms[draw // 3 % len(forms)]
+        if every or draw % 3 == 0:
+            put(form, kind)
+        else:
+            put(t, kind)
+            if draw % 3 == 1:
+                again.append((kind, form))
+        here = b
+    first, line_end, rest = text[here:].partition("\n")
+    put(first)
+    mention()
+    put(line_end + rest)
+    return "".join(out), sorted(found)
+
+
 def added_spans(spans: list[tuple[int, int]], edges: list[tuple[int, int, int]], p: np.ndarray, base: list[Span]) -> list[Span]:
     """Entity tokens that meet no base span; chain neighbours of one label are joined."""
     best = p.argmax(axis=1)
@@ -278,20 +365,36 @@ def added_spans(spans: list[tuple[int, int]], edges: list[tuple[int, int, int]],
 
 def _training_rows(docs: DataFrame, max_docs: int) -> DataFrame:
     """At most about ``max_docs`` texts that hold an active token, by a hash of the text."""
-    rich = docs.select(clean_text().alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rich = docs.select(clean_text().alias("text")).where(F.col("text").rlike("[0-9@+]|[A-Za-z]\\.[A-Za-z]"))
     n = rich.count()
     share = int(min(1.0, max_docs / max(n, 1)) * 1_000_000)
     return rich.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) < share)
 
 
+def training_texts(text: str) -> list[tuple[str, list[Span]]]:
+    """What is learned from a text: itself with its base spans, and a copy with hidden entities."""
+    base = base_spans(text)
+    out = [(text, base)]
+    if base:
+        shown, entities = hide(text, base, 0)
+        known = sorted(base_spans(shown) + entities)  # what a disguise leaves for a pattern is an entity too
+        out.append((shown, known))
+    return out
+
+
 def fit_skip_chain(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> SkipChain | None:
     def make():
         def work(batch):
             rows = []
             for t in texts(batch):
-                spans, features, edges = text_graph(t)
-                if spans:
-                    labels = token_labels(spans, base_spans(t))
+                for shown, entities in training_texts(t):
+                    spans, features, edges = text_graph(shown)
+                    if not spans:
+                        continue
+                    labels = token_labels(spans, entities)
+                    for k, y in enumerate(labels):
+                        if y != OTHER and crc32(f"{spans[k]}{shown[slice(*spans[k])]}") % 3 == 0:
+                            features[k][SHAPE_FEATURES] = [_bucket("bias")] * len(features[k][SHAPE_FEATURES])
                     rows.append((np.asarray(features, "<i4").tobytes(), np.asarray(edges, "<i4").tobytes(), np.asarray(labels, "<i4").tobytes()))
             cols = list(zip(*rows)) or [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["f", "e", "y"])

@@ -114,3 +114,71 @@ def test_edges(spark):
     assert X.fit_skip_chain(docs.limit(0)) is None
     assert X.find_personal_data(docs.limit(0), None).count() == 0
     assert X.fit_skip_chain(docs.where("doc_id = 1")) is None
+
+
+def test_hidden_entities_are_found(spark):
+    """Documents whose entities are all rewritten so that no pattern takes them;
+    the model learns from other documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text is not null")
+    model = X.fit_skip_chain(docs.where("crc32(text) % 2 = 0"))
+    held = [r["text"] for r in docs.where("crc32(text) % 2 = 1").collect()]
+    hidden = right = wrong = added_to_plain = 0
+    for a in range(0, len(held), 500):
+        shown = [X.hide(t, X.base_spans(t), 7, every=True) for t in held[a : a + 500]]
+        for (_, entities), (base, added) in zip(shown, X.scan_batch([t for t, _ in shown], model)):
+            entities = [s for s in entities if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+            meet = [any(s[0] == x[0] and x[1] < s[2] and s[1] < x[2] for x in added) for s in entities]
+            hidden, right = hidden + len(entities), right + sum(meet)
+            wrong += sum(not any(s[0] == x[0] and x[1] < s[2] and s[1] < x[2] for s in entities) for x in added)
+        added_to_plain += sum(len(added) for _, added in X.scan_batch(held[a : a + 500], model))
+    print(f"hidden {hidden}, found {right}, wrong spans {wrong}, spans added to the {len(held)} documents as they are {added_to_plain}")
+    assert hidden > 250 and right >= 0.85 * hidden and wrong <= 0.05 * hidden
+    assert added_to_plain <= 0.002 * len(held)
+
+
+def test_hiding_keeps_track_of_every_entity():
+    text = "a joe@corp.example.com b\nc 10.0.0.1; 4111 1111 1111 1111, d +49 30 555123 e\nend 192.168.0.7"
+    base = X.base_spans(text)
+    assert len(base) == 5
+    for seed in range(40):
+        shown, entities = X.hide(text, base, seed)
+        assert len(entities) >= 5 and all(shown[a:b].strip() == shown[a:b] for _, a, b in entities)
+        shown, entities = X.hide(text, base, seed, every=True)
+        assert len(entities) == 5 and not {s for s in X.base_spans(shown)} & set(base)
+        for (kind, a, b), form in zip(sorted(entities, key=lambda s: s[1]), sorted(base, key=lambda s: s[1])):
+            assert kind == form[0] and shown[a:b] in X._disguises(kind, text[form[1] : form[2]])
+    assert X.hide("no entity", [], 1) == ("no entity", [])
+
+
+def test_labels_and_model_take_linear_time(spark):
+    rows = [(i, f"call +49 30 {100000 + i} now. also 17.0 percent") for i in range(50)]
+    model = X.fit_skip_chain(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(f"+1 (843) 555-{i:05d}" for i in range(n))
+        began = time.time()
+        X.scan_batch([text], model)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_labels_equal_the_plain_double_loop():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        spans = [(int(a), int(a) + 3) for a in np.flatnonzero(rng.random(40) < 0.4) * 4]
+        base = []
+        for kind in range(4):
+            at = 0
+            while at < 150:
+                at += int(rng.integers(1, 60))
+                n = int(rng.integers(1, 12))
+                base.append((kind, at, at + n))
+                at += n
+        want = [min((k for k, a, b in base if s < b and a < e), default=X.OTHER) for s, e in spans]
+        assert X.token_labels(spans, base) == want
+
+
+def test_spelt_addresses_are_active():
+    spans = X.active_tokens("write joe at corp.example or sue (at) x.org, look at that. v. e.g. one.two")
+    text = "write joe at corp.example or sue (at) x.org, look at that. v. e.g. one.two"
+    assert [text[a:b] for a, b in spans] == ["joe", "at", "corp.example", "sue", "(at)", "x.org", "e.g", "one.two"]
