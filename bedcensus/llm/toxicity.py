@@ -7,7 +7,9 @@
 2. Matching: the lexicon's trie is intersected with a Levenshtein automaton
    (substitution, insertion, deletion, swap of neighbours); the product is made
    deterministic as words are read.  Entries of ``FUZZY_LENGTH`` letters or
-   more may differ by one edit.
+   more may differ by one edit, shorter ones by none.  The first letter is
+   never edited: a term whose first letter is wrong, missing or swapped is not
+   found.
 3. Context: a hit inside quotation marks or after a reporting verb counts as
    quoted; one near another hit or near an address to the reader counts as
    abuse.
