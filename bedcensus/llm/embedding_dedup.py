@@ -330,7 +330,8 @@ def near_duplicate_vectors(df: DataFrame, column: str = "embedding", threshold:
         "least_id",
     )
     known = written(known, "classes")
-    least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join below is a plain one, whose hot roots are split
+    least = written(known.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
     known = known.hint("merge").join(least.hint("merge"), "root").select("_digest", "n_links", "component_id")
     out = rows.select("vec_id", "_digest").hint("merge").join(known.hint("merge"), "_digest", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
