@@ -20,9 +20,12 @@ Scale:
 * Exact copies are one node (hash of the text) from the start and are never
   paired; the copies' rows are only joined to their node's class at the end.
 * Buckets of equal membership are verified once.  A bucket of over ``BLOCK``
-  texts is dealt into blocks, and every pair of blocks is one group, so no pair
-  in a bucket is left out and no task holds more than two blocks.  Tasks emit
-  links of a spanning forest, not pairs.
+  texts is verified in two steps.  First its blocks meet about ``PIVOTS`` of its
+  texts: rows in proportion to the bucket.  Most of a family then hangs together
+  through the pivots, and pairs inside that largest part need no look.  What is
+  left meets every text of the bucket, blocks against blocks, so no pair between
+  different parts is left out and no task holds more than two blocks.  Tasks
+  emit links of a spanning forest, not pairs.
 
 Edge cases: null texts and texts without words form no class with others; a
 null doc_id takes part like any other row and is never chosen as class id
@@ -53,6 +56,8 @@ COUNTERS = 1 << 20
 SLICES = 64
 MAX_FREQUENT = 1 << 19
 BLOCK = 2048
+#: Texts of a large bucket that all its others are compared with first, about.
+PIVOTS = 32
 HAS_WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 _U = np.uint64
@@ -273,11 +278,14 @@ def _features(nodes: DataFrame, weights: Weights) -> DataFrame:
     return expand_rows(nodes.select("node", "text"), make, "node bigint, feature binary")
 
 
-def verified_links(members: list[np.ndarray], sums: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def verified_links(
+    members: list[np.ndarray], sums: np.ndarray, side: np.ndarray, threshold: float, known: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links of a spanning forest of all pairs with similarity >= threshold.
 
     ``members``: (shingles, weights) of each text; ``side``: 0 or 1, pairs of
-    one side are compared only when there is a single side.
+    one side are compared only when there is a single side; ``known``: parts that
+    hang together already (their pairs are not compared).
     """
     sizes = [len(s) for s, _ in members]
     shingle = np.concatenate([s for s, _ in members])
@@ -285,7 +293,7 @@ def verified_links(members: list[np.ndarray], sums: np.ndarray, side: np.ndarray
     owner = np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(shingle, kind="stable")
     shingle, weight, owner = shingle[order], weight[order], owner[order]
-    group = np.arange(len(members))  # component of each member
+    group = np.arange(len(members)) if known is None else np.unique(known, return_inverse=True)[1]  # component of each member
     one_side = not side.any() or side.all()
     links = []
     for i, (s, w) in enumerate(members[:-1]):
@@ -314,14 +322,14 @@ def _verify(threshold: float):
             n = len(f) // 8
             members.append((np.frombuffer(f, "<u4", n), np.frombuffer(f, "<f4", n, 4 * n)))
         sums = np.asarray([w.sum(dtype=np.float64) for _, w in members])
-        links = verified_links(members, sums, table.column("side").to_numpy(), threshold)
+        links = verified_links(members, sums, table.column("side").to_numpy(), threshold, table.column("known").to_numpy())
         return pa.table({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 
     return run
 
 
-def bucket_groups(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``bucket``, ``g`` (pair of blocks), ``side``, ``node`` of the groups to verify."""
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """``bucket``, ``node``, ``n`` (texts in it) of the buckets to verify."""
     member = sketches.select("node", F.explode("keys").alias("bucket")).distinct()
     sets = member.groupBy("bucket").agg(
         F.count("*").alias("n"),
@@ -329,32 +337,54 @@ def bucket_groups(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
     )
     chosen = sets.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    blocks = chosen.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    inside = member.hint("merge").join(blocks, "bucket")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # block pairs (i, j), i <= j, that hold the member's block
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(
-            F.least(other, F.col("mine")).alias("i"), F.greatest(other, F.col("mine")).alias("j"), (other < F.col("mine")).cast("int").alias("side")
-        ),
-    )
-    placed = inside.withColumn("mine", mine).select("bucket", "node", F.explode(pairs).alias("p"))
-    return placed.select("bucket", (F.col("p.i").cast("bigint") * (1 << 31) + F.col("p.j")).alias("g"), F.col("p.side").alias("side"), "node")
+    return member.hint("merge").join(chosen.select("bucket", "n"), "bucket").select("bucket", "node", "n")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id (the class's least doc_id), class_size.
+def _blocks(n: str, block: int) -> F.Column:
+    return F.ceil(F.col(n) / block).cast("int")
+
+
+def _mine(blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def _each(blocks: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1))
+
+
+_GROUP = ["bucket", "g", "side", "node", "known"]
 
-    Also ``node`` (hash of the text), ``root`` (least node of the class, null
-    without words) and ``words`` (whether the text has any).
-    """
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", clean_text().alias("text")).withColumn("node", F.xxhash64("text"))
-    weights = Weights(keyed)
-    sketches = written(_sketches(keyed, weights).dropDuplicates(["node"]), "sketches")
-    groups = written(bucket_groups(sketches, block), "groups")
 
+def first_groups(inside: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``bucket``, ``g``, ``side``, ``node``, ``known``: small buckets whole, and
+    the blocks of large ones (side 1), each beside the bucket's pivots (side 0)."""
+    small = inside.where(F.col("n") <= block).select("bucket", F.lit(0).cast("bigint").alias("g"), F.lit(0).alias("side"), "node")
+    large = inside.where(F.col("n") > block)
+    every = _blocks("n", block)
+    members = large.select("bucket", _mine(every).cast("bigint").alias("g"), F.lit(1).alias("side"), "node")
+    pivot = F.pmod(F.xxhash64("bucket", "node"), F.ceil(F.col("n") / PIVOTS)) == 0
+    pivots = large.where(pivot).select("bucket", _each(every).alias("g"), F.lit(0).alias("side"), "node")
+    return small.union(members).union(pivots).select(*_GROUP[:-1], F.col("node").alias("known"))
+
+
+def rest_groups(inside: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The groups that compare what the pivots left of large buckets (side 0)
+    with all texts of their bucket (side 1)."""
+    large = inside.where(F.col("n") > block)
+    part = large.hint("merge").join(roots.hint("merge"), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
+    sizes = part.groupBy("bucket", "known").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("known", F.struct("size", "known")).alias("largest"), F.sum("size").alias("n"), F.max("size").alias("top"))
+    left = largest.select("bucket", "largest", (F.col("n") - F.col("top")).alias("r")).where("r > 0")
+    told = part.hint("merge").join(left.hint("merge"), "bucket")
+    rests, every = _blocks("r", block), _blocks("n", block)
+    pair = F.col("i") * (1 << 31) + F.col("j")
+    rest = told.where(F.col("known") != F.col("largest")).select("bucket", _mine(rests).cast("bigint").alias("i"), _each(every).alias("j"), F.lit(0).alias("side"), "node", "known")
+    members = told.select("bucket", _each(rests).alias("i"), _mine(every).cast("bigint").alias("j"), F.lit(1).alias("side"), "node", "known")
+    return rest.union(members).select("bucket", pair.alias("g"), "side", "node", "known")
+
+
+def _links(groups: DataFrame, keyed: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """The verified links (a, b) of written ``groups``."""
     # one text of each node that shares a bucket; copies are spread by doc_id
     copies = keyed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     wanted = groups.select("node").distinct().hint("merge").join(copies, "node").select(F.col("node").alias("_node"), "least_id")
@@ -364,8 +394,25 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block:
         .dropDuplicates(["node", "doc_id"])
     )
     featured = groups.hint("merge").join(_features(text, weights), "node")
-    links = featured.groupBy("bucket", "g").applyInArrow(_verify(threshold), "a bigint, b bigint")
-    roots = connected_components(written(links, "verified"))
+    return written(featured.groupBy("bucket", "g").applyInArrow(_verify(threshold), "a bigint, b bigint"), "verified")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, class_id (the class's least doc_id), class_size.
+
+    Also ``node`` (hash of the text), ``root`` (least node of the class, null
+    without words) and ``words`` (whether the text has any).
+    """
+    spark = docs.sparkSession
+    keyed = docs.select("doc_id", clean_text().alias("text")).withColumn("node", F.xxhash64("text"))
+    weights = Weights(keyed)
+    sketches = written(_sketches(keyed, weights).dropDuplicates(["node"]), "sketches")
+    inside = written(shared_buckets(sketches), "buckets")
+    links = _links(written(first_groups(inside, block), "groups"), keyed, weights, threshold)
+    roots = connected_components(links)
+    rest = written(rest_groups(inside, roots, block), "groups")
+    if not rest.isEmpty():
+        roots = connected_components(links.union(_links(rest, keyed, weights, threshold)))
 
     ids = keyed.select("doc_id", "node", F.col("text").rlike(HAS_WORD).alias("words"))
     nodes = ids.where("words").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bedcensus.llm import near_dedup as N
 from bedcensus.llm.components import connected_components
@@ -151,3 +152,65 @@ def test_batches_of_few_words(n):
     assert len(got) == (max(n - N.SHINGLE_WORDS + 1, 1) if n else 0)
     assert (got == N.shingles([" ".join(words), " ".join(long)])[0]).all()
     assert [len(g) for g in N.shingles(words)] == [1] * n
+
+
+def family(n, words, share, seed):
+    """n different texts of one template, each with its own few words."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        ws = list(base)
+        at = rng.randrange(words)
+        for k in range(rng.randrange(share)):
+            ws[(at + k) % words] = f"x{rng.randrange(10**7)}"
+        rows.append((i, " ".join(ws) + f" end{i}"))
+    return rows
+
+
+def test_rows_to_verify_grow_with_a_family(spark):
+    """One family: the rows of the groups are in proportion to it."""
+    made = {}
+    for n in (1500, 6000):
+        docs = spark.createDataFrame(family(n, 90, 4, 3), "doc_id bigint, text string")
+        keyed = docs.withColumn("node", F.xxhash64("text"))
+        sketches = N.written(N._sketches(keyed, N.Weights(keyed)), "t-sketches")
+        inside = N.written(N.shared_buckets(sketches), "t-inside")
+        largest = inside.agg(F.max("n")).first()[0]
+        assert largest > n // 4
+        groups = N.first_groups(inside, 200)
+        made[n] = (groups.count() / inside.count(), groups.groupBy("bucket", "g").count().agg(F.max("count")).first()[0])
+    assert all(per < 1.5 for per, _ in made.values())
+    assert all(most <= 400 for _, most in made.values())
+    classes = {r["class_id"] for r in N.near_duplicate_classes(spark.createDataFrame(family(1500, 90, 4, 3), "doc_id bigint, text string"), block=200).collect()}
+    assert classes == {0}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_loose_families_in_large_buckets_equal_brute_force(spark, seed, monkeypatch):
+    """Families whose members are partly too far apart, few pivots, small blocks."""
+    monkeypatch.setattr(N, "PIVOTS", 2)
+    rows = family(70, 60, 12, seed) + [(100 + i, t) for i, t in family(60, 40, 9, seed + 10)]
+    rows += [(200 + i, f"{t} and a tail of other words to make it differ a bit {i}") for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    roots = union_find(len(rows), brute_links([t for _, t in rows], N.THRESHOLD))
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(docs, block=6).collect()}
+    assert got == {rows[i][0]: rows[r][0] for i, r in enumerate(roots)}
+
+
+def test_recall_on_planted_near_copies(spark):
+    """Copies of long texts with a few words changed, all at 0.8 or above: each is found."""
+    rng = random.Random(6)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if r["text"] and len(r["text"].split()) > 80][:150]
+    planted = []
+    for i, t in docs:
+        ws = t.split()
+        for _ in range(max(1, len(ws) // 60)):
+            ws[rng.randrange(len(ws))] = f"new{rng.randrange(10**6)}"
+        planted.append((10**6 + i, " ".join(ws)))
+    rows = docs + planted
+    roots = union_find(len(rows), brute_links([t for _, t in rows], N.THRESHOLD))
+    near = [k for k in range(len(docs)) if roots[k] == roots[len(docs) + k]]
+    got = {r["doc_id"]: r["class_id"] for r in N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = sum(got[docs[k][0]] == got[planted[k][0]] for k in near)
+    assert len(near) >= 100 and found == len(near)
