@@ -102,6 +102,8 @@ LAYOUT_NAMES = frozenset(
     "site slot small sticky title top unit wrap wrapper x".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that are one block of a text, never the container of a whole one.
+TEXT_BLOCKS = HEADINGS | frozenset("address blockquote caption dd dt figcaption p pre summary".split())
 MAIN_TAGS = frozenset(["article", "main"])
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 #: One attribute: whole name, then its value (in a page that is cut off, to the end).
@@ -463,7 +465,7 @@ def judge(wrapper: list[dict]) -> list[dict]:
         chosen, parts = None, wrapper
         while True:
             total = sum(map(mass, parts))
-            inner = [p for p in parts if "c" in p and not p["r"] and 10 * mass(p) >= 7 * total > 0]
+            inner = [p for p in parts if "c" in p and not p["r"] and p["k"].split(" ")[0] not in TEXT_BLOCKS and 10 * mass(p) >= 7 * total > 0]
             if not inner:
                 return chosen
             chosen, parts = inner[0], inner[0]["c"]
