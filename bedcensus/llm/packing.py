@@ -213,10 +213,14 @@ def _with_end(ids: np.ndarray, starts: np.ndarray, eos: int) -> tuple[np.ndarray
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids).
+
+    The ids are little-endian 32-bit numbers in one binary value, which Spark
+    writes and shuffles as it is (:func:`unpacked` makes an array of it).
+    """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
+    schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer_path)
@@ -234,8 +238,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             doc = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row))
             cols = [doc, pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             if with_ids:  # the pieces stand one after the other in ids
-                ends = np.concatenate([[0], at + length]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4"))))
+                ends = 4 * np.concatenate([[0], at + length]).astype(np.int32)
+                cols.append(pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
             made = pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             for a in range(0, len(row), ARROW_ROWS):
                 yield made.slice(a, ARROW_ROWS)
@@ -244,6 +248,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", clean_text().alias("text")).mapInArrow(run, schema)
 
 
+def unpacked(ids: pa.Array) -> pa.Array:
+    """Binary ids as lists of int32, without copying them."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    _, ends, data = ids.buffers()
+    ends = np.frombuffer(ends, np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    values = np.frombuffer(data, "<i4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if data else np.zeros(0, "<i4")
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4), pa.array(values))
+
+
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Pack a histogram of lengths.
 
@@ -321,7 +335,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKE
     ``pieces`` is written with a number for each row.  A piece's rank within its
     length is its number in a bucket (a hash of the row's number) plus what the
     buckets before hold, so no task gathers all pieces of one frequent length or
-    all pieces of a document that has very many copies.
+    all pieces of a document that has very many copies.  Binary ``ids`` come out
+    as arrays.
     """
     given = without(pieces, ["sequence_id", "offset", "_row", "_b", "_before", "_n", "_rank"])
     pieces = written(given.withColumn("_row", F.monotonically_increasing_id()), "pieces")
@@ -348,11 +363,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKE
             rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy()
             e = entries[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
             at = rank - e[:, 1]
-            return [pa.array(e[:, 4] + at // e[:, 3]), pa.array(e[:, 5] + (at % e[:, 3]) * length)]
+            ids = [unpacked(batch.column(batch.schema.get_field_index("ids")))] if with_ids else []
+            return [*ids, pa.array(e[:, 4] + at // e[:, 3]), pa.array(e[:, 5] + (at % e[:, 3]) * length)]
 
         return work
 
-    return append_columns(ranked, make, [("sequence_id", "bigint"), ("offset", "bigint")]).drop("_rank")
+    with_ids = dict(given.dtypes).get("ids") == "binary"
+    return append_columns(ranked, make, [("ids", "array<int>")] * with_ids + [("sequence_id", "bigint"), ("offset", "bigint")]).drop("_rank")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

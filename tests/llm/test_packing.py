@@ -82,6 +82,24 @@ def test_slices_cover_all_rows(monkeypatch):
     assert list(P._slices(iter([pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]))) == []
 
 
+def test_ids_survive_the_binary_form(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b " * 5000)], "doc_id bigint, text string")
+    )
+    rows = docs.collect()
+    want = dict(zip([r["doc_id"] for r in rows], whole_text_ids([r["text"] or "" for r in rows])))
+    packed = P.pack_documents(docs, with_ids=True)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    got = {}
+    for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == want
+    values = pa.array([b"\1\0\0\0\2\0\0\0", b"", b"\3\0\0\0"])
+    assert P.unpacked(values).to_pylist() == [[1, 2], [], [3]]
+    assert P.unpacked(values.slice(1)).to_pylist() == [[], [3]] and P.unpacked(values.slice(3)).to_pylist() == []
+
+
 def test_pieces_of_one_copied_text_are_ranked_in_many_buckets(spark):
     """Copies under one id and text have numbers of their own."""
     docs = spark.range(3000).selectExpr("1 as doc_id", "'same words' as text")
