@@ -11,7 +11,7 @@ stratum.  With probability ``1 - DELTA`` all rules together falsely reject at
 most ``ALPHA`` of the good texts of every stratum.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null
-language is a stratum of its own; labels without a document, or with a null
+language and an empty one are one stratum; labels without a document, or with a null
 id or quality, are ignored, and a document labelled twice counts twice; repeated
 documents are judged alike; without labels every text that passes the base
 rules is kept; an empty table gives no rows.

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .common import bounded_batches, read_table, written
@@ -160,14 +162,30 @@ class Window:
         return memoryview(self.data)[k : k + n]
 
 
+def is_record(data: bytes) -> bool:
+    """Whether ``data`` begins with a whole WARC record: version, type and
+    length, and a block of that length."""
+    head, gap, rest = data.partition(b"\r\n\r\n")
+    if not gap or not _VERSION.match(head):
+        return False
+    fields = {line.partition(b":")[0].strip().lower(): line.partition(b":")[2].strip() for line in head.split(b"\r\n")[1:]}
+    size = fields.get(b"content-length", b"")
+    return b"warc-type" in fields and size.isdigit() and int(size) <= len(rest)
+
+
 def decode_member(window: Window, at: int) -> tuple[bytes, int] | None:
-    """The decoded member that starts at ``at`` and its end, if it is a WARC one."""
+    """The decoded member that starts at ``at`` and its end, if it is a WARC one.
+
+    A record that the end of the file cuts off is an error, not a missing one.
+    """
     z = zlib.decompressobj(31)
     out: list[bytes] = []
     pos, checked = at, False
     while not z.eof:
         chunk = window.read(pos, DECODE_BYTES)
         if not chunk:
+            if checked:
+                raise ValueError(f"the archive ends inside the record at offset {at}")
             return None
         try:
             part = z.decompress(chunk)
@@ -179,7 +197,11 @@ def decode_member(window: Window, at: int) -> tuple[bytes, int] | None:
             if not b"".join(out).startswith(b"WARC/"):
                 return None
             checked = True
-    return (b"".join(out), pos - len(z.unused_data)) if checked else None
+    data = b"".join(out)
+    return (data, pos - len(z.unused_data)) if checked and is_record(data) else None
+
+
+_VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 
 
 def find_magic(window: Window, at: int, end: int) -> int:
@@ -280,7 +302,12 @@ def page_of(name: str):
 
 
 def archive_pages(pages: DataFrame, folder: str, with_payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Write ``pages`` to archives in ``folder`` and read them back."""
+    """Write ``pages`` to archives in ``folder`` and read them back.
+
+    Page ids are integers (record ids are made of them); other types are an error.
+    """
+    if not isinstance(pages.schema["page_id"].dataType, T.IntegralType):
+        raise TypeError(f"page_id must be an integer, not {pages.schema['page_id'].dataType.simpleString()}")
     manifest = write_archives(record_types(pages), folder)
     back = read_archives(manifest, range_bytes, with_payload)
     return back.where(F.col("record_type").isin("response", "revisit")).select(

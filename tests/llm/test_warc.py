@@ -84,3 +84,26 @@ def test_edges(spark):
     assert got[3, None] == (0, "response", None)
     assert all(got[k][1] == "response" for k in [(5, "e"), (6, "f"), (None, "g"), (None, "h"), (7, "i"), (8, "j")])
     assert W.archive_pages(pages.limit(0), scratch_path(spark, "t-warc")).count() == 0
+
+
+def records(data):
+    return [f["warc-record-id"] for _, f, _ in W.records_in_range(io.BytesIO(data), len(data), 0, len(data))]
+
+
+def test_candidates_are_checked_by_their_headers():
+    good = [W.make_record(i, "u", "text " * 40, "00" * 20, "response", None) for i in range(3)]
+    odd = [b"WARC/ as text", b"WARC/1.1\r\nno blank line", b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 99\r\n\r\nshort", b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: -1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 0\r\n\r\n"]
+    data = b"".join(g + gzip.compress(o) for g, o in zip(good, odd)) + b"".join(map(gzip.compress, odd[3:]))
+    assert records(data) == records(b"".join(good)) and len(records(data)) == 3
+
+
+def test_a_cut_off_record_is_an_error():
+    member = W.make_record(1, "u", "some text " * 40, "00" * 20, "response", None)
+    with pytest.raises(ValueError, match="ends inside the record at offset"):
+        records(member + member[:-9])
+
+
+def test_page_ids_are_integers(spark):
+    pages = spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string")
+    with pytest.raises(TypeError, match="page_id must be an integer"):
+        W.archive_pages(pages, scratch_path(spark, "t-warc"))
