@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), ``docs`` being what the stage before
 left, and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes each stage's result as Parquet in the shared
 folder and reads it back, so a lost executor never sends the work back beyond
-the last stage.  ``n_chars`` follows the text.
+the last stage; what the stages before wrote is then deleted.  ``n_chars`` follows the text.
 
 Edge cases, in every stage: a null or empty text has no words, so the quality
 rules reject it and the later stages, given one, keep it as it is; rows that
@@ -27,6 +27,7 @@ from bedcensus.llm.line_dedup import dedup_lines
 from bedcensus.llm.near_dedup import drop_near_duplicates
 from bedcensus.llm.packing import pack_documents
 from bedcensus.llm.quality import filter_quality
+from bedcensus.session import drop_scratch, scratch_paths
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -75,6 +76,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    held: list[str] = []
     for name, stage in STAGES:
+        before = scratch_paths()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = [p for p in scratch_paths() if p not in before]
+        drop_scratch(spark, held + made[:-1])  # the last one is the stage's result
+        held = made[-1:]
     return docs
