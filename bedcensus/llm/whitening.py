@@ -1,7 +1,7 @@
 """Whitening of embeddings by pivoted Cholesky and one-sided Jacobi (operator 11).
 
-Entries become integers ``x = floor(64 * c) + 1000000``.  The fit list holds
-each distinct x vector once.  Two passes over it sum what its covariance needs,
+Entries become integers ``x = floor(64 * c)`` (a constant added to all of them
+would change no result below).  The fit list holds each distinct x vector once.  Two passes over it sum what its covariance needs,
 in exact integers: first the sums S of each dimension, then the products of
 ``z = x - round(S / n)`` (centred before multiplying; the rest of the mean,
 at most a half, is taken out exactly afterwards).  Every task sends its sums,
@@ -37,7 +37,6 @@ from .common import append_columns, bounded_batches, read_table, without, writte
 from .vectors import by_length, floored, is_finite, saturated
 
 SCALE = 64
-OFFSET = 1_000_000
 COMPONENTS = 16
 #: Bound of an entry's integer.
 LIMIT = 2**50
