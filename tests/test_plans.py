@@ -104,3 +104,27 @@ def test_flag_pass_has_no_join_on_stay_days(spark, queries):
     assert "SortMergeJoin" not in plan
     for ex in _exchanges(plan):
         assert "timeline#" in ex or ("day#" in ex and "hadm_id#" in ex), ex
+
+
+@pytest.mark.parametrize("name", ["repeated_occupancy_auto", "repeated_occupancy_old_auto", "repeated_bed_occupancy", "repeated_daily_actual_distinct"])
+def test_repeated_ids_expand_no_stay_into_days(spark, queries, name):
+    """Only span events are generated, and the spans of an id are shuffled by
+    (id, side, start) before (id, side), so a hot id is spread over its days."""
+    plan = _plan(queries[name](spark, SF_SMALL))
+    assert "sequence(" not in plan
+    by_id = [ex for ex in _exchanges(plan) if "side#" in ex]
+    assert any(re.search(r"hadm_id#\d+L?, side#\d+, s#", ex) for ex in by_id) and len(by_id) == 2
+
+
+def test_one_hot_id_is_spread_and_merged(spark):
+    """An id with nearly all rows: at most one row per side and start day meets in a task."""
+    from bedcensus.plans import forms
+
+    spans = spark.range(200_000).selectExpr(
+        "if(id % 50 = 0, id, 7) as hadm_id", "date_add(date'2000-01-01', cast(id * 37 % 400 as int)) as s", "date_add(date'2000-01-01', cast(id * 37 % 400 + id % 3 - 1 as int)) as e"
+    )
+    union = forms.interval_union(spans, ["hadm_id"])
+    hot = [(str(r["s"]), str(r["e"])) for r in union.where("hadm_id = 7").collect()]
+    assert hot == [("2000-01-02", "2001-02-04")]  # days 1 to 400
+    lone = union.where("hadm_id <> 7")
+    assert lone.count() == spans.where("hadm_id <> 7 and s <= e").select("hadm_id").distinct().count()
