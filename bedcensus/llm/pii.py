@@ -109,7 +109,12 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_ACTIVE = re.compile(r"[^\x20\x09-\x0D]*(?:[0-9@+]|[A-Za-z]\.[A-Za-z])[^\x20\x09-\x0D]*")
+#: What makes a token active: one of these, or a dot between letters.
+_DOT = re.compile(r"\.(?=[A-Za-z])")
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_BLANKS = frozenset("\x20\x09\n\x0b\x0c\r")
+_AT = re.compile(r"\x20[\[({]?at[\])}]?\x20", re.I)
 #: A written-out @ between a name and a dotted token.
 _SPELT_AT = re.compile(r"(?<![^\x20\x09-\x0D])([A-Za-z0-9._%+-]{2,64})\x20([\[({]?at[\])}]?)\x20(?=[A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9-]{1,64})+)", re.I)
 _EDGE = "\"'()[]{}<>,;:!?*|#$%&="
@@ -137,13 +142,26 @@ def shape_of(token: str) -> str:
 
 def active_tokens(text: str) -> list[tuple[int, int]]:
     """Spans of the active tokens, punctuation at their edges left out."""
-    out = []
-    for m in _ACTIVE.finditer(text):
-        t = m.group()
-        a = m.start() + len(t) - len(t.lstrip(_EDGE))
+    at = [m.start() for m in _HINT.finditer(text)]
+    dots = [k for k in (m.start() for m in _DOT.finditer(text)) if k and text[k - 1] in _LETTERS]
+    if dots:
+        at = sorted(at + dots)
+    out, end = [], 0
+    for k in at:
+        if k < end:
+            continue
+        start = k
+        while start > end and text[start - 1] not in _BLANKS:
+            start -= 1
+        found = _SPACE.search(text, k)
+        end = found.start() if found else len(text)
+        t = text[start:end]
+        a = start + len(t) - len(t.lstrip(_EDGE))
         b = a + len(t.strip(_EDGE).rstrip("."))
         if a < b:
             out.append((a, b))
+    if not _AT.search(text):
+        return out
     spelt = {m.span(k) for m in _SPELT_AT.finditer(text) for k in (1, 2)}
     return sorted(spelt.union(out)) if spelt else out
 
