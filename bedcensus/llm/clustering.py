@@ -168,7 +168,7 @@ centroid_{r + 1} as (
     return f"""with kept as (
   select row_number() over () as row_no, vec_id, cast(embedding as double[]) as v from embeddings
   where embedding is not null and len(embedding) = {dimensions}
-    and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0),
+    and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
 entry as (
   select row_no, vec_id, d, cast(floor({scale} * v[d]) as bigint) as x
   from kept, (select unnest(range(1, {dimensions + 1})) as d)),

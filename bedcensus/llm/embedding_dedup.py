@@ -348,13 +348,13 @@ def op12_embedding_near_dedup(spark, sf_dir):
 
 
 OP12_SQL = f"""with rows_ as (
-  select row_number() over () as r, vec_id, cast(embedding as double[]) as v,
-    embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0
-      and len(list_filter(embedding, c -> c <> 0)) > 0 as usable
+  select row_number() over () as r, vec_id,
+    case when embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0
+      and len([c for c in embedding if c <> 0]) > 0 then cast(embedding as double[]) end as v
   from embeddings),
 link as (
   select a.r as a, b.r as b, b.vec_id from rows_ a join rows_ b on a.r <> b.r and len(a.v) = len(b.v)
-  where a.usable and b.usable and list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+  where list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
 reached as (
   with recursive reach(r, s) as (
     select distinct a, a from link union select reach.r, link.b from reach join link on reach.s = link.a)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bedcensus.llm import clustering as C
 from bedcensus.llm import embedding_dedup as E
 from bedcensus.llm import whitening as W
+from compare import assert_same
+from oracle_check import duck
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, [], [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0]]
@@ -277,3 +281,17 @@ def test_clusters_of_large_entries_are_exact(spark, tmp_path):
 def test_fewer_vectors_than_centroids(spark, tmp_path, n):
     rows = [(i, [float(i)] * 64) for i in range(n)]
     assert run_clusters(spark, tmp_path, rows) == brute_clusters(rows)
+
+
+def test_queries_equal_their_sql(spark):
+    assert_same(E.op12_embedding_near_dedup(spark, SF), duck(SF), E.OP12_SQL, "op12")
+    assert_same(C.op13_centroid_clustering(spark, SF), duck(SF), C.OP13_SQL, "op13")
+
+
+def test_sql_equals_brute_force_where_there_are_links():
+    rng = np.random.default_rng(14)
+    rows = families(rng, 64, [1] * 50 + [2] * 20 + [7] * 5 + [30], 0.15) + [(900, None), (901, []), (902, [0.0] * 64), (903, [None] + [1.0] * 63)]
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    assert sorted(con.execute(E.OP12_SQL).fetchall(), key=repr) == brute_links(rows)
+    assert sorted(con.execute(C.OP13_SQL).fetchall(), key=repr) == brute_clusters(rows)
