@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _TWO_POW_32 = float(2**32)
 
+#: Days of a block: one bit each of a BIGINT, which stays positive.
+BLOCK_DAYS = 63
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -70,6 +73,35 @@ def day_span(start: Column, end: Column, lo: date, hi: date) -> Column:
     return F.when(s <= e, F.sequence(s, e))
 
 
+def _bit(day: Column | str) -> Column:
+    """Place of ``day`` in its block, 0 to ``BLOCK_DAYS - 1``."""
+    return F.pmod(F.unix_date(_c(day)), F.lit(BLOCK_DAYS)).cast("int")
+
+
+def block_day(day: Column | str) -> Column:
+    """First day of the block of ``BLOCK_DAYS`` days that holds ``day``."""
+    return F.date_sub(_c(day), _bit(day))
+
+
+def day_bits(day: Column | str) -> Column:
+    """``day`` as the set of its block that holds only it; ``bit_or`` of such
+    sets is the set of all their days, in eight bytes."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit(day))
+
+
+def bit_places(bits: Column) -> Column:
+    """Places from the first to the last day of a set, NULL for an empty one;
+    those between that are not in it are left out by :func:`holds`."""
+    first = F.bit_count(bits.bitwiseAND(-bits) - 1)
+    last = F.length(F.bin(bits)) - 1
+    return F.when(bits > 0, F.sequence(first, last))
+
+
+def holds(bits: Column | str, place: Column | str) -> Column:
+    """Whether the day at ``place`` is in the set; NULL for a NULL set."""
+    return F.getbit(_c(bits), _c(place)) == 1
+
+
 def uniform01(*key_cols: Column | str, salt: str = "") -> Column:
     """Reproducible uniform draw in [0, 1) from the row key.
 

@@ -13,30 +13,51 @@ from pyspark.sql import functions as F
 from bedcensus.operators.reports import histogram
 
 
-def lookahead_presence(flags: DataFrame, days: int = 3) -> DataFrame:
+def lookahead_presence(flags: DataFrame, days: int = 3, counted: bool = False) -> DataFrame:
     """C20: ``(time, predicted)`` — left equi-join of the actually present rows
     with the rows of the same id ``days`` later, keyed on (id, day + days).
 
     Row-level output: one row per (present row, matching later row), as the
-    original. Only the literal ("join") form builds C22 from this table; the
-    other forms count the matches without materialising the pairs
+    original. With ``counted`` equal rows are one row with their number in
+    ``copies``. The literal ("join") form builds C22 from that table, as the
+    rows themselves grow with the square of an id's rows per day; the other
+    forms count the matches without joining
     (:func:`bedcensus.plans.forms.lookahead_counts_by_id`, the sweep).
     """
-    now = flags.where(F.col("actual")).select(
-        F.col("timeline").alias("time"),
-        F.col("hadm_id").alias("_h"),
-        F.date_add("timeline", days).alias("_d"),
+    # equal rows meet before the join, with map-side partial counts: one row
+    # per (id, day) on either side
+    now = (
+        flags.where(F.col("actual"))
+        .groupBy(F.col("hadm_id").alias("_h"), F.date_add("timeline", days).alias("_d"))
+        .agg(F.count("*").alias("_now"))
     )
-    future = flags.select(
-        F.col("hadm_id").alias("_h"), F.col("timeline").alias("_d"), F.col("predicted")
+    flag = F.col("predicted")
+    future = (
+        flags.where(F.col("hadm_id").isNotNull())
+        .groupBy(F.col("hadm_id").alias("_h"), F.col("timeline").alias("_d"))
+        .agg(F.count_if(flag).alias("_yes"), F.count_if(~flag).alias("_no"), F.count_if(flag.isNull()).alias("_open"))
     )
+    unmatched = F.when(F.col("_yes").isNull(), 1).otherwise(F.col("_open"))
+    by_flag = [(F.lit(True), F.col("_yes")), (F.lit(False), F.col("_no")), (F.lit(None).cast("boolean"), unmatched)]
     # both sides grow with the stay-days: sort-merge, never broadcast
-    return now.join(future.hint("merge"), ["_h", "_d"], "left").select("time", "predicted")
+    found = (
+        now.join(future.hint("merge"), ["_h", "_d"], "left")
+        .select("_d", "_now", F.inline(F.array(*[F.struct(f.alias("predicted"), n.alias("_later")) for f, n in by_flag])))
+        .where(F.col("_later") > 0)
+        .select(F.date_sub("_d", days).alias("time"), "predicted", (F.col("_now") * F.col("_later")).alias("copies"))
+    )
+    if counted:
+        return found
+    return found.select("time", "predicted", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
 
 
 def lookahead_daily(lookahead: DataFrame) -> DataFrame:
-    """``(time, pn)``: non-null look-ahead flags per day, TRUE and FALSE alike."""
-    return lookahead.groupBy("time").agg(F.count("predicted").alias("pn"))
+    """``(time, pn)``: non-null look-ahead flags per day, TRUE and FALSE alike,
+    of rows or of counted rows (``copies``)."""
+    if "copies" not in lookahead.columns:
+        return lookahead.groupBy("time").agg(F.count("predicted").alias("pn"))
+    known = F.when(F.col("predicted").isNotNull(), F.col("copies")).otherwise(0)
+    return lookahead.groupBy("time").agg(F.sum(known).alias("pn"))
 
 
 def lookahead_error_histogram(

@@ -11,13 +11,18 @@ The original full outer joins stay-days on (day, id) and then applies
 DISTINCT. Here each side is deduplicated *before* the join, which gives the
 same distinct result but never emits all pairs of a duplicated id. The dedup
 aggregates combine map-side, so a hot key is collapsed before its shuffle.
+They hold the days of an id as one set of bits per block of 63 days: a stay is
+one or two rows of a shuffle, not one per day, and a set is unfolded into its
+days only after the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bedcensus.functions.columns import bit_places, block_day, day_bits, holds
+
 
 def _presence_keys(days: DataFrame, id_alias: str) -> DataFrame:
     """Distinct (day, id) of one side, keyed so that NULL ids meet each other.
@@ -73,31 +78,54 @@ def daily_occupancy_by_side(pred_days: DataFrame, act_days: DataFrame) -> DataFr
     )
 
 
-def _timeline_side(days: DataFrame, adm_alias: str, id_alias: str) -> DataFrame:
-    # Dedup with map-side partial aggregation first: a hot (day, id) collapses
-    # to one row per admission date and task before anything is shuffled.
-    return days.select(
-        "day",
-        F.col("admittime").alias(adm_alias),
-        F.col("hadm_id").alias(id_alias),
-    ).dropDuplicates(["day", adm_alias, id_alias])
+def _timeline_side(days: DataFrame, side: str) -> DataFrame:
+    """Per id and block of one side: its admission dates with the set of days
+    of each, and the set of all its days.
+
+    Dedup with map-side partial aggregation first: a hot id collapses to one
+    row per admission date, block and task before anything is shuffled, so the
+    list that follows has at most one entry per admission date.
+    """
+    keyed = days.select("hadm_id", "admittime", block_day("day").alias("block_day"), day_bits("day").alias("bits"))
+    per_date = keyed.groupBy("hadm_id", "admittime", "block_day").agg(F.bit_or("bits").alias("bits"))
+    return per_date.groupBy("hadm_id", "block_day").agg(
+        F.collect_list(F.struct("admittime", "bits")).alias(f"{side}_dates"), F.bit_or("bits").alias(f"{side}_any")
+    )
 
 
 def presence_timeline(pred_days: DataFrame, act_days: DataFrame) -> DataFrame:
     """Distinct ``(timeline, predicted_admittime, predicted_hadm_id,
     actual_admittime, actual_hadm_id)`` of the full outer join on (day, id).
 
-    NULL ids never match (plain equality), as in the original.
+    NULL ids never match (plain equality), as in the original. The join is on
+    (block, id); inside a block each admission date of one side is paired with
+    each of the other on the days both hold, and stands alone on the days the
+    other side's dates leave free.
     """
-    p = _timeline_side(pred_days, "predicted_admittime", "predicted_hadm_id").withColumnRenamed("day", "p_day")
-    a = _timeline_side(act_days, "actual_admittime", "actual_hadm_id").withColumnRenamed("day", "a_day")
-    cond = (F.col("p_day") == F.col("a_day")) & (F.col("predicted_hadm_id") == F.col("actual_hadm_id"))
-    return p.join(a, cond, "full_outer").select(
-        F.coalesce("p_day", "a_day").alias("timeline"),
-        "predicted_admittime",
-        "predicted_hadm_id",
-        "actual_admittime",
-        "actual_hadm_id",
+    sides = _timeline_side(pred_days, "p").join(_timeline_side(act_days, "a"), ["hadm_id", "block_day"], "full_outer")
+    nobody = F.struct(F.lit(None).cast("date").alias("admittime"), F.lit(None).cast("bigint").alias("bits"))
+
+    def dates(side: str) -> Column:
+        return F.explode(F.concat(F.array(nobody), F.coalesce(F.col(f"{side}_dates"), F.array())))
+
+    def free(side: str) -> Column:
+        return F.bitwise_not(F.coalesce(F.col(f"{side}_any"), F.lit(0).cast("bigint")))
+
+    paired = sides.select("*", dates("p").alias("p")).select("*", dates("a").alias("a"))
+    p, a = F.col("p.bits"), F.col("a.bits")
+    days = F.coalesce(p.bitwiseAND(a), p.bitwiseAND(free("a")), a.bitwiseAND(free("p")))
+    return (
+        paired.select("hadm_id", "block_day", "p", "a", days.alias("bits"))
+        .where(F.col("bits") > 0)
+        .select("*", F.explode(bit_places(F.col("bits"))).alias("_place"))
+        .where(holds("bits", "_place"))
+        .select(
+            F.date_add("block_day", F.col("_place")).alias("timeline"),
+            F.col("p.admittime").alias("predicted_admittime"),
+            F.when(p.isNotNull(), F.col("hadm_id")).alias("predicted_hadm_id"),
+            F.col("a.admittime").alias("actual_admittime"),
+            F.when(a.isNotNull(), F.col("hadm_id")).alias("actual_hadm_id"),
+        )
     )
 
 

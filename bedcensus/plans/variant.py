@@ -260,7 +260,8 @@ class Variant:
         """Literal chain: ``(time, pn)`` from the offset self-join and
         ``(timeline, n)`` distinct actual ids, both from the presence timeline."""
         tl = self.timeline_new()
-        per_day = L.lookahead_daily(L.lookahead_presence(O.presence_flags(tl), self.cfg.lookahead_days))
+        later = L.lookahead_presence(O.presence_flags(tl), self.cfg.lookahead_days, counted=True)
+        per_day = L.lookahead_daily(later)
         return per_day, O.daily_actual_distinct(tl)
 
     # -- results --------------------------------------------------------------
