@@ -24,27 +24,47 @@ from pyspark.sql import functions as F
 from bedcensus.functions.columns import bit_places, block_day, day_bits, holds
 
 
-def _presence_keys(days: DataFrame, id_alias: str) -> DataFrame:
-    """Distinct (day, id) of one side, keyed so that NULL ids meet each other.
+def _presence_blocks(days: DataFrame, bits: str) -> DataFrame:
+    """Distinct (day, id) of one side, as one set of days per id and block,
+    keyed so that NULL ids meet each other.
 
     ``_k`` / ``_null`` encode the id so a NULL id joins the other side's NULL
     id of the same day: the original's two ``(day, NULL, NULL)`` rows collapse
     under its DISTINCT, and here they meet in the join instead.
     """
-    return days.select(
-        "day",
+    keyed = days.select(
+        block_day("day").alias("block_day"),
         F.coalesce(F.col("hadm_id"), F.lit(0).cast("bigint")).alias("_k"),
         F.col("hadm_id").isNull().alias("_null"),
-        F.col("hadm_id").alias(id_alias),
-    ).dropDuplicates(["day", "_k", "_null"])
+        day_bits("day").alias("_bits"),
+    )
+    return keyed.groupBy("block_day", "_k", "_null").agg(F.bit_or("_bits").alias(bits))
 
 
 def align_presence(pred_days: DataFrame, act_days: DataFrame) -> DataFrame:
     """Distinct ``(timeline, predicted_hadm_id, actual_hadm_id)``."""
-    p = _presence_keys(pred_days, "predicted_hadm_id")
-    a = _presence_keys(act_days, "actual_hadm_id")
-    return p.join(a, ["day", "_k", "_null"], "full_outer").select(
-        F.col("day").alias("timeline"), "predicted_hadm_id", "actual_hadm_id"
+    p = _presence_blocks(pred_days, "_p")
+    a = _presence_blocks(act_days, "_a")
+    here = p.join(a, ["block_day", "_k", "_null"], "full_outer").select(
+        "block_day",
+        F.when(~F.col("_null"), F.col("_k")).alias("hadm_id"),
+        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in ("_p", "_a")],
+    )
+    return unfold_presence(here, "_p", "_a")
+
+
+def unfold_presence(blocks: DataFrame, p: str, a: str) -> DataFrame:
+    """``(timeline, predicted_hadm_id, actual_hadm_id)`` of ``(block_day,
+    hadm_id)`` with the sets ``p`` and ``a`` of days present on each side."""
+    either = F.col(p).bitwiseOR(F.col(a))
+    return (
+        blocks.select("block_day", "hadm_id", p, a, F.explode(bit_places(either)).alias("_place"))
+        .where(holds(either, "_place"))
+        .select(
+            F.date_add("block_day", F.col("_place")).alias("timeline"),
+            F.when(holds(p, "_place"), F.col("hadm_id")).alias("predicted_hadm_id"),
+            F.when(holds(a, "_place"), F.col("hadm_id")).alias("actual_hadm_id"),
+        )
     )
 
 
