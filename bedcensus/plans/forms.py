@@ -360,43 +360,42 @@ def lookahead_counts_by_id(ev: DataFrame, window: DayWindow, lookahead_days: int
     then has ``P*A`` rows for (t, h) when both are positive, else ``P + A``;
     ``A > 0`` of them are "actually present" rows (``P*A`` or ``A``). Each
     present row at (t, h) pairs with every row at (t + lag, h), so
-    ``pn(t) = sum_h now(t, h) * rows(t + lag, h)``: an equi-join of two
-    tables unique on (day, id). Every shuffle follows a map-side partial
-    aggregate and is keyed on (day, id), so one hot id spreads over its days.
+    ``pn(t) = sum_h now(t, h) * rows(t + lag, h)``. Both factors are counted
+    from one set of days per (id, admission date, block of days) and side,
+    which is one or two rows of a shuffle per stay; the days are unfolded only
+    where they are counted. One hot id spreads over its blocks, each with at
+    most one entry per admission date.
     """
     lag = int(lookahead_days)
     rows = presence_flag_rows(ev, window, window).where(F.col("hadm_id").isNotNull())
-    # partial aggregation first: a hot (day, id) becomes one row per
-    # admission date and task before the shuffle
-    per_date = rows.groupBy("day", "hadm_id", "admittime").agg(
-        F.max("p").alias("p"), F.max("a").alias("a")
+    # a day's presence counts on the day itself (p, a) and, ``lag`` days
+    # earlier, as what is found there by looking ahead (lp, la)
+    seen = F.explode(F.array(F.struct("day", F.lit(False).alias("ahead")), F.struct(F.date_sub("day", lag).alias("day"), F.lit(True).alias("ahead"))))
+    placed = rows.select("hadm_id", "admittime", "p", "a", seen.alias("_seen")).select("hadm_id", "admittime", "p", "a", "_seen.*")
+    ahead = F.col("ahead")
+    sets = {"p": F.col("p") & ~ahead, "a": F.col("a") & ~ahead, "lp": F.col("p") & ahead, "la": F.col("a") & ahead}
+    # partial aggregation first: a hot id becomes one row per admission date,
+    # block and task before the shuffle
+    per_date = placed.withColumn("block_day", block_day("day")).groupBy("hadm_id", "admittime", "block_day").agg(
+        *[F.bit_or(F.when(here, day_bits("day")).otherwise(0)).alias(c) for c, here in sets.items()]
     )
-    per_id = per_date.groupBy("day", "hadm_id").agg(
-        F.count_if(F.col("p")).alias("np"), F.count_if(F.col("a")).alias("na")
+    # an id has at most one entry per admission date in a block
+    per_id = per_date.groupBy("hadm_id", "block_day").agg(
+        F.collect_list(F.struct(*sets)).alias("dates"), F.bit_or("a").alias("a_any")
     )
-    both = (F.col("np") > 0) & (F.col("na") > 0)
-    counted = per_id.select(
-        "day",
-        "hadm_id",
-        F.when(both, F.col("np") * F.col("na")).otherwise(F.col("np") + F.col("na")).alias("rows"),
-        F.when(both, F.col("np") * F.col("na")).otherwise(F.col("na")).alias("now"),
-    )
-    now = counted.where(F.col("now") > 0).select(
-        F.col("day").alias("time"), "hadm_id", "now", F.date_add("day", lag).alias("_d")
-    )
-    fut = counted.select(F.col("day").alias("_d"), "hadm_id", F.col("rows").alias("_rows"))
-    # both sides grow with the stay-days: a sort-merge join, never a
-    # broadcast chosen from runtime sizes (the in-memory hash table can be
-    # many times the compressed shuffle size)
-    return (
-        now.join(fut.hint("merge"), ["_d", "hadm_id"], "left")
-        .groupBy("time")
-        .agg(
-            F.sum(F.col("now") * F.coalesce(F.col("_rows"), F.lit(0))).alias("pn"),
-            F.count("hadm_id").alias("n"),
-        )
+    days = per_id.select("block_day", "dates", "a_any", F.explode(bit_places(F.col("a_any"))).alias("_place")).where(
+        holds("a_any", "_place")
     )
 
+    def dates(side: str) -> Column:
+        return F.size(F.filter("dates", lambda d: holds(d[side], "_place"))).cast("bigint")
+
+    counted = days.select(F.date_add("block_day", F.col("_place")).alias("time"), *[dates(c).alias(c) for c in sets])
+    now = F.when(F.col("p") > 0, F.col("p") * F.col("a")).otherwise(F.col("a"))
+    both = (F.col("lp") > 0) & (F.col("la") > 0)
+    later = F.when(both, F.col("lp") * F.col("la")).otherwise(F.col("lp") + F.col("la"))
+    return counted.groupBy("time").agg(F.sum(now * later).alias("pn"), F.count("*").alias("n"))
+
 
 def duplicate_ids(ev: DataFrame, broadcast_max_ids: int = DUP_IDS_BROADCAST_MAX) -> DataFrame:
     """``hadm_id`` of the ids seen more than once, by one aggregate over the
