@@ -303,19 +303,24 @@ def interval_union(spans: DataFrame, keys: list[str], start: str = "s", end: str
     combines map-side and is hashed on the start too, which leaves a key at
     most one row per start day. Then a key's rows are sorted by start; a row
     that starts after every earlier end (by more than a day) opens an island,
-    and an island is its least start and latest end.
+    and the row before the next such row closes it. Both are found, and paired,
+    on the sorted rows as they pass: no aggregate holds the islands of a task.
     """
     latest = spans.where(F.col(start) <= F.col(end)).groupBy(*keys, start).agg(F.max(end).alias(end))
     by_key = Window.partitionBy(*keys).orderBy(start)
     earlier = F.max(end).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col(start) <= F.date_add(F.col("_reach"), 1), 0).otherwise(1)
-    numbered = (
-        latest.withColumn("_reach", earlier)
-        .withColumn("_opens", opens)
-        .withColumn("_island", F.sum("_opens").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    after = F.lead(start).over(by_key)
+    marked = latest.select("*", earlier.alias("_earlier"), after.alias("_after")).select(
+        *keys,
+        start,
+        F.greatest("_earlier", end).alias("_reach"),
+        F.coalesce(F.col(start) > F.date_add("_earlier", 1), F.lit(True)).alias("_opens"),
+        F.coalesce(F.col("_after") > F.date_add(F.greatest("_earlier", end), 1), F.lit(True)).alias("_closes"),
     )
-    islands = numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end))
-    return islands.drop("_island")
+    # between its first and last row an island has none here, so the row after
+    # one that only opens it closes it
+    ends = marked.where(F.col("_opens") | F.col("_closes")).withColumn("_closing", F.lead("_reach").over(by_key))
+    return ends.where("_opens").select(*keys, start, F.when(F.col("_closes"), F.col("_reach")).otherwise(F.col("_closing")).alias(end))
 
 
 def _union_deltas(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow) -> DataFrame:
@@ -328,10 +333,10 @@ def _union_deltas(ev: DataFrame, pred_window: DayWindow, act_window: DayWindow)
     there = _deltas(spans.withColumn("nn", F.lit(0)), _sweep_events(None), ["day"])
     sides = spans.where(F.col("hadm_id").isNotNull()).select(
         "hadm_id",
-        F.expr("stack(2, 'p', p_s, p_e, 'a', a_s, a_e) as (side, s, e)"),
+        F.expr("stack(2, 0, p_s, p_e, 1, a_s, a_e) as (side, s, e)"),
     )
     islands = interval_union(sides, ["hadm_id", "side"]).selectExpr(
-        "s", "e", "IF(side = 'p', 1, 0) AS is_p", "IF(side = 'a', 1, 0) AS is_a"
+        "s", "e", "IF(side = 0, 1, 0) AS is_p", "IF(side = 1, 1, 0) AS is_a"
     )
     present = _deltas(islands, _span_events("s", "e", {"p_cnt": "is_p", "a_cnt": "is_a"}), ["day"])
     both = there.unionByName(present)
